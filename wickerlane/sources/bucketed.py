@@ -1,0 +1,46 @@
+"""A parquet table bucketed by its key that is brought up to date without moving the rows it holds."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wickerlane.workspace import remove
+
+
+class BucketedTable:
+    """Rows by unique ``keys`` under ``path``; each upsert writes a new version and then drops the former one."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None):
+        self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.version: str | None = None
+        self.schema: T.StructType | None = None
+
+    def _name(self) -> str:
+        return f"wickerlane_store_{self.version}"
+
+    def read(self) -> DataFrame:
+        if self.version is None:
+            raise ValueError("nothing was written yet")
+        return self.spark.table(self._name())
+
+    def upsert(self, changes: DataFrame) -> None:
+        """Replace the rows whose key is in ``changes`` (one row per key) and add the others."""
+        merged = changes
+        if self.version is not None:
+            fresh = changes.select(*self.keys, F.struct(*[c for c in changes.columns if c not in self.keys]).alias("fresh"))
+            held = self.read()
+            rest = [c for c in held.columns if c not in self.keys]
+            merged = held.join(fresh, self.keys, "full").select(
+                *self.keys, *[F.when(F.col("fresh").isNotNull(), F.col(f"fresh.`{c}`")).otherwise(F.col(f"`{c}`")).alias(c) for c in rest]
+            )
+        before, self.version = self.version, uuid.uuid4().hex[:16]
+        writer = merged.write.format("parquet").bucketBy(self.buckets, *self.keys).option("path", f"{self.path}/{self.version}")
+        writer.saveAsTable(self._name())
+        if before is not None:
+            self.spark.sql(f"DROP TABLE IF EXISTS wickerlane_store_{before}")
+            remove(self.spark, f"{self.path}/{before}")
