@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wickerlane.functions.text import label, settled
 from wickerlane.llm.cooccur import PairTable
+from wickerlane.llm.mojibake import garbled
 from wickerlane.llm.topn import top_n_per_group
 from wickerlane.sources.tables import table
 from wickerlane.workspace import scratch
@@ -97,3 +98,14 @@ def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _pair_table(spark, d).scores().select(
         F.col("item_a").alias("article_id_a"), F.col("item_b").alias("article_id_b"), "n_ab", "n_a", "n_b", settled("lift").alias("lift")
     )
+
+
+# -- 10: wrongly decoded text ------------------------------------------------------------------------------
+@query()
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled(table(spark, d, "documents")).select("doc_id")
+
+
+@query()
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled(table(spark, d, "documents"))
