@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wickerlane.functions.text import label, settled
 from wickerlane.llm.cooccur import PairTable
+from wickerlane.llm.knn import NeighbourGraph, usable_vectors
 from wickerlane.llm.mojibake import garbled
 from wickerlane.llm.topn import top_n_per_group
 from wickerlane.sources.tables import table
@@ -109,3 +110,31 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled(table(spark, d, "documents"))
+
+
+# -- 7: most similar vectors -------------------------------------------------------------------------------
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "embedding_runs").select(F.col("embeddings_path").alias("grp"), F.col("vector_dimension").alias("dim"))
+    return usable_vectors(table(spark, d, "article_vectors"), "embeddings_path", "article_id", "embedding_index", "vector", runs)
+
+
+@query()
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    near = NeighbourGraph(_vectors(spark, d)).neighbours(k=10).where(F.col("similarity") >= 0.85)
+    return near.select(F.col("grp").alias("embeddings_path"), F.least("item", "other").alias("article_id_a"), F.greatest("item", "other").alias("article_id_b")).distinct()
+
+
+@query()
+def p7_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return NeighbourGraph(_vectors(spark, d)).neighbours(k=10).select(
+        F.col("grp").alias("embeddings_path"), F.col("item").alias("article_id"), F.col("other").alias("similar_article_id"), "similarity", "rank"
+    )
+
+
+@query()
+def p7_search(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy search of the graph with every vector whose ``embedding_index`` is divisible by 50, against all."""
+    vectors = _vectors(spark, d)
+    graph = NeighbourGraph(vectors)
+    asked = graph.vectors.where(F.col("id") % 50 == 0).select(F.col("id").alias("query"), "grp", "vec")
+    return graph.search(asked, k=10)
