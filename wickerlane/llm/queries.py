@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from wickerlane.functions.text import label, settled
 from wickerlane.llm.cooccur import PairTable
 from wickerlane.llm.knn import NeighbourGraph, usable_vectors
+from wickerlane.llm.mixing import mix
 from wickerlane.llm.mojibake import garbled
+from wickerlane.llm.packing import pack
+from wickerlane.llm.tokens import token_count
 from wickerlane.llm.topn import top_n_per_group
 from wickerlane.sources.tables import table
 from wickerlane.workspace import scratch
@@ -138,3 +141,39 @@ def p7_search(spark: SparkSession, d: str) -> DataFrame:
     graph = NeighbourGraph(vectors)
     asked = graph.vectors.where(F.col("id") % 50 == 0).select(F.col("id").alias("query"), "grp", "vec")
     return graph.search(asked, k=10)
+
+
+# -- 8: filling containers ---------------------------------------------------------------------------------
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "source", token_count("text").alias("tokens"))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    kinds = table(spark, d, "container_sizes").select(F.col("container_kind").alias("kind"), F.col("capacity_tokens").alias("capacity"))
+    return pack(_sized(spark, d), "doc_id", "tokens", kinds)
+
+
+@query()
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).select(F.col("kind").alias("container_kind"), "container", "doc_id", "piece", F.col("size").alias("tokens"))
+
+
+@query()
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind the containers used, the least number any packing needs, and the share of room filled."""
+    sizes = table(spark, d, "container_sizes").select(F.col("container_kind").alias("kind"), F.col("capacity_tokens").alias("capacity"))
+    per = _packed(spark, d).groupBy("kind").agg(F.count_distinct("container").alias("containers"), F.sum("size").alias("tokens"))
+    return per.join(F.broadcast(sizes), "kind").select(
+        F.col("kind").alias("container_kind"), "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"), (F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("fill")
+    )
+
+
+# -- 9: mixing sources -------------------------------------------------------------------------------------
+@query()
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_sized(spark, d), "doc_id", "source", "tokens", table(spark, d, "mix_targets"))[0]
+
+
+@query()
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(_sized(spark, d), "doc_id", "source", "tokens", table(spark, d, "mix_targets"))[1]
