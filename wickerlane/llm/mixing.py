@@ -23,7 +23,7 @@ def reachable(total: float, targets: dict[str, float], most: dict[str, float]) -
             got |= {s: targets[s] / weight * left for s in open_}
             break
         for s in short:
-            got[s] = most[s]
+            got[s] = float(most[s])
             left -= most[s]
         open_ -= short
     return got
