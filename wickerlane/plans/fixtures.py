@@ -23,12 +23,12 @@ def tx(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("tx_seq").alias("seq"), "t_dat", "customer_id", "article_id", F.col("price").cast("double").alias("price"), "sales_channel_id").dropna(subset=["t_dat", "customer_id", "article_id"])
 
 
-def found(spark: SparkSession, d: str) -> DataFrame:
-    return labels(tx(spark, d), SPLIT)
+def found(spark: SparkSession, d: str, split: Split = SPLIT) -> DataFrame:
+    return labels(tx(spark, d), split)
 
 
-def targets(spark: SparkSession, d: str) -> DataFrame:
-    return label_customers(found(spark, d), table(spark, d, "customers"))
+def targets(spark: SparkSession, d: str, split: Split = SPLIT) -> DataFrame:
+    return label_customers(found(spark, d, split), table(spark, d, "customers"))
 
 
 def segments(spark: SparkSession, d: str) -> DataFrame:
@@ -39,9 +39,9 @@ def attribute(spark: SparkSession, d: str, column: str) -> DataFrame:
     return table(spark, d, "articles").select("article_id", label(column).alias("value"))
 
 
-def all_candidates(spark: SparkSession, d: str) -> DataFrame:
+def all_candidates(spark: SparkSession, d: str, split: Split = SPLIT) -> DataFrame:
     return c.every_source(
-        tx(spark, d), CUT, targets(spark, d), segments(spark, d), attribute(spark, d, "garment_group_name"), attribute(spark, d, "product_code"), K, DAYS
+        tx(spark, d), split.cutoff, targets(spark, d, split), segments(spark, d), attribute(spark, d, "garment_group_name"), attribute(spark, d, "product_code"), K, DAYS
     )
 
 
@@ -64,53 +64,60 @@ def _affinity(name: str, column: str) -> dict[str, str]:
     }
 
 
-def _top(name: str, days: int) -> str:
-    return f"SELECT article_id, row_number() OVER (ORDER BY {_BY}) AS rank FROM (SELECT article_id, count(*) AS n, max(t_dat) AS last_day FROM past WHERE t_dat >= DATE '{CUT}' - {days} GROUP BY 1) QUALIFY rank <= 12"
-
-
-CTES: dict[str, str] = {
-    "tx": "SELECT tx_seq AS seq, t_dat, customer_id, article_id, price::DOUBLE AS price, sales_channel_id FROM transactions_train WHERE t_dat IS NOT NULL AND customer_id IS NOT NULL AND article_id IS NOT NULL",
-    "past": f"SELECT * FROM tx WHERE t_dat < DATE '{CUT}'",
-    "recent": f"SELECT * FROM past WHERE t_dat >= DATE '{CUT}' - {DAYS}",
-    "found": f"SELECT DISTINCT customer_id, article_id FROM tx WHERE t_dat >= DATE '{CUT}' AND t_dat < DATE '{SPLIT.end}'",
-    "targets": "SELECT DISTINCT customer_id FROM found SEMI JOIN customers USING (customer_id)",
-    "repeats": f"SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY {_BY}) AS rank FROM (SELECT customer_id, article_id, count(*) AS n, max(t_dat) AS last_day FROM past SEMI JOIN targets USING (customer_id) GROUP BY 1, 2) QUALIFY rank <= 12",
-    "top7": _top("top7", 7),
-    "top1": _top("top1", 1),
-    "top3": _top("top3", 3),
-    "topall": _top("topall", 100000),
-    "history": "SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY seq DESC) AS position FROM (SELECT customer_id, article_id, max(seq) AS seq FROM past GROUP BY 1, 2) QUALIFY position <= 8",
-    "pairs": "SELECT a.article_id, b.article_id AS other_id, count(*) AS n FROM history a JOIN history b ON a.customer_id = b.customer_id AND a.article_id <> b.article_id GROUP BY 1, 2",
-    "near": "SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY n DESC, other_id) AS rank FROM pairs QUALIFY rank <= 100",
-    "covis_sum": "SELECT customer_id, other_id AS article_id, sum(n * (840 // position))::BIGINT AS units, min(rank) AS near_rank FROM history SEMI JOIN targets USING (customer_id) JOIN near USING (article_id) GROUP BY 1, 2",
-    "covis": "SELECT customer_id, article_id, units / 840.0::DOUBLE AS score, row_number() OVER (PARTITION BY customer_id ORDER BY units DESC, near_rank, article_id) AS rank FROM covis_sum QUALIFY rank <= 12",
-    "season_rows": f"SELECT article_id, ln(1 + count(*)) AS c FROM tx WHERE t_dat >= DATE '{CUT - dt.timedelta(366)}' AND t_dat < DATE '{CUT - dt.timedelta(359)}' GROUP BY 1",
-    "season": "SELECT *, row_number() OVER (ORDER BY score DESC, article_id) AS rank FROM (SELECT article_id, round(c / max(c) OVER (), 9) AS score FROM season_rows) QUALIFY rank <= 12",
-    "segments": """SELECT customer_id, CASE WHEN regexp_full_match(trim(coalesce(age, '')), '[0-9]{1,9}') AND CAST(trim(age) AS INTEGER) > 0
-        THEN 'age_' || (CAST(trim(age) AS INTEGER) // 10 * 10) || '_' || (CAST(trim(age) AS INTEGER) // 10 * 10 + 9) ELSE 'age_unknown' END AS segment FROM customers""",
-    "seg_count": "SELECT segment, article_id, ln(1 + count(*)) AS c FROM recent JOIN segments USING (customer_id) GROUP BY 1, 2",
-    "seg_pop": "SELECT *, row_number() OVER (PARTITION BY segment ORDER BY score DESC, article_id) AS rank FROM (SELECT segment, article_id, round(c / max(c) OVER (PARTITION BY segment), 9) AS score FROM seg_count) QUALIFY rank <= 12",
-    **_affinity("garment", "garment_group_name"),
-    **_affinity("product", "product_code"),
-    "candidates": " UNION ALL ".join(
-        [
-            "SELECT customer_id, article_id, 'repeat' AS source, rank AS source_rank, 1.0::DOUBLE / rank AS source_score FROM repeats",
-            *(f"SELECT customer_id, article_id, '{n}', rank, 1.0::DOUBLE / rank FROM targets, {t}" for n, t in (("recent_popularity", "top7"), ("recent_popularity_1d", "top1"), ("recent_popularity_3d", "top3"), ("all_time_popularity", "topall"))),
-            "SELECT customer_id, article_id, 'co_visitation', rank, score FROM covis",
-            "SELECT customer_id, article_id, 'seasonal_popularity', rank, score FROM targets, season",
-            "SELECT customer_id, article_id, 'age_segment_popularity', rank, score FROM targets JOIN segments USING (customer_id) JOIN seg_pop USING (segment)",
-            "SELECT customer_id, article_id, 'garment_group_popularity', rank, score FROM garment_affinity",
-            "SELECT customer_id, article_id, 'product_code_popularity', rank, score FROM product_affinity",
-        ]
-    ),
-}
-
-
-def sql(final: str, **more: str) -> str:
+def ctes(split: Split = SPLIT) -> dict[str, str]:
+    cut = split.cutoff
+
+    def top(days: int) -> str:
+        return f"SELECT article_id, row_number() OVER (ORDER BY {_BY}) AS rank FROM (SELECT article_id, count(*) AS n, max(t_dat) AS last_day FROM past WHERE t_dat >= DATE '{cut}' - {days} GROUP BY 1) QUALIFY rank <= 12"
+
+    return {
+        "tx": "SELECT tx_seq AS seq, t_dat, customer_id, article_id, price::DOUBLE AS price, sales_channel_id FROM transactions_train WHERE t_dat IS NOT NULL AND customer_id IS NOT NULL AND article_id IS NOT NULL",
+        "past": f"SELECT * FROM tx WHERE t_dat < DATE '{cut}'",
+        "recent": f"SELECT * FROM past WHERE t_dat >= DATE '{cut}' - {DAYS}",
+        "found": f"SELECT DISTINCT customer_id, article_id FROM tx WHERE t_dat >= DATE '{cut}' AND t_dat < DATE '{split.end}'",
+        "targets": "SELECT DISTINCT customer_id FROM found SEMI JOIN customers USING (customer_id)",
+        "repeats": f"SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY {_BY}) AS rank FROM (SELECT customer_id, article_id, count(*) AS n, max(t_dat) AS last_day FROM past SEMI JOIN targets USING (customer_id) GROUP BY 1, 2) QUALIFY rank <= 12",
+        "top7": top(7),
+        "top1": top(1),
+        "top3": top(3),
+        "topall": top(100000),
+        "history": "SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY seq DESC) AS position FROM (SELECT customer_id, article_id, max(seq) AS seq FROM past GROUP BY 1, 2) QUALIFY position <= 8",
+        "pairs": "SELECT a.article_id, b.article_id AS other_id, count(*) AS n FROM history a JOIN history b ON a.customer_id = b.customer_id AND a.article_id <> b.article_id GROUP BY 1, 2",
+        "near": "SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY n DESC, other_id) AS rank FROM pairs QUALIFY rank <= 100",
+        "covis_sum": "SELECT customer_id, other_id AS article_id, sum(n * (840 // position))::BIGINT AS units, min(rank) AS near_rank FROM history SEMI JOIN targets USING (customer_id) JOIN near USING (article_id) GROUP BY 1, 2",
+        "covis": "SELECT customer_id, article_id, units / 840.0::DOUBLE AS score, row_number() OVER (PARTITION BY customer_id ORDER BY units DESC, near_rank, article_id) AS rank FROM covis_sum QUALIFY rank <= 12",
+        "season_rows": f"SELECT article_id, ln(1 + count(*)) AS c FROM tx WHERE t_dat >= DATE '{cut - dt.timedelta(366)}' AND t_dat < DATE '{cut - dt.timedelta(359)}' GROUP BY 1",
+        "season": "SELECT *, row_number() OVER (ORDER BY score DESC, article_id) AS rank FROM (SELECT article_id, round(c / max(c) OVER (), 9) AS score FROM season_rows) QUALIFY rank <= 12",
+        "segments": """SELECT customer_id, CASE WHEN regexp_full_match(trim(coalesce(age, '')), '[0-9]{1,9}') AND CAST(trim(age) AS INTEGER) > 0
+            THEN 'age_' || (CAST(trim(age) AS INTEGER) // 10 * 10) || '_' || (CAST(trim(age) AS INTEGER) // 10 * 10 + 9) ELSE 'age_unknown' END AS segment FROM customers""",
+        "seg_count": "SELECT segment, article_id, ln(1 + count(*)) AS c FROM recent JOIN segments USING (customer_id) GROUP BY 1, 2",
+        "seg_pop": "SELECT *, row_number() OVER (PARTITION BY segment ORDER BY score DESC, article_id) AS rank FROM (SELECT segment, article_id, round(c / max(c) OVER (PARTITION BY segment), 9) AS score FROM seg_count) QUALIFY rank <= 12",
+        **_affinity("garment", "garment_group_name"),
+        **_affinity("product", "product_code"),
+        "candidates": " UNION ALL ".join(
+            [
+                "SELECT customer_id, article_id, 'repeat' AS source, rank AS source_rank, 1.0::DOUBLE / rank AS source_score FROM repeats",
+                *(f"SELECT customer_id, article_id, '{n}', rank, 1.0::DOUBLE / rank FROM targets, {t}" for n, t in (("recent_popularity", "top7"), ("recent_popularity_1d", "top1"), ("recent_popularity_3d", "top3"), ("all_time_popularity", "topall"))),
+                "SELECT customer_id, article_id, 'co_visitation', rank, score FROM covis",
+                "SELECT customer_id, article_id, 'seasonal_popularity', rank, score FROM targets, season",
+                "SELECT customer_id, article_id, 'age_segment_popularity', rank, score FROM targets JOIN segments USING (customer_id) JOIN seg_pop USING (segment)",
+                "SELECT customer_id, article_id, 'garment_group_popularity', rank, score FROM garment_affinity",
+                "SELECT customer_id, article_id, 'product_code_popularity', rank, score FROM product_affinity",
+            ]
+        ),
+    }
+
+
+CTES = ctes()
+#: CTEs that other modules add; none holds a date.
+MORE: dict[str, str] = {}
+
+
+def sql(final: str, split: Split | None = None, **more: str) -> str:
     """``final`` behind the CTEs it needs, its own ``more`` included."""
     import re
 
-    every, need, queue = CTES | more, set(), [final]
+    every, need, queue = (ctes(split) if split else CTES) | MORE | more, set(), [final]
     while queue:
         words = set(re.findall(r"\w+", queue.pop()))
         for name in every:

@@ -11,7 +11,7 @@ from wickerlane.functions.text import is_article_id, is_customer_id, label, sett
 from wickerlane.operators import candidates as c
 from wickerlane.operators import history, metrics, popularity, temporal
 from wickerlane.plans.base import query
-from wickerlane.plans.fixtures import CTES, CUT, DAYS, K, SPLIT, all_candidates, attribute, found, segments, sql, targets, tx
+from wickerlane.plans.fixtures import CUT, DAYS, K, MORE, SPLIT, all_candidates, attribute, found, segments, sql, targets, tx
 from wickerlane.sources.tables import table
 
 D = DataFrame
@@ -235,7 +235,7 @@ MERGED = """SELECT customer_id, article_id, row_number() OVER (PARTITION BY cust
   (SELECT customer_id, article_id, p, source_rank FROM (SELECT *, CASE source WHEN 'repeat' THEN 0 WHEN 'recent_popularity' THEN 1 ELSE 2 END AS p FROM candidates
    WHERE source IN ('repeat', 'recent_popularity', 'all_time_popularity')) QUALIFY row_number() OVER (PARTITION BY customer_id, article_id ORDER BY p, source_rank) = 1) QUALIFY pos <= 12"""
 PRIORITY = ["repeat", "recent_popularity", "all_time_popularity"]
-CTES["merged"] = MERGED
+MORE["merged"] = MERGED
 
 
 def baseline(spark: S, d: str) -> D:
@@ -291,8 +291,8 @@ def I17_candidate_export(spark: S, d: str) -> D:
 
 
 # -- L: evaluation ---------------------------------------------------------------------------------------------
-CTES["hits"] = "SELECT customer_id, pos, row_number() OVER (PARTITION BY customer_id ORDER BY pos) AS sofar FROM merged SEMI JOIN found USING (customer_id, article_id)"
-CTES["scored"] = """SELECT f.customer_id, f.labels, coalesce(h.hits, 0) AS hits, coalesce(h.won, 0) / least(f.labels, 12) AS ap, coalesce(h.hits, 0) / f.labels AS recall
+MORE["hits"] = "SELECT customer_id, pos, row_number() OVER (PARTITION BY customer_id ORDER BY pos) AS sofar FROM merged SEMI JOIN found USING (customer_id, article_id)"
+MORE["scored"] = """SELECT f.customer_id, f.labels, coalesce(h.hits, 0) AS hits, coalesce(h.won, 0) / least(f.labels, 12) AS ap, coalesce(h.hits, 0) / f.labels AS recall
   FROM (SELECT customer_id, count(*) AS labels FROM found GROUP BY 1) f LEFT JOIN (SELECT customer_id, count(*) AS hits, sum(sofar / pos) AS won FROM hits GROUP BY 1) h USING (customer_id)"""
 
 
