@@ -16,21 +16,6 @@ TABLES = 4
 EDGE = "id bigint, nbr bigint, sim float, fresh boolean"
 
 
-def usable_vectors(df: DataFrame, group: str, item: str, version: str, vector: str, dims: DataFrame) -> DataFrame:
-    """``grp, item, id, vec`` (array of double): the newest usable vector of each item in a group.
-
-    Usable: not null, of the dimension that ``dims`` (``grp``, ``dim``) gives its group, only finite numbers, not all zero.
-    Rows with a null group, item or version are left out.
-    """
-    rows = df.select(
-        F.col(f"`{group}`").alias("grp"), F.col(f"`{item}`").alias("item"), F.col(f"`{version}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vec")
-    ).dropna(subset=["grp", "item", "id", "vec"])
-    fine = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = rows.join(dims.select("grp", "dim").distinct(), "grp").where((F.size("vec") == F.col("dim")) & fine)
-    newest = rows.groupBy("grp", "item").agg(F.max_by(F.struct("id", "vec"), "id").alias("r"))
-    return newest.select("grp", "item", "r.id", "r.vec")
-
-
 # -- arrays in Arrow batches -----------------------------------------------------------------------------------
 def _coded(codes: list[bytes]) -> np.ndarray:
     """Unit vectors from their codes (4 bytes of scale, then one signed byte per dimension)."""

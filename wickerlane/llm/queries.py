@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from wickerlane.functions.text import label, settled
 from wickerlane.llm.cooccur import PairTable
-from wickerlane.llm.knn import NeighbourGraph, usable_vectors
+from wickerlane.llm.knn import NeighbourGraph
 from wickerlane.llm.mixing import mix
 from wickerlane.llm.mojibake import garbled
 from wickerlane.llm.packing import pack
 from wickerlane.llm.tokens import token_count
 from wickerlane.llm.topn import top_n_per_group
+from wickerlane.operators.vectors import newest
 from wickerlane.sources.tables import table
 from wickerlane.workspace import scratch
 
@@ -118,7 +119,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 # -- 7: most similar vectors -------------------------------------------------------------------------------
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "embedding_runs").select(F.col("embeddings_path").alias("grp"), F.col("vector_dimension").alias("dim"))
-    return usable_vectors(table(spark, d, "article_vectors"), "embeddings_path", "article_id", "embedding_index", "vector", runs)
+    return newest(table(spark, d, "article_vectors"), "embeddings_path", "article_id", "embedding_index", "vector", runs)
 
 
 @query()
