@@ -138,7 +138,7 @@ quoted AS (SELECT raw_id, line, regexp_full_match(line, '(?s)("([^"]|"")*"|[^",]
 fields AS (SELECT raw_id, fine, CASE WHEN fine THEN list_transform(regexp_extract_all(',' || line, '(?s),("([^"]|"")*"|[^",]*)', 1),
   lambda x: CASE WHEN x[1] = '"' THEN replace(x[2:len(x) - 1], '""', '"') ELSE x END) END AS f FROM quoted),
 judged AS (SELECT raw_id, f, CASE WHEN NOT fine THEN 'quoting' WHEN len(f) <> 5 THEN 'column_count'
-  WHEN NOT regexp_full_match(f[1], '[0-9]{4}-[0-9]{2}-[0-9]{2}') OR TRY_CAST(f[1] AS DATE) IS NULL THEN 't_dat'
+  WHEN NOT regexp_full_match(f[1], '[0-9]{4}-[0-9]{2}-[0-9]{2}') OR f[1][1:4] = '0000' OR TRY_CAST(f[1] AS DATE) IS NULL THEN 't_dat'
   WHEN NOT regexp_full_match(f[2], '[0-9a-f]{64}') THEN 'customer_id' WHEN NOT regexp_full_match(f[3], '[0-9]{10}') THEN 'article_id'
   WHEN NOT regexp_full_match(f[4], '[0-9]+(\.[0-9]+)?') THEN 'price' WHEN f[5] NOT IN ('1', '2') THEN 'sales_channel_id' END AS reason FROM fields)
 """
