@@ -68,7 +68,7 @@ def utf8_automaton(codec: str) -> re.Pattern:
 
 #: Blocks of letters, marks and symbols that written text has; a span that decodes to others is a chance hit.
 _COMMON = re.compile(
-    "[\u00a0-\u017f\u0218-\u021b\u02c6\u02dc\u0386-\u03ce\u0401-\u045f\u0490\u0491\u1ea0-\u1ef9\u200b-\u200f\u2010-\u203a\u2070-\u209f\u20a0-\u20bf\u2100-\u214f"
+    "[\u00a0-\u017f\u0192\u0218-\u021b\u02c6\u02dc\u0386-\u03ce\u0401-\u045f\u0490\u0491\u1ea0-\u1ef9\u200b-\u200f\u2010-\u203a\u2070-\u209f\u20a0-\u20bf\u2100-\u214f"
     "\u2190-\u21ff\u2200-\u22ff\u2460-\u24ff\u2500-\u257f\u25a0-\u27bf\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\ufe0f\ufeff\uff00-\uffef\u0080-\u009f\ufffd]|[\U0001f300-\U0001faff]"
 )
 _MARKS = "®™©°ºª»”’"
@@ -79,40 +79,55 @@ def quoted(text: str, a: int, b: int) -> bool:
     return a > 0 and b < len(text) and text[a - 1] in OPENING and text[b] in CLOSING
 
 
-def plausible(codec: str, text: str, a: int, b: int, decoded: str) -> bool:
-    """Whether a well-formed span is garbled text and not sound text that happens to be well formed."""
+def plausible(codec: str, text: str, a: int, b: int, decoded: str) -> int:
+    """Whether a well-formed span is garbled text (2) and not sound text that happens to be well formed (0).
+
+    Two letters in a row may be either (1): they count where the text has other spans of the same encoding.
+    """
     raw = text[a:b]
     if quoted(text, a, b) or any(not _COMMON.match(c) for c in decoded):
-        return False
+        return 0
     before, after = text[max(0, a - 2) : a], text[b : b + 1]
     capitals = before[-1:].isupper() and (before.isupper() and len(before) == 2 or not after.islower())
     if len(decoded) == 1 and capitals and raw[0].isupper() and (decoded.islower() or raw[1:] in _MARKS):
-        return False  # a capital that ends a word in capitals, before a mark of its own: MAÇÃ®, IRMÃ™
+        return 0  # a capital that ends a word in capitals, before a mark of its own: MAÇÃ®, IRMÃ™
     if codec in CYRILLIC:
         # Sound Cyrillic may hold a pair such as "Рё"; garbled text is dense, or holds what no Russian word has.
         odd = sum(c not in "ёЁ№«»—–…“”„’°§±·©® " and not ("А" <= c <= "я") for c in raw)
-        return (len(decoded) >= 3 or not ("Ѐ" <= decoded[0] <= "ӿ")) and odd >= 1 if len(raw) != 2 else odd >= 1 or raw[1] in "©«»±§"
+        if len(raw) == 2:
+            return 2 * (odd >= 1 or raw[1] in "©«»±§")
+        return 2 * ((len(decoded) >= 3 or not ("Ѐ" <= decoded[0] <= "ӿ")) and odd >= 1)
     if codec == "windows" or codec == "iso8859_15":
-        return True
-    return any(not c.isalpha() for c in raw) or len(raw) >= 3
+        return 2
+    return 2 if any(not c.isalpha() for c in raw) or len(raw) >= 3 else 1
+
+
+@cache
+def _ends(codec: str) -> tuple[frozenset, frozenset]:
+    """The characters a multibyte sequence may begin with, and go on with."""
+    chars = byte_of(codec)
+    return frozenset(c for c, b in chars.items() if 0xC2 <= b <= 0xF4), frozenset(c for c, b in chars.items() if b <= 0xBF)
 
 
 def _spans_utf8(text: str, codec: str) -> list[tuple[int, int, str]]:
     chars, out = byte_of(codec), []
     for m in utf8_automaton(codec).finditer(text):
         a, decoded = m.start(), bytes(chars[c] for c in m.group()).decode("utf-8")
-        if plausible(codec, text, *m.span(), decoded):
-            out.append((*m.span(), decoded))
+        sure = plausible(codec, text, *m.span(), decoded)
+        if sure:
+            out.append((sure, *m.span(), decoded))
         elif len(decoded) > 1:  # chance hits beside garbled text: judge each character by itself
             for c in decoded:
                 b = a + len(c.encode())
-                if plausible(codec, text, a, b, c):
-                    out.append((a, b, c))
+                sure = plausible(codec, text, a, b, c)
+                if sure:
+                    out.append((sure, a, b, c))
                 a = b
-    return out
+    return [x[1:] for x in out] if any(x[0] == 2 for x in out) else []
 
 
 _RUN = re.compile("[\u0080-\ufffc\U00010000-\U0010ffff](?:[!-~]?[\u0080-\ufffc\U00010000-\U0010ffff])*[!-~]?")
+_PAIR = re.compile("[\u0080-\U0010ffff]{2,}")
 _KANA = re.compile("[\u3041-\u30fe]")
 _EAST = re.compile("[\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uff5e]")
 
@@ -163,18 +178,23 @@ def repair(text: str, rounds: int = 6) -> tuple[str, list[str]]:
     In each round the encoding whose spans cover most characters is undone. Characters that were lost (U+FFFD) stay.
     """
     undone: list[str] = []
-    if text.isascii():
-        return text, undone
     for _ in range(rounds):
-        best, spans, name = 0, [], ""
+        pairs = "".join(_PAIR.findall(text))
+        if not pairs:
+            break
+        best, spans, name, there = (0, 0), [], "", set(pairs)
         for codec in SINGLE:
+            first, further = _ends(codec)
+            if there.isdisjoint(first) or there.isdisjoint(further):
+                continue
             found = _spans_utf8(text, codec)
-            covered = sum(b - a for a, b, _ in found)
+            # Readings that cover as much differ in their letters: running text has small ones.
+            covered = (sum(b - a for a, b, _ in found), sum(c.islower() for *_, d in found for c in d))
             if covered > best:
                 best, spans, name = covered, found, codec
         for wrong, right in MULTI:
             found = _spans_multi(text, wrong, right)
-            covered = sum(b - a for a, b, _ in found)
+            covered = (sum(b - a for a, b, _ in found), 0)
             if covered > best:
                 best, spans, name = covered, found, f"{wrong}<{right}"
         if not spans:
