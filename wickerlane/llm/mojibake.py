@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wickerlane.workspace import materialize
+
 LOST = "\ufffd"
 #: Encodings a UTF-8 text may have been read with, one byte a character. "windows" is cp1252 as browsers read it: undefined bytes are C1 controls.
 SINGLE = ("windows", "iso8859_15", "mac_roman", "cp850", "cp437", "cp1250", "cp1251", "cp1254", "koi8_r", "cp866", "cp1253", "iso8859_2")
@@ -269,7 +271,8 @@ def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]"))
     spans = texts.mapInPandas(_fix, f"id {kind}, restored string, encodings string, lost boolean")
 
-    words = texts.select("id", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(text, '{WORD}', 0)"))).alias("word"))
+    # Read three times below: cheaper written once than cut out of the texts again.
+    words = materialize(texts.select("id", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(text, '{WORD}', 0)"))).alias("word")), "words")
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     readings = counts.mapInPandas(_readings, "word string, n bigint, pair string, reading string")
     sound = counts.select(F.col("word").alias("reading"), F.col("n").alias("m"))
