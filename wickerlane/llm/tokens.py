@@ -49,4 +49,5 @@ def token_count(text: Column | str, vocabulary: str = DEFAULT_VOCABULARY) -> Col
             yield n
 
     count.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(count, "bigint")(F.col(text) if isinstance(text, str) else text)
+    # Declared non-deterministic, so that a filter on the count doesn't make the optimizer count twice.
+    return F.pandas_udf(count, "bigint").asNondeterministic()(F.col(text) if isinstance(text, str) else text)
