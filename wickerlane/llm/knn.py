@@ -32,7 +32,7 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str,
         cols = {n: b.column(n) for n in b.schema.names}
         keys = cols.pop("key").to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(np.diff(keys)) + 1
-        lists = {n: c.to_pylist() if n == "code" or n == "vec" else c.to_numpy(zero_copy_only=False) for n, c in cols.items()}
+        lists = {n: c.to_pylist() if n in ("code", "raw") else c.to_numpy(zero_copy_only=False) for n, c in cols.items()}
         for a, z in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
             part = {n: v[a:z] for n, v in lists.items()}
             if key == keys[a] and held:
@@ -45,11 +45,28 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str,
         yield key, held
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """A vector as bytes: single precision where that loses nothing, told by the first byte."""
+    single = v.astype(np.float32)
+    return b"f" + single.tobytes() if np.array_equal(single.astype(np.float64), v) else b"d" + v.tobytes()
+
+
+def _unit_rows(raw: list[bytes]) -> np.ndarray:
+    """Unit vectors in double precision from their bytes."""
+    if len({(len(r), r[:1]) for r in raw}) == 1:
+        m = np.frombuffer(b"".join(raw), dtype=np.uint8).reshape(len(raw), -1)[:, 1:].copy().view(np.float32 if raw[0][:1] == b"f" else np.float64).astype(np.float64)
+    else:
+        m = np.array([np.frombuffer(r[1:], dtype=np.float32 if r[:1] == b"f" else np.float64).astype(np.float64) for r in raw])
+    m /= np.abs(m).max(axis=1, keepdims=True)
+    m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return m
+
+
 class _Edges:
-    """Directed edges, gathered and handed out in batches of bounded size."""
+    """Directed edges, gathered and handed out in batches of bounded size, of each node's the ``k`` best."""
 
-    def __init__(self, rows: int = 200_000):
-        self.parts, self.n, self.rows = [], 0, rows
+    def __init__(self, k: int, rows: int = 1_000_000):
+        self.parts, self.n, self.k, self.rows = [], 0, k, rows
 
     def add(self, ids: np.ndarray, nbrs: np.ndarray, sims: np.ndarray) -> None:
         self.parts.append((ids, nbrs, sims))
@@ -59,12 +76,19 @@ class _Edges:
         if self.n and (force or self.n >= self.rows):
             i, n, s = (np.concatenate(x) for x in zip(*self.parts))
             self.parts, self.n = [], 0
+            o = np.lexsort((n, -s, i))
+            i, n, s = i[o], n[o], s[o]
+            new = np.r_[True, (i[1:] != i[:-1]) | (n[1:] != n[:-1])]
+            i, n, s = i[new], n[new], s[new]
+            start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            near = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)])) < self.k
+            i, n, s = i[near], n[near], s[near]
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(s.astype(np.float32)), pa.array(np.ones(len(i), bool))], names=["id", "nbr", "sim", "fresh"])
 
 
 def _leaf_edges(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Edges()
+        out = _Edges(k)
         for _, rows in _by_key(batches):
             n = len(rows["id"])
             if n < 2:
@@ -82,20 +106,24 @@ def _leaf_edges(k: int) -> Callable:
     return run
 
 
-def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _local_join(k: int) -> Callable:
     """In each node's list, compare fresh members with all others; keep what beats a member's present worst neighbour."""
-    out = _Edges()
-    for _, rows in _by_key(batches):
-        ids, fresh, worst = rows["id"], rows["fresh"].astype(bool), rows["worst"]
-        if len(ids) < 2 or not fresh.any():
-            continue
-        m = _coded(rows["code"])
-        s = m @ m.T
-        allowed = (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :]) & (s > worst[:, None])
-        a, b = np.nonzero(allowed)
-        out.add(ids[a], ids[b], s[a, b])
-        yield from out.flush()
-    yield from out.flush(True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Edges(k)
+        for _, rows in _by_key(batches):
+            ids, fresh, worst = rows["id"], rows["fresh"].astype(bool), rows["worst"]
+            if len(ids) < 2 or not fresh.any():
+                continue
+            m = _coded(rows["code"])
+            s = m @ m.T
+            allowed = (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :]) & (s > worst[:, None])
+            a, b = np.nonzero(allowed)
+            out.add(ids[a], ids[b], s[a, b])
+            yield from out.flush()
+        yield from out.flush(True)
+
+    return run
 
 
 def _encode(bits: dict[str, int], seed: int) -> Callable:
@@ -104,9 +132,10 @@ def _encode(bits: dict[str, int], seed: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for pdf in batches:
-            codes, keys, signs = [], [], []
+            codes, keys, signs, raws = [], [], [], []
             for g, v in zip(pdf["grp"], pdf["vec"]):
                 u = np.asarray(v, dtype=np.float64)
+                raws.append(_packed(u))
                 u = u / np.abs(u).max()  # so that the norm can neither overflow nor vanish
                 u = u / np.sqrt((u * u).sum())
                 scale = np.float32(np.abs(u).max() / 127)
@@ -117,7 +146,7 @@ def _encode(bits: dict[str, int], seed: int) -> Callable:
                     planes[len(u), b] = np.random.default_rng(seed + len(u)).standard_normal((TABLES * b, len(u)))
                 s = (planes[len(u), b] @ u > 0).reshape(TABLES, b)
                 signs.append((s * (1 << np.arange(b))).sum(axis=1).tolist())
-            yield pd.DataFrame({"grp": pdf["grp"], "item": pdf["item"], "id": pdf["id"], "code": codes, "direction": keys, "signs": signs})
+            yield pd.DataFrame({"grp": pdf["grp"], "item": pdf["item"], "id": pdf["id"], "code": codes, "direction": keys, "signs": signs, "raw": raws})
 
     return run
 
@@ -145,7 +174,7 @@ class NeighbourGraph:
         sizes = {r["grp"]: r["n"] for r in self.vectors.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per group of the index
         self.bits = {g: max(1, int(np.ceil(np.log2(max(2, n) / (leaf / 2))))) for g, n in sizes.items()}
         kind = dict(self.vectors.dtypes)
-        coded = self.vectors.mapInPandas(_encode(self.bits, seed), f"grp {kind['grp']}, item {kind['item']}, id bigint, code binary, direction binary, signs array<bigint>")
+        coded = self.vectors.mapInPandas(_encode(self.bits, seed), f"grp {kind['grp']}, item {kind['item']}, id bigint, code binary, direction binary, signs array<bigint>, raw binary")
         self.coded = materialize(coded, "knn-codes")
         first = self.coded.groupBy("grp", "direction").agg(F.min("id").alias("rep"))
         self.members = materialize(self.coded.select("grp", "item", "id", "direction").join(first, ["grp", "direction"]).select("grp", "item", "id", "rep"), "knn-members")
@@ -178,7 +207,7 @@ class NeighbourGraph:
         worst = graph.groupBy("id").agg(F.when(F.count(F.lit(1)) >= self.k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
         carried = self.nodes.select("id", "code").join(worst, "id")
         rows = lists.join(busy, "key", "left_semi").join(carried, "id").select("key", "id", "fresh", "worst", "code")
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_local_join, EDGE)
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_local_join(self.k), EDGE)
 
     def _descend(self) -> DataFrame:
         graph = materialize(self._best(self._leaves()), "knn-graph")
@@ -199,9 +228,9 @@ class NeighbourGraph:
 
     def exact(self, pairs: DataFrame) -> DataFrame:
         """``a, b, similarity`` of pairs of ids, as cosines in double precision rounded to 6 decimals."""
-        vec = self.vectors.select(F.col("id").alias("b"), "vec")
-        rows = pairs.select("a", "b").distinct().join(vec, "b").select(F.col("a").alias("key"), "b", F.lit(1).alias("place"), "vec")
-        own = pairs.select("a").distinct().withColumn("b", F.col("a")).join(vec, "b").select(F.col("a").alias("key"), "b", F.lit(0).alias("place"), "vec")
+        vec = self.coded.select(F.col("id").alias("b"), "raw")
+        rows = pairs.select("a", "b").distinct().join(vec, "b").select(F.col("a").alias("key"), "b", F.lit(1).alias("place"), "raw")
+        own = pairs.select("a").distinct().withColumn("b", F.col("a")).join(vec, "b").select(F.col("a").alias("key"), "b", F.lit(0).alias("place"), "raw")
         return rows.unionByName(own).repartition("key").sortWithinPartitions("key", "place").mapInArrow(_exact, "a bigint, b bigint, similarity double")
 
     def neighbours(self, k: int = 10) -> DataFrame:
@@ -229,8 +258,8 @@ class NeighbourGraph:
         shaped = queries.select("grp", F.col("query").cast("string").alias("item"), F.xxhash64(F.col("query").cast("string")).alias("id"), "vec")
         keyed = queries.select(F.xxhash64(F.col("query").cast("string")).alias("q"), "query")
         kind = dict(shaped.dtypes)
-        coded = shaped.mapInPandas(_encode(self.bits, self.seed), f"grp {kind['grp']}, item string, id bigint, code binary, direction binary, signs array<bigint>")
-        coded = materialize(coded.select("grp", F.col("id").alias("q"), "code", "signs"), "knn-queries")
+        coded = shaped.mapInPandas(_encode(self.bits, self.seed), f"grp {kind['grp']}, item string, id bigint, code binary, direction binary, signs array<bigint>, raw binary")
+        coded = materialize(coded.select("grp", F.col("id").alias("q"), "code", "signs", "raw"), "knn-queries")
         tabled = self.nodes.select("grp", "id", F.posexplode("signs").alias("tab", "sign"))
         doors = tabled.withColumn("p", F.row_number().over(Window.partitionBy("grp", "tab", "sign").orderBy(F.xxhash64("id")))).where(F.col("p") <= entries)
         flips = F.expr("concat(array(sign), transform(sequence(0, 3), i -> sign ^ shiftleft(1L, i)))")
@@ -245,7 +274,7 @@ class NeighbourGraph:
                 break
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))
         top = beamed.withColumn("p", rank).where(F.col("p") <= k + 4).select("q", "id")
-        sims = self._exact_queries(top, shaped)
+        sims = self._exact_queries(top, coded)
         last = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))
         return sims.withColumn("rank", last).where(F.col("rank") <= k).join(keyed, "q").select("query", "id", "similarity", "rank")
 
@@ -257,9 +286,9 @@ class NeighbourGraph:
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))
         return scored.withColumn("p", rank).where(F.col("p") <= beam).drop("p")
 
-    def _exact_queries(self, pairs: DataFrame, shaped: DataFrame) -> DataFrame:
-        rows = pairs.join(self.vectors.select("id", "vec"), "id").select(F.col("q").alias("key"), F.col("id").alias("b"), F.lit(1).alias("place"), "vec")
-        own = shaped.select(F.col("id").alias("key"), F.col("id").alias("b"), F.lit(0).alias("place"), "vec")
+    def _exact_queries(self, pairs: DataFrame, coded: DataFrame) -> DataFrame:
+        rows = pairs.join(self.coded.select("id", "raw"), "id").select(F.col("q").alias("key"), F.col("id").alias("b"), F.lit(1).alias("place"), "raw")
+        own = coded.select(F.col("q").alias("key"), F.col("q").alias("b"), F.lit(0).alias("place"), "raw")
         sims = rows.unionByName(own).repartition("key").sortWithinPartitions("key", "place").mapInArrow(_exact, "a bigint, b bigint, similarity double")
         return sims.select(F.col("a").alias("q"), F.col("b").alias("id"), "similarity")
 
@@ -275,9 +304,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = rows["b"]
         if rows["place"][0] or len(b) < 2:
             continue
-        m = np.array([np.asarray(v, dtype=np.float64) for v in rows["vec"]])
-        m /= np.abs(m).max(axis=1, keepdims=True)
-        m /= np.sqrt((m * m).sum(axis=1, keepdims=True))
+        m = _unit_rows(rows["raw"])
         out_a.append(np.full(len(b) - 1, key, dtype=np.int64))
         out_b.append(b[1:])
         out_s.append(np.round(m[1:] @ m[0], 6) + 0.0)
