@@ -89,11 +89,14 @@ def exact_search(queries: DataFrame, items: DataFrame, k: int, metric: str = "co
     return top_by(scored, ["query"], k, ("score desc", "item"))
 
 
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: str, b: str) -> Column:
     """Cosine of two array columns, on the JVM; for pairs that are already joined."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.coalesce(F.when(norm > 0, dot(a, b) / norm), F.lit(0.0))
+    norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    return F.coalesce(F.when(norm > 0, _dot(a, b) / norm), F.lit(0.0))
 
 
 def history_vectors(tx: DataFrame, cutoff: dt.date, targets: DataFrame, items: DataFrame, most: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -147,11 +150,15 @@ def prior_powered_similarity(tx: DataFrame, cutoff: dt.date, targets: DataFrame,
     return top_by(near, ["customer_id"], k, ("score desc", "article_id"))
 
 
-def pair_cosines(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
-    """``customer_id, article_id, cosine`` for given pairs; 0 where either has no vector. Each pair is scored once."""
+def pair_scores(pairs: DataFrame, queries: DataFrame, items: DataFrame, score=cosine, name: str = "cosine") -> DataFrame:
+    """``customer_id, article_id`` and a score of given pairs; 0 where either has no vector. Each pair is scored once."""
     once = pairs.select("customer_id", "article_id").distinct()
     joined = once.join(queries.select(F.col("query").alias("customer_id"), F.col("vec").alias("a")), "customer_id", "left").join(items.select(F.col("item").alias("article_id"), F.col("vec").alias("b")), "article_id", "left")
-    return joined.select("customer_id", "article_id", F.round(F.coalesce(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), cosine("a", "b")), F.lit(0.0)), 9).alias("cosine"))
+    return joined.select("customer_id", "article_id", F.round(F.coalesce(F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), score("a", "b")), F.lit(0.0)), 9).alias(name))
+
+
+def pair_dots(pairs: DataFrame, queries: DataFrame, items: DataFrame) -> DataFrame:
+    return pair_scores(pairs, queries, items, _dot, "two_tower_score")
 
 
 def aligned(vocabulary: DataFrame, items: DataFrame, dim: int) -> DataFrame:

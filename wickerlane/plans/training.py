@@ -94,10 +94,7 @@ def L7_factor_evaluation(spark: S, d: str) -> D:
 @query()
 def I13_two_tower_score(spark: S, d: str) -> D:
     users, items = tr.factors(past(spark, d))
-    pairs = all_candidates(spark, d).select("customer_id", "article_id").distinct()
-    joined = pairs.join(users.select(F.col("query").alias("customer_id"), F.col("vec").alias("a")), "customer_id", "left").join(items.select(F.col("item").alias("article_id"), F.col("vec").alias("b")), "article_id", "left")
-    dot = F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    return joined.select("customer_id", "article_id", F.coalesce(dot, F.lit(0.0)).alias("two_tower_score"))
+    return vc.pair_dots(all_candidates(spark, d), users, items)
 
 
 def _linear_rows(spark: S, d: str, split) -> D:

@@ -91,7 +91,7 @@ def I11_prior_powered_similarity(spark: S, d: str) -> D:
 def I14_content_user_cosine(spark: S, d: str) -> D:
     items = text_vectors(spark, d)
     _, queries = vc.history_vectors(tx(spark, d), CUT, targets(spark, d), items)
-    return vc.pair_cosines(all_candidates(spark, d), queries, items).withColumn("cosine", settled("cosine"))
+    return vc.pair_scores(all_candidates(spark, d), queries, items).withColumn("cosine", settled("cosine"))
 
 
 @query(
