@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from wickerlane.operators import history, popularity
 from wickerlane.operators.temporal import before, lookback
+from wickerlane.workspace import materialize
 
 COLUMNS = ("customer_id", "article_id", "source", "source_rank", "source_score")
 
@@ -25,16 +26,17 @@ def for_everyone(ranking: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.select("customer_id", F.lit(1).alias("all_")).join(F.broadcast(ranking.withColumn("all_", F.lit(1))), "all_").drop("all_")
 
 
-def repeat_source(tx: DataFrame, cutoff: dt.date, targets: DataFrame, k: int) -> DataFrame:
-    return as_source(popularity.repeats(tx, cutoff, targets, k), "repeat")
+def repeat_source(tx: DataFrame, cutoff: dt.date, targets: DataFrame, k: int, state: DataFrame | None = None) -> DataFrame:
+    return as_source(popularity.repeats(tx, cutoff, targets, k, state), "repeat")
 
 
 def recent_source(tx: DataFrame, cutoff: dt.date, targets: DataFrame, k: int, days: int = 7, name: str = "recent_popularity") -> DataFrame:
     return as_source(for_everyone(popularity.top(popularity.article_stats(lookback(tx, cutoff, days)), k), targets), name)
 
 
-def all_time_source(tx: DataFrame, cutoff: dt.date, targets: DataFrame, k: int) -> DataFrame:
-    return as_source(for_everyone(popularity.top(popularity.article_stats(before(tx, cutoff)), k), targets), "all_time_popularity")
+def all_time_source(tx: DataFrame, cutoff: dt.date, targets: DataFrame, k: int, state: DataFrame | None = None) -> DataFrame:
+    stats = popularity.article_stats(before(tx, cutoff)) if state is None else popularity.stats_of_state(state)
+    return as_source(for_everyone(popularity.top(stats, k), targets), "all_time_popularity")
 
 
 def co_visitation_source(tx: DataFrame, cutoff: dt.date, targets: DataFrame, k: int, **options) -> DataFrame:
@@ -63,12 +65,17 @@ def union(parts: list[DataFrame]) -> DataFrame:
 
 
 def every_source(tx: DataFrame, cutoff: dt.date, targets: DataFrame, segments: DataFrame, garment: DataFrame, product: DataFrame, k: int = 12, days: int = 7, short: tuple[int, ...] = (1, 3)) -> DataFrame:
-    """The relational sources as one candidate table."""
-    parts = [repeat_source(tx, cutoff, targets, k), recent_source(tx, cutoff, targets, k, days)]
+    """The relational sources as one candidate table.
+
+    The log is read and exchanged once, into a state per pair that is written; all sources that look back beyond the recent
+    days roll up from it.
+    """
+    state, targets = materialize(popularity.purchase_state(tx, cutoff), "purchase-state"), materialize(targets.select("customer_id"), "targets")
+    parts = [repeat_source(tx, cutoff, targets, k, state), recent_source(tx, cutoff, targets, k, days)]
     parts += [recent_source(tx, cutoff, targets, k, n, f"recent_popularity_{n}d") for n in short]
-    parts += [all_time_source(tx, cutoff, targets, k), co_visitation_source(tx, cutoff, targets, k), seasonal_source(tx, cutoff, targets, k)]
+    parts += [all_time_source(tx, cutoff, targets, k, state), co_visitation_source(tx, cutoff, targets, k, state=state), seasonal_source(tx, cutoff, targets, k)]
     parts += [segment_source(tx, cutoff, targets, segments, k, days)]
-    parts += [affinity_source(tx, cutoff, targets, garment, k, "garment_group_popularity"), affinity_source(tx, cutoff, targets, product, k, "product_code_popularity")]
+    parts += [affinity_source(tx, cutoff, targets, garment, k, "garment_group_popularity", state=state), affinity_source(tx, cutoff, targets, product, k, "product_code_popularity", state=state)]
     return union(parts)
 
 

@@ -36,12 +36,13 @@ def neighbours(counts: DataFrame, most: int = 100) -> DataFrame:
     return top_by(counts, ["article_id"], most, ("n desc", "other_id"))
 
 
-def co_visitation(tx: DataFrame, cutoff: dt.date, targets: DataFrame, k: int = 12, history_items: int = 8, neighbour_items: int = 100) -> DataFrame:
+def co_visitation(tx: DataFrame, cutoff: dt.date, targets: DataFrame, k: int = 12, history_items: int = 8, neighbour_items: int = 100, state: DataFrame | None = None) -> DataFrame:
     """``customer_id, article_id, score, rank``: neighbours of the history, each counted over its history position.
 
-    Scores are summed as whole multiples of 1 / lcm(1..history_items), so equal scores are exactly equal.
+    Scores are summed as whole multiples of 1 / lcm(1..history_items), so equal scores are exactly equal. ``state`` is a
+    ``purchase_state`` of the same cutoff, if there is one.
     """
-    history = recent_unique(before(tx, cutoff), most=history_items)
+    history = recent_unique(before(tx, cutoff) if state is None else state, most=history_items)
     near = neighbours(pair_counts(history), neighbour_items)
     return co_visitation_scores(history.join(targets.select("customer_id"), "customer_id", "left_semi"), near, k, history_items)
 
@@ -63,14 +64,14 @@ def co_visitation_coverage(history: DataFrame, near: DataFrame, k: int = 12) ->
 
 
 def attribute_affinity(
-    tx: DataFrame, cutoff: dt.date, targets: DataFrame, attributes: DataFrame, k: int = 12, lookback_days: int = 7, history_values: int = 8, most_per_value: int | None = None
+    tx: DataFrame, cutoff: dt.date, targets: DataFrame, attributes: DataFrame, k: int = 12, lookback_days: int = 7, history_values: int = 8, most_per_value: int | None = None, state: DataFrame | None = None
 ) -> DataFrame:
     """Articles popular within the attribute values of a customer's history, over the value's position in it.
 
     ``attributes`` has ``article_id, value``; transactions of unknown articles are skipped. The bound counts values.
     """
-    past = before(tx, cutoff).join(attributes, "article_id")
-    popular = log_popularity(lookback(past, cutoff, lookback_days), ["value"], most_per_value)
+    past = (before(tx, cutoff) if state is None else state).join(attributes, "article_id")
+    popular = log_popularity(lookback(tx, cutoff, lookback_days).join(attributes, "article_id"), ["value"], most_per_value)
     mine = recent_unique(past.join(targets.select("customer_id"), "customer_id", "left_semi"), "value", history_values)
     # A customer's list is complete once each value has given its first k articles.
     met = mine.join(popular.where(F.col("rank") <= k).select("value", "article_id", "score"), "value")

@@ -35,6 +35,19 @@ def pair_stats(tx: DataFrame) -> DataFrame:
     return tx.groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("n"), F.max("t_dat").alias("last_day"))
 
 
+def purchase_state(tx: DataFrame, cutoff: dt.date) -> DataFrame:
+    """``customer_id, article_id, n, last_day, seq`` of pairs before the cutoff: what every history-based source needs.
+
+    Counts add up, days and sequences take the greatest, so articles, customers and attribute values roll up from here
+    without another pass over the log.
+    """
+    return before(tx, cutoff).groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("n"), F.max("t_dat").alias("last_day"), F.max("seq").alias("seq"))
+
+
+def stats_of_state(state: DataFrame) -> DataFrame:
+    return state.groupBy("article_id").agg(F.sum("n").alias("n"), F.max("last_day").alias("last_day"))
+
+
 def top(stats: DataFrame, k: int, keys: tuple[str, ...] = BY_COUNT) -> DataFrame:
     """The first ``k`` rows with ``rank``; each partition sends k rows, so only k reach the last one."""
     if k < 1:
@@ -49,10 +62,11 @@ def top_by(stats: DataFrame, groups: list[str], k: int | None, keys: tuple[str,
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
-def repeats(tx: DataFrame, cutoff: dt.date, targets: DataFrame, k: int = 12) -> DataFrame:
+def repeats(tx: DataFrame, cutoff: dt.date, targets: DataFrame, k: int = 12, state: DataFrame | None = None) -> DataFrame:
     """Each target customer's own articles, most often bought first."""
-    own = before(tx, cutoff).join(targets.select("customer_id"), "customer_id", "left_semi")
-    return top_by(pair_stats(own), ["customer_id"], k)
+    who = targets.select("customer_id")
+    own = state.join(who, "customer_id", "left_semi").drop("seq") if state is not None else pair_stats(before(tx, cutoff).join(who, "customer_id", "left_semi"))
+    return top_by(own, ["customer_id"], k)
 
 
 def log_popularity(tx: DataFrame, groups: list[str] = (), most: int | None = None) -> DataFrame:

@@ -253,12 +253,12 @@ MORE.update(_behavioral_sql())
 
 @query(sql("SELECT * FROM behavior"))
 def J9_behavioral_features(spark: S, d: str) -> D:
-    pairs = all_candidates(spark, d).select("customer_id", "article_id")
+    pairs = materialize(all_candidates(spark, d).select("customer_id", "article_id").distinct(), "pairs")
     return r6(bh.features(tx(spark, d), CUT, pairs, table(spark, d, "articles")), *bh.names())
 
 
 def _stores(spark: S, d: str) -> dict[str, D]:
-    return bh.stores(tx(spark, d), CUT, all_candidates(spark, d).select("customer_id", "article_id"), table(spark, d, "articles"))
+    return bh.stores(tx(spark, d), CUT, materialize(all_candidates(spark, d).select("customer_id", "article_id").distinct(), "pairs"), table(spark, d, "articles"))
 
 
 @query(sql("SELECT customer_id, n, n1, n3, n7, n30, articles, first, last, c2, round(s + 1e-9, 6) AS s FROM bcust"))
