@@ -18,7 +18,7 @@ from wickerlane.functions.text import label
 from wickerlane.operators import behavioral, candidates, content, eda, fusion, metrics, popularity, reports, submission, temporal, training, tuning, validate, vectors
 from wickerlane.operators import features as ft
 from wickerlane.operators.temporal import Split
-from wickerlane.workspace import filesystem, materialize
+from wickerlane.workspace import filesystem, materialize, ship
 
 COMMANDS: dict[str, tuple[Callable[[Step], DataFrame], bool]] = {}
 
@@ -272,6 +272,7 @@ def parser() -> argparse.ArgumentParser:
 
 def run(spark: SparkSession, arguments: list[str]) -> None:
     a = parser().parse_args(arguments)
+    ship(spark)
     plan, report = COMMANDS[a.command]
     out = plan(Step(spark, a))
     if report:

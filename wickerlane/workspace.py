@@ -3,21 +3,40 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
+_SHIPPED: set[str] = set()
+
+
+@cache
+def _archive() -> str:
+    package = Path(__file__).resolve().parent
+    return shutil.make_archive(f"{tempfile.mkdtemp(prefix='wickerlane-')}/wickerlane", "zip", package.parent, package.name)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that none needs it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        spark.sparkContext.addPyFile(_archive())
+
+
+@cache
+def _own_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="wickerlane-")
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="wickerlane-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_root()).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
