@@ -114,8 +114,9 @@ class PairTable:
             held = self._member_layers(state).join(touched, "basket", "left_semi")
             newest = held.withColumn("top", F.max("layer").over(Window.partitionBy("basket"))).where(F.col("top") == F.col("layer"))
             flow = flow.unionByName(newest.select("basket", F.inline("items")).select("basket", "item", F.lit(0).cast("bigint").alias("d"), F.col("n").alias("was")))
-        # One exchange, by basket; counting, sizing and gathering below all keep it.
-        flow = flow.repartition(F.col("basket")).groupBy("basket", "item").agg(F.sum("was").alias("was"), F.sum("d").alias("d"))
+        # Rows are combined first: a basket that holds a third of all rows then has at most one per item. The second
+        # exchange is by basket; sizing and gathering below keep it.
+        flow = flow.groupBy("basket", "item").agg(F.sum("was").alias("was"), F.sum("d").alias("d")).repartition(F.col("basket"))
         flow = flow.withColumn("parts", F.ceil(F.count(F.lit(1)).over(Window.partitionBy("basket")) / self.block_items).cast("int"))
         flow = flow.groupBy("basket", "parts", F.pmod(F.hash("item"), F.col("parts")).alias("part")).agg(
             F.array_sort(F.collect_list(F.struct("item", (F.col("was") + F.col("d")).alias("n"), "was"))).alias("items")
