@@ -37,21 +37,27 @@ def sampling_log_q(tx: DataFrame, smoothing: float = 1.0) -> DataFrame:
     return counts.join(F.broadcast(total), F.lit(True)).select("article_id", q.alias("q"), F.log(q).alias("log_q"))
 
 
-def vocabulary(df: DataFrame, column: str, first_index: int = 0) -> DataFrame:
-    """``idx, item`` with contiguous indices by item; ranks go over distinct items range-partitioned, not over one task.
+def running_sums(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``, the sum of ``value`` over all rows before by ``key`` (unique), without a window over everything.
 
-    Offsets of the ranges come from their counts, of which there are as many as partitions.
+    Rows are range-partitioned and summed within partitions; the offsets of the partitions come from their sums, of which
+    there are as many as partitions.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    items = materialize(df.select(F.col(column).alias("item")).dropna().distinct().repartitionByRange(parts, "item").withColumn("part", F.spark_partition_id()), "vocabulary")
-    sizes = items.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("item").alias("low")).orderBy("low").collect()
-    starts, at = [], first_index
-    for r in sizes:
-        starts.append((r["part"], at))
-        at += r["n"]
-    offsets = df.sparkSession.createDataFrame(starts, "part int, offset bigint")
-    place = F.row_number().over(Window.partitionBy("part").orderBy("item")) - 1
-    return items.join(F.broadcast(offsets), "part").select((F.col("offset") + place).alias("idx"), "item")
+    rows = materialize(df.repartitionByRange(parts, key).withColumn("part_", F.spark_partition_id()), "running-sums")
+    starts, at = [], 0
+    for r in rows.groupBy("part_").agg(F.sum(value).alias("s"), F.min(key).alias("low")).orderBy("low").collect():
+        starts.append((r["part_"], at))
+        at += r["s"] or 0
+    offsets = df.sparkSession.createDataFrame(starts, "part_ int, offset_ bigint")
+    before_ = F.coalesce(F.sum(value).over(Window.partitionBy("part_").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(offsets), "part_").withColumn(name, F.col("offset_") + before_).drop("part_", "offset_")
+
+
+def vocabulary(df: DataFrame, column: str, first_index: int = 0) -> DataFrame:
+    """``idx, item`` with contiguous indices in the order of the items."""
+    items = df.select(F.col(column).alias("item")).dropna().distinct().withColumn("one", F.lit(1).cast("bigint"))
+    return running_sums(items, "item", "one", "idx").select((F.col("idx") + first_index).alias("idx"), "item")
 
 
 def negatives(pairs: DataFrame, tx: DataFrame, per_positive: int = 1, seed: int = 42, sampling: str = "random", spare: int = 4) -> DataFrame:
@@ -81,7 +87,7 @@ def negatives(pairs: DataFrame, tx: DataFrame, per_positive: int = 1, seed: int
     if sampling != "random":
         # Runs longer than a step are listed under each step they cross, so that a spot finds its run by an equi-join.
         step = max(1, total // max(1, size))
-        ends = runs.withColumn("end", F.sum("n").over(Window.orderBy("idx"))).withColumn("start", F.col("end") - F.col("n"))  # vocabulary-sized
+        ends = running_sums(runs, "idx", "n", "start").withColumn("end", F.col("start") + F.col("n"))
         listed = ends.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor((F.col("end") - 1) / step)))).select("cell", "start", "end", "item")
         hit = draws.where("popular").withColumn("cell", F.floor(F.col("spot") / step)).join(listed, "cell").where((F.col("spot") >= F.col("start")) & (F.col("spot") < F.col("end")))
         picked = uniform.unionByName(hit.select("customer_id", "article_id", "number", F.col("item").alias("negative_id")))
