@@ -60,6 +60,7 @@ def test_japanese_through_multibyte_encodings(wrong, right):
 
 def test_only_spans_are_touched():
     assert repair("Wash at 13 Â°C. Wash at 38 °C.")[0] == "Wash at 13 °C. Wash at 38 °C."
+    assert repair("x? SÃ\xad, claro. Die MÃ¤ntel")[0] == "x? Sí, claro. Die Mäntel" and repair("SÃ\xad, claro")[0] == "Sí, claro" and repair("LÃ® azul")[1] == []
     assert repair("MÃ¤ntel")[0] == "Mäntel" and repair("GRÃ–SSE")[0] == "GRÖSSE"
     long = "Größe " * 20_000
     assert repair(long + "fÃ¼r " + long)[0] == long + "für " + long

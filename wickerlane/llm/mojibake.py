@@ -90,9 +90,11 @@ def plausible(codec: str, text: str, a: int, b: int, decoded: str) -> int:
     if quoted(text, a, b) or any(not _COMMON.match(c) for c in decoded):
         return 0
     before, after = text[max(0, a - 2) : a], text[b : b + 1]
-    capitals = before[-1:].isupper() and (before.isupper() and len(before) == 2 or not after.islower())
-    if len(decoded) == 1 and capitals and raw[0].isupper() and (decoded.islower() or raw[1:] in _MARKS):
-        return 0  # a capital that ends a word in capitals, before a mark of its own: MAÇÃ®, IRMÃ™
+    if len(decoded) == 1 and raw[0].isupper() and before[-1:].isupper():
+        # A capital that ends a word in capitals, before a mark of its own: MAÇÃ®, IRMÃ™, LÃ®. (But SÃ\xad is Sí.)
+        word = len(before) == 2 and before.isalpha() and before.isupper()
+        if raw[1:] in _MARKS and (word or not after.islower()) or word and decoded.islower():
+            return 0
     if codec in CYRILLIC:
         # Sound Cyrillic may hold a pair such as "Рё"; garbled text is dense, or holds what no Russian word has.
         odd = sum(c not in "ёЁ№«»—–…“”„’°§±·©® " and not ("А" <= c <= "я") for c in raw)
