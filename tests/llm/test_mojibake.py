@@ -86,3 +86,12 @@ def test_one_byte_encodings_are_told_by_words(spark):
 def test_copies_come_out_and_nothing_gives_nothing(spark):
     assert set(run(spark, ["fÃ¼r", "fÃ¼r", "für"])) == {0, 1}
     assert run(spark, []) == {}
+
+
+def test_copies_do_not_outvote_the_words(spark):
+    """Copies of a swapped text all come out, however many, and do not make sound texts cases."""
+    sound = [f"{TEXTS['ru']} {i}" for i in range(5)]
+    swapped = TEXTS["ru"].encode("cp1251").decode("koi8_r")
+    got = run(spark, sound + [swapped] * 60)
+    assert set(got) == set(range(5, 65)) and {r["restored"] for r in got.values()} == {TEXTS["ru"]}
+    assert set(run(spark, [TEXTS["de"]] * 8 + [TEXTS["de"].encode("cp1252").decode("cp850")])) == {8}  # a sound text may have its words from copies alone

@@ -233,12 +233,12 @@ _LETTER = re.compile(r"[^\W\d_]")
 def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for w, n in zip(pdf["word"], pdf["n"]):
+        for w, n, rows in zip(pdf["word"], pdf["n"], pdf["rows"]):
             for pair in SWAPPED:
                 d = w.translate(swap_table(*pair))
                 if d != w and len(_LETTER.findall(d)) >= 3 and len(d) == len(w) and all(_COMMON.match(c) for c in d if c > "\x7f"):
-                    out.append((w, n, f"{pair[0]}<{pair[1]}", d))
-        yield pd.DataFrame(out, columns=["word", "n", "pair", "reading"])
+                    out.append((w, n, rows, f"{pair[0]}<{pair[1]}", d))
+        yield pd.DataFrame(out, columns=["word", "n", "rows", "pair", "reading"])
 
 
 def _fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -262,8 +262,9 @@ def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
 
     Multibyte encodings are told by their byte structure (``repair``). Between one-byte encodings there is none to tell
     by, so the words do: a word with a non-ASCII character is garbled if another reading of its bytes is a word of at
-    least ``known`` texts and in ``times`` as many as the word itself; the counts are over all texts. ``encodings``
-    names the readings undone; ``lost`` tells of characters that cannot be had again (U+FFFD).
+    least ``known`` texts and in ``times`` as many as the word itself. The counts are over all distinct texts; counts over
+    rows do as well where those of distinct texts do not speak against them. ``encodings`` names the readings undone;
+    ``lost`` tells of characters that cannot be had again (U+FFFD).
 
     Defined cases: null, empty and ASCII texts never come out; escapes are left alone; a span alone between quotes is
     an example and no case; copies each come out; texts may be of any length and are taken whole; an empty table
@@ -273,15 +274,20 @@ def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
     texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]"))
     spans = texts.mapInPandas(_fix, f"id {kind}, restored string, encodings string, lost boolean")
 
-    # Read three times below: cheaper written once than cut out of the texts again.
-    words = materialize(texts.select("id", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(text, '{WORD}', 0)"))).alias("word")), "words")
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    readings = counts.mapInPandas(_readings, "word string, n bigint, pair string, reading string")
-    sound = counts.select(F.col("word").alias("reading"), F.col("n").alias("m"))
-    wrong = readings.join(sound, "reading").where((F.col("m") >= known) & (F.col("m") >= times * F.col("n"))).select("word", "pair", "m")
-    hits = words.join(wrong, "word").groupBy("id", "pair").agg(F.count(F.lit(1)).alias("hits"), F.sum("m").alias("m"))
-    best = hits.groupBy("id").agg(F.max_by("pair", F.struct("hits", "m", "pair")).alias("pair"))
-    swapped = texts.join(best, "id").mapInPandas(_unswap, f"id {kind}, restored string, encodings string, lost boolean")
+    # Words are cut out of distinct texts, since copies, however many, are one writing. They are read three times below:
+    # cheaper written once than cut out of the texts again.
+    texts = texts.withColumn("hash", F.unhex(F.md5("text")))
+    distinct = texts.groupBy("hash").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    words = materialize(distinct.select("hash", "copies", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(text, '{WORD}', 0)"))).alias("word")), "words")
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"))
+    readings = counts.mapInPandas(_readings, "word string, n bigint, rows bigint, pair string, reading string")
+    sound = counts.select(F.col("word").alias("reading"), F.col("n").alias("m"), F.col("rows").alias("sound_rows"))
+    more = lambda m, n: (F.col(m) >= known) & (F.col(m) >= times * F.col(n))
+    judged = more("m", "n") | more("sound_rows", "rows") & (F.col("m") >= F.col("n"))
+    wrong = readings.join(sound, "reading").where(judged).select("word", "pair", "m")
+    hits = words.join(wrong, "word").groupBy("hash", "pair").agg(F.count(F.lit(1)).alias("hits"), F.sum("m").alias("m"))
+    best = hits.groupBy("hash").agg(F.max_by("pair", F.struct("hits", "m", "pair")).alias("pair"))
+    swapped = texts.join(best, "hash").mapInPandas(_unswap, f"id {kind}, restored string, encodings string, lost boolean")
     # A text told by its bytes keeps that reading.
     both = spans.withColumn("first", F.lit(0)).unionByName(swapped.withColumn("first", F.lit(1)))
     one = both.groupBy("id").agg(F.min_by(F.struct("restored", "encodings", "lost"), "first").alias("r"))
