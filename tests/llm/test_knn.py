@@ -83,6 +83,22 @@ def test_copies_of_a_third(spark):
         assert got[f"{i:03d}"] == {f"{j:03d}": 1.0 for j in range(11) if j != i} or i > 10 and got[f"{i:03d}"] == {f"{j:03d}": 1.0 for j in range(10)}
 
 
+@pytest.mark.parametrize("noise", [0.045, 0.001])
+def test_recall_in_a_tight_group(spark, noise):
+    """Near copies: at cosine 0.998 the gaps, at 0.999999 nothing but ties by item, decide the list."""
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(64) / 8
+    m = (centre + noise / 8 * rng.standard_normal((500, 64))).astype(np.float32)
+    order = rng.permutation(500)  # ids run against the order of items
+    g = NeighbourGraph(usable(spark, [("p", f"{i:03d}", int(order[i]), m[i].tolist()) for i in range(500)], [("p", 64)]))
+    got: dict = {}
+    for r in g.neighbours(10).collect():
+        got.setdefault(r["item"], set()).add(r["other"])
+    want = brute([f"{i:03d}" for i in range(500)], m.astype(float), 11)
+    hits = sum(len(got[i] & {o for o, _ in [x for x in best if x[0] != i][:10]}) for i, best in want.items())
+    assert hits / 5000 >= 0.95
+
+
 def test_none_and_one(spark):
     g = NeighbourGraph(usable(spark, [("p", "a", 1, [1.0, 2.0])], [("p", 2)]))
     assert g.neighbours(10).count() == 0

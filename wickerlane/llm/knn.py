@@ -13,16 +13,10 @@ from pyspark.sql import functions as F
 from wickerlane.workspace import materialize
 
 TABLES = 4
-EDGE = "id bigint, nbr bigint, sim float, fresh boolean"
+EDGE = "id bigint, nbr bigint, sim double, fresh boolean"
 
 
 # -- arrays in Arrow batches -----------------------------------------------------------------------------------
-def _coded(codes: list[bytes]) -> np.ndarray:
-    """Unit vectors from their codes (4 bytes of scale, then one signed byte per dimension)."""
-    raw = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(codes), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view(np.float32)
-
-
 def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list]]]:
     """The rows of one key after the other, from batches sorted by ``key``."""
     key, held = None, {}
@@ -32,7 +26,7 @@ def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str,
         cols = {n: b.column(n) for n in b.schema.names}
         keys = cols.pop("key").to_numpy(zero_copy_only=False)
         cuts = np.flatnonzero(np.diff(keys)) + 1
-        lists = {n: c.to_pylist() if n in ("code", "raw") else c.to_numpy(zero_copy_only=False) for n, c in cols.items()}
+        lists = {n: c.to_pylist() if n == "raw" else c.to_numpy(zero_copy_only=False) for n, c in cols.items()}
         for a, z in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
             part = {n: v[a:z] for n, v in lists.items()}
             if key == keys[a] and held:
@@ -62,6 +56,12 @@ def _unit_rows(raw: list[bytes]) -> np.ndarray:
     return m
 
 
+def _cosines(raw: list[bytes]) -> np.ndarray:
+    """All cosines among the vectors, as results give them: to 6 decimals."""
+    m = _unit_rows(raw)
+    return np.round(m @ m.T, 6)
+
+
 class _Edges:
     """Directed edges, gathered and handed out in batches of bounded size, of each node's the ``k`` best."""
 
@@ -83,7 +83,7 @@ class _Edges:
             start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
             near = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)])) < self.k
             i, n, s = i[near], n[near], s[near]
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(s.astype(np.float32)), pa.array(np.ones(len(i), bool))], names=["id", "nbr", "sim", "fresh"])
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(s), pa.array(np.ones(len(i), bool))], names=["id", "nbr", "sim", "fresh"])
 
 
 def _leaf_edges(k: int) -> Callable:
@@ -93,8 +93,7 @@ def _leaf_edges(k: int) -> Callable:
             n = len(rows["id"])
             if n < 2:
                 continue
-            m = _coded(rows["code"])
-            s = m @ m.T
+            s = _cosines(rows["raw"])
             np.fill_diagonal(s, -np.inf)
             top = np.argpartition(-s, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)]
             a = np.repeat(np.arange(n), top.shape[1])
@@ -112,12 +111,12 @@ def _local_join(k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Edges(k)
         for _, rows in _by_key(batches):
-            ids, fresh, worst = rows["id"], rows["fresh"].astype(bool), rows["worst"]
+            ids, fresh, worst, last = rows["id"], rows["fresh"].astype(bool), rows["worst"][:, None], rows["last"][:, None]
             if len(ids) < 2 or not fresh.any():
                 continue
-            m = _coded(rows["code"])
-            s = m @ m.T
-            allowed = (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :]) & (s > worst[:, None])
+            s = _cosines(rows["raw"])
+            better = (s > worst) | (s == worst) & (ids[None, :] < last)
+            allowed = (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :]) & better
             a, b = np.nonzero(allowed)
             out.add(ids[a], ids[b], s[a, b])
             yield from out.flush()
@@ -127,26 +126,24 @@ def _local_join(k: int) -> Callable:
 
 
 def _encode(bits: dict[str, int], seed: int) -> Callable:
-    """Code, direction key and hash signatures of each vector."""
+    """Bytes, direction key and hash signatures of each vector."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for pdf in batches:
-            codes, keys, signs, raws = [], [], [], []
+            keys, signs, raws = [], [], []
             for g, v in zip(pdf["grp"], pdf["vec"]):
                 u = np.asarray(v, dtype=np.float64)
                 raws.append(_packed(u))
                 u = u / np.abs(u).max()  # so that the norm can neither overflow nor vanish
                 u = u / np.sqrt((u * u).sum())
-                scale = np.float32(np.abs(u).max() / 127)
-                codes.append(scale.tobytes() + np.rint(u / scale).astype(np.int8).tobytes())
                 keys.append(np.round(u, 6).__add__(0.0).astype(np.float32).tobytes())
                 b = bits.get(g, 1)
                 if (len(u), b) not in planes:
                     planes[len(u), b] = np.random.default_rng(seed + len(u)).standard_normal((TABLES * b, len(u)))
                 s = (planes[len(u), b] @ u > 0).reshape(TABLES, b)
                 signs.append((s * (1 << np.arange(b))).sum(axis=1).tolist())
-            yield pd.DataFrame({"grp": pdf["grp"], "item": pdf["item"], "id": pdf["id"], "code": codes, "direction": keys, "signs": signs, "raw": raws})
+            yield pd.DataFrame({"grp": pdf["grp"], "item": pdf["item"], "id": pdf["id"], "direction": keys, "signs": signs, "raw": raws})
 
     return run
 
@@ -163,8 +160,9 @@ class NeighbourGraph:
     another: neighbours of neighbours. Only pairs with a fresh member are compared, and only what beats a node's worst
     neighbour is sent on. It ends after ``rounds`` rounds, or when a round changes less than ``settle`` of the edges.
 
-    Vectors travel as one signed byte per dimension, whose noise can exceed the gaps within a tight cluster: results rank
-    all ``k`` edges again by similarities in double precision, so ``k`` should be about twice what is asked for.
+    Edges are compared and kept as results are ranked: by cosines in double precision to 6 decimals, ties by item, for
+    which vectors are numbered in the order of their items. A shorter code would lose the true neighbours in a tight
+    group, whose gaps are smaller than its noise. ``k`` should be about twice what is asked for.
     """
 
     def __init__(self, vectors: DataFrame, k: int = 24, sample: int = 12, leaf: int = 160, rounds: int = 6, settle: float = 0.01, seed: int = 17):
@@ -175,19 +173,23 @@ class NeighbourGraph:
         sizes = {r["grp"]: r["n"] for r in self.vectors.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per group of the index
         self.bits = {g: max(1, int(np.ceil(np.log2(max(2, n) / (leaf / 2))))) for g, n in sizes.items()}
         kind = dict(self.vectors.dtypes)
-        coded = self.vectors.mapInPandas(_encode(self.bits, seed), f"grp {kind['grp']}, item {kind['item']}, id bigint, code binary, direction binary, signs array<bigint>, raw binary")
+        # From here on ``id`` is the number of a vector in the order of items; ``members`` has the id given as ``given``.
+        numbered = self.vectors.orderBy("item", "id").withColumn("given", F.col("id")).withColumn("id", F.monotonically_increasing_id())
+        numbered = materialize(numbered, "knn-numbered")
+        coded = numbered.mapInPandas(_encode(self.bits, seed), f"grp {kind['grp']}, item {kind['item']}, id bigint, direction binary, signs array<bigint>, raw binary")
         self.coded = materialize(coded, "knn-codes")
         first = self.coded.groupBy("grp", "direction").agg(F.min("id").alias("rep"))
-        self.members = materialize(self.coded.select("grp", "item", "id", "direction").join(first, ["grp", "direction"]).select("grp", "item", "id", "rep"), "knn-members")
-        self.nodes = materialize(self.coded.join(self.members.where("id = rep").select("id"), "id", "left_semi").select("grp", "id", "code", "signs"), "knn-nodes")
+        members = self.coded.select("grp", "item", "id", "direction").join(first, ["grp", "direction"]).join(numbered.select("id", "given"), "id")
+        self.members = materialize(members.select("grp", "item", "id", "given", "rep"), "knn-members")
+        self.nodes = materialize(self.coded.join(self.members.where("id = rep").select("id"), "id", "left_semi").select("grp", "id", "raw", "signs"), "knn-nodes")
         self.edges = self._descend()
 
     # -- building ------------------------------------------------------------------------------------------
     def _leaves(self) -> DataFrame:
-        tabled = self.nodes.select("grp", "id", "code", F.posexplode("signs").alias("tab", "sign"))
+        tabled = self.nodes.select("grp", "id", "raw", F.posexplode("signs").alias("tab", "sign"))
         sizes = tabled.groupBy("grp", "tab", "sign").agg(F.count(F.lit(1)).alias("n"))
         chunked = tabled.join(sizes, ["grp", "tab", "sign"]).withColumn("chunk", F.pmod(F.xxhash64("id", "tab"), F.ceil(F.col("n") / self.leaf)))
-        keyed = chunked.select(F.xxhash64("grp", "tab", "sign", "chunk").alias("key"), "id", "code")
+        keyed = chunked.select(F.xxhash64("grp", "tab", "sign", "chunk").alias("key"), "id", "raw")
         return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_leaf_edges(self.k), EDGE)
 
     def _best(self, edges: DataFrame) -> DataFrame:
@@ -205,9 +207,10 @@ class NeighbourGraph:
         lists = lists.unionByName(back.withColumn("p", pick).where(F.col("p") <= self.sample).select("key", "id", "fresh"))
         lists = lists.groupBy("key", "id").agg(F.max("fresh").alias("fresh"))
         busy = lists.where("fresh").select("key").distinct()
-        worst = graph.groupBy("id").agg(F.when(F.count(F.lit(1)) >= self.k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("worst"))
-        carried = self.nodes.select("id", "code").join(worst, "id")
-        rows = lists.join(busy, "key", "left_semi").join(carried, "id").select("key", "id", "fresh", "worst", "code")
+        full = lambda c, other: F.coalesce(F.max(F.when(F.col("r") == self.k, F.col(c))), F.lit(other))
+        worst = graph.groupBy("id").agg(full("sim", -2.0).alias("worst"), full("nbr", 0).cast("bigint").alias("last"))
+        carried = self.nodes.select("id", "raw").join(worst, "id")
+        rows = lists.join(busy, "key", "left_semi").join(carried, "id").select("key", "id", "fresh", "worst", "last", "raw")
         return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_local_join(self.k), EDGE)
 
     def _descend(self) -> DataFrame:
@@ -259,8 +262,8 @@ class NeighbourGraph:
         shaped = queries.select("grp", F.col("query").cast("string").alias("item"), F.xxhash64(F.col("query").cast("string")).alias("id"), "vec")
         keyed = queries.select(F.xxhash64(F.col("query").cast("string")).alias("q"), "query")
         kind = dict(shaped.dtypes)
-        coded = shaped.mapInPandas(_encode(self.bits, self.seed), f"grp {kind['grp']}, item string, id bigint, code binary, direction binary, signs array<bigint>, raw binary")
-        coded = materialize(coded.select("grp", F.col("id").alias("q"), "code", "signs", "raw"), "knn-queries")
+        coded = shaped.mapInPandas(_encode(self.bits, self.seed), f"grp {kind['grp']}, item string, id bigint, direction binary, signs array<bigint>, raw binary")
+        coded = materialize(coded.select("grp", F.col("id").alias("q"), "signs", "raw"), "knn-queries")
         tabled = self.nodes.select("grp", "id", F.posexplode("signs").alias("tab", "sign"))
         doors = tabled.withColumn("p", F.row_number().over(Window.partitionBy("grp", "tab", "sign").orderBy(F.xxhash64("id")))).where(F.col("p") <= entries)
         flips = F.expr("concat(array(sign), transform(sequence(0, 3), i -> sign ^ shiftleft(1L, i)))")
@@ -275,11 +278,11 @@ class NeighbourGraph:
                 break
         sims = self._exact_queries(beamed.select("q", "id"), coded)
         last = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))
-        return sims.withColumn("rank", last).where(F.col("rank") <= k).join(keyed, "q").select("query", "id", "similarity", "rank")
+        return sims.withColumn("rank", last).where(F.col("rank") <= k).join(keyed, "q").join(self.members.select("id", "given"), "id").select("query", F.col("given").alias("id"), "similarity", "rank")
 
     def _score(self, pairs: DataFrame, coded: DataFrame, beam: int, held: DataFrame | None) -> DataFrame:
-        rows = pairs.join(self.nodes.select("id", "code"), "id").join(coded.select("q", F.col("code").alias("own")), "q")
-        scored = rows.mapInArrow(_score_codes, "q bigint, id bigint, sim float").withColumn("done", F.lit(False))
+        rows = pairs.join(self.nodes.select("id", "raw"), "id").join(coded.select("q", F.col("raw").alias("own")), "q")
+        scored = rows.mapInArrow(_score_pairs, "q bigint, id bigint, sim double").withColumn("done", F.lit(False))
         if held is not None:
             scored = scored.unionByName(held)
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "id"))
@@ -315,12 +318,12 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch()
 
 
-def _score_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _score_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        code, own = b.column("code").to_pylist(), b.column("own").to_pylist()
-        sims = np.empty(len(code), dtype=np.float32)
-        lengths = np.array([len(c) for c in code])
-        for n in np.unique(lengths):
-            at = np.flatnonzero(lengths == n)
-            sims[at] = (_coded([code[i] for i in at]) * _coded([own[i] for i in at])).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("id"), pa.array(sims)], names=["q", "id", "sim"])
+        raw, own = b.column("raw").to_pylist(), b.column("own").to_pylist()
+        sims = np.empty(len(raw))
+        sizes = np.array([(len(r) - 1) // (4 if r[:1] == b"f" else 8) for r in raw])
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            sims[at] = (_unit_rows([raw[i] for i in at]) * _unit_rows([own[i] for i in at])).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([b.column("q"), b.column("id"), pa.array(np.round(sims, 6))], names=["q", "id", "sim"])
