@@ -83,6 +83,20 @@ def test_copies_of_a_third(spark):
         assert got[f"{i:03d}"] == {f"{j:03d}": 1.0 for j in range(11) if j != i} or i > 10 and got[f"{i:03d}"] == {f"{j:03d}": 1.0 for j in range(10)}
 
 
+def test_search_finds_copies(spark):
+    """A query whose direction a third of the rows share gets ten of them; one of another class its true ones."""
+    m = rows_of(120, 8, 5).astype(np.float32)
+    m[:40] = m[0]
+    g = NeighbourGraph(usable(spark, [("p", f"{i:03d}", 500 - i, m[i].tolist()) for i in range(120)], [("p", 8)]), leaf=16)
+    asked = g.vectors.where(F.col("id").isin(490, 500, 400)).select(F.col("id").alias("query"), "grp", "vec")
+    found: dict = {}
+    for r in g.search(asked, 10).collect():
+        found.setdefault(r["query"], {})[r["id"]] = r["similarity"]
+    assert found[490] == found[500] == {500 - j: 1.0 for j in range(10)}
+    want = {500 - int(i) for i, _ in brute([f"{i:03d}" for i in range(120)], m.astype(float), 10)["100"]}
+    assert len(found[400]) == 10 and len(want & found[400].keys()) >= 8
+
+
 @pytest.mark.parametrize("noise", [0.045, 0.001])
 def test_recall_in_a_tight_group(spark, noise):
     """Near copies: at cosine 0.998 the gaps, at 0.999999 nothing but ties by item, decide the list."""

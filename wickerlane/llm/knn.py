@@ -252,13 +252,14 @@ class NeighbourGraph:
         return named.withColumn("rank", rank).where(F.col("rank") <= k).select("grp", "item", "other", "similarity", "rank")
 
     def search(self, queries: DataFrame, k: int = 10, beam: int = 32, rounds: int = 8, entries: int = 6) -> DataFrame:
-        """``query, id, similarity, rank``: the ``k`` most similar classes' representatives, by greedy search of the graph.
+        """``query, id, similarity, rank``: the ``k`` most similar vectors, ties by item, by greedy search of the graph.
 
         ``queries`` have ``query`` (unique), ``grp`` and ``vec``. A search enters at up to ``entries`` nodes that share a
         signature in each table, then in each round expands the unexpanded nodes of its beam to their neighbours and
-        keeps the best ``beam``; it ends when no beam changes, or after ``rounds``. A query vector is not left out of
-        its own result. Queries of unknown groups give nothing.
+        keeps the best ``beam`` (at least ``k``); it ends when no beam changes, or after ``rounds``. The classes of the last
+        beam are expanded to their members. A query vector is not left out of its own result. Queries of unknown groups give nothing.
         """
+        beam = max(beam, k)
         shaped = queries.select("grp", F.col("query").cast("string").alias("item"), F.xxhash64(F.col("query").cast("string")).alias("id"), "vec")
         keyed = queries.select(F.xxhash64(F.col("query").cast("string")).alias("q"), "query")
         kind = dict(shaped.dtypes)
@@ -276,7 +277,8 @@ class NeighbourGraph:
             beamed = materialize(self._score(step, coded, beam, beamed.withColumn("done", F.lit(True))), "knn-beam")
             if beamed.where("NOT done").limit(1).count() == 0:
                 break
-        sims = self._exact_queries(beamed.select("q", "id"), coded)
+        met = beamed.select("q", F.col("id").alias("rep")).join(self._shown(k), "rep").select("q", F.col("other").alias("id"))
+        sims = self._exact_queries(met, coded)
         last = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "id"))
         return sims.withColumn("rank", last).where(F.col("rank") <= k).join(keyed, "q").join(self.members.select("id", "given"), "id").select("query", F.col("given").alias("id"), "similarity", "rank")
 
