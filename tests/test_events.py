@@ -67,6 +67,19 @@ def test_features_match_one_batch(spark, tmp_path):
     assert rows(got) == rows(f.features(f.counters(events(spark, EVENTS))))
 
 
+def test_features_go_on_after_a_restart(spark, tmp_path):
+    """A second run with the same checkpoint, in a driver that knows no table, keeps the rows of untouched entities."""
+    f, where = features(), (str(tmp_path / "out"), str(tmp_path / "check"))
+    f.run(spark, stream_of(spark, tmp_path, EVENTS[:3]), *where).collect()
+    for data in (EVENTS[4:6], []):  # another entity; then nothing new
+        for t in spark.catalog.listTables():
+            if t.name.startswith("wickerlane_store_"):
+                spark.sql(f"DROP TABLE {t.name}")
+        stream = stream_of(spark, tmp_path, data) if data else parquet_stream(spark, str(tmp_path / "in"))
+        got = f.run(spark, stream, *where)
+        assert rows(got) == rows(f.features(f.counters(events(spark, EVENTS[:3] + EVENTS[4:6]))))
+
+
 def test_features_of_nothing(spark, tmp_path):
     out = features().run(spark, stream_of(spark, tmp_path, []), str(tmp_path / "out"), str(tmp_path / "check"))
     assert out.count() == 0 and "mean_type2_7d" in out.columns

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerlane.workspace import remove
+from wickerlane.workspace import filesystem, remove
 
 
 class BucketedTable:
-    """Rows by unique ``keys`` under ``path``; each upsert writes a new version and then drops the former one."""
+    """Rows by unique ``keys`` under ``path``; each upsert writes a new version and then drops the former one.
+
+    A manifest beside the versions names the one in use, with its schema and buckets; ``load`` goes on from it.
+    """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int | None = None):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
@@ -23,6 +27,28 @@ class BucketedTable:
     def _name(self) -> str:
         return f"wickerlane_store_{self.version}"
 
+    def load(self) -> None:
+        """Take up the version that an earlier run or driver left, if there is one."""
+        fs, p = filesystem(self.spark, f"{self.path}/manifest.json")
+        if not fs.exists(p):
+            fs, p = filesystem(self.spark, f"{self.path}/manifest-new.json")  # the driver died between delete and rename
+        if not fs.exists(p):
+            return
+        state = json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0])
+        self.version, self.buckets = state["version"], state["buckets"]
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in T.StructType.fromJson(state["schema"]))
+        keys = ", ".join(f"`{k}`" for k in self.keys)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name()} ({columns}) USING parquet CLUSTERED BY ({keys}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{self.version}'")
+
+    def _commit(self, schema: T.StructType) -> None:
+        fs, p = filesystem(self.spark, f"{self.path}/manifest.json")
+        _, new = filesystem(self.spark, f"{self.path}/manifest-new.json")
+        out = fs.create(new, True)
+        out.write(bytearray(json.dumps({"version": self.version, "buckets": self.buckets, "schema": schema.jsonValue()}).encode()))
+        out.close()
+        fs.delete(p, False)
+        fs.rename(new, p)
+
     def read(self) -> DataFrame:
         if self.version is None:
             raise ValueError("nothing was written yet")
@@ -41,6 +67,7 @@ class BucketedTable:
         before, self.version = self.version, uuid.uuid4().hex[:16]
         writer = merged.write.format("parquet").bucketBy(self.buckets, *self.keys).option("path", f"{self.path}/{self.version}")
         writer.saveAsTable(self._name())
+        self._commit(merged.schema)
         if before is not None:
             self.spark.sql(f"DROP TABLE IF EXISTS wickerlane_store_{before}")
             remove(self.spark, f"{self.path}/{before}")

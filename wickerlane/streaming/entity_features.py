@@ -70,8 +70,9 @@ class EntityFeatures:
         return counters.select(*out)
 
     def run(self, spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-        """Drain what the stream has now and return the feature table. A restart with the same checkpoint goes on."""
+        """Drain what the stream has now and return the feature table. A restart with the same path and checkpoint goes on."""
         store = BucketedTable(spark, f"{path}/features", ["entity"])
+        store.load()
 
         def upsert(batch: DataFrame, epoch: int) -> None:
             own = batch.sparkSession
