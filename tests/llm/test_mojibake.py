@@ -42,6 +42,11 @@ def test_utf8_read_as_windows_and_back(lang, times):
     assert repair("Sound é start. " + text + " Sound ü end.")[0] == "Sound é start. " + TEXTS[lang] + " Sound ü end."
 
 
+@pytest.mark.parametrize("text", ["هذا القميص جميل في اللون", "החולצה הזאת יפה של", "เสื้อตัวนี้สวยมาก", "यह कमीज़ सुंदर है", "ეს პერანგი ლამაზია", "Այս վերնաշապիկը գեղեցիկ է", "Бұл көйлек өте әдемі"])
+def test_further_scripts_read_as_windows(text):
+    assert repair(windows(text.encode())) == (text, ["windows"]) and repair(text) == (text, [])
+
+
 @pytest.mark.parametrize("codec", ["latin-1", "mac_roman", "cp850", "cp437", "iso8859_15"])
 @pytest.mark.parametrize("lang", ["en", "de", "fr", "pl"])
 def test_utf8_read_with_other_encodings(codec, lang):

@@ -7,6 +7,7 @@ well formed in the encoding the text was written in, and those spans alone are d
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
@@ -73,6 +74,26 @@ _COMMON = re.compile(
     "[\u00a0-\u017f\u0192\u0218-\u021b\u02c6\u02dc\u0386-\u03ce\u0401-\u045f\u0490\u0491\u1ea0-\u1ef9\u200b-\u200f\u2010-\u203a\u2070-\u209f\u20a0-\u20bf\u2100-\u214f"
     "\u2190-\u21ff\u2200-\u22ff\u2460-\u24ff\u2500-\u257f\u25a0-\u27bf\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\ufe0f\ufeff\uff00-\uffef\u0080-\u009f\ufffd]|[\U0001f300-\U0001faff]"
 )
+#: Scripts whose letters lie outside those blocks; three of one script in a span are no chance hit.
+SCRIPTS = frozenset("ARABIC HEBREW SYRIAC THAANA THAI LAO DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU KANNADA MALAYALAM SINHALA GEORGIAN ARMENIAN MYANMAR KHMER ETHIOPIC TIBETAN CYRILLIC GREEK LATIN".split())
+
+
+@cache
+def script(c: str) -> str:
+    return unicodedata.name(c, "").split(" ")[0]
+
+
+def _rare(decoded: str) -> int:
+    """Of a span with characters outside the common blocks: 2 for three or more of one script, 1 for fewer, 0 for none such."""
+    names = {script(c) for c in decoded if not _COMMON.match(c)}
+    if len(names) != 1 or not names <= SCRIPTS:
+        return 0
+    name = names.pop()
+    if sum(script(c) == name for c in decoded) >= 3:
+        return 2
+    return 0 if name in ("CYRILLIC", "GREEK", "LATIN") else 1
+
+
 _MARKS = "®™©°ºª»”’"
 
 
@@ -87,8 +108,12 @@ def plausible(codec: str, text: str, a: int, b: int, decoded: str) -> int:
     Two letters in a row may be either (1): they count where the text has other spans of the same encoding.
     """
     raw = text[a:b]
-    if quoted(text, a, b) or any(not _COMMON.match(c) for c in decoded):
+    if quoted(text, a, b):
         return 0
+    if any(not _COMMON.match(c) for c in decoded):
+        sure = _rare(decoded)
+        if sure < 2:
+            return sure if codec == "windows" else 0  # read otherwise, one or two may be a chance hit
     before, after = text[max(0, a - 2) : a], text[b : b + 1]
     if len(decoded) == 1 and raw[0].isupper() and before[-1:].isupper():
         # A capital that ends a word in capitals, before a mark of its own: MAÇÃ®, IRMÃ™, LÃ®. (But SÃ\xad is Sí.)
