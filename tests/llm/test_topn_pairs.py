@@ -28,7 +28,7 @@ def top(spark, data, n, **kw):
     return {tuple(r) for r in top_n_per_group(df, ["grp"], "item", "score", n, **kw).collect()}
 
 
-@pytest.mark.parametrize("kw", [{}, {"hot_rows": 20, "rows_per_subgroup": 7}, {"hot_rows": 1, "rows_per_subgroup": 1, "most_hot": 1}])
+@pytest.mark.parametrize("kw", [{}, {"units": 1}, {"units": 40}, {"units": 100_000}])
 def test_top_n(spark, kw):
     rnd = random.Random(3)
     data = [(rnd.choice(["a", "b", "hot", "hot", "hot", None]), f"i{rnd.randrange(40)}", rnd.choice([0.5, -0.0, 0.0, 1.0, -2.0, INF, None, NAN])) for _ in range(900)]
@@ -36,6 +36,17 @@ def test_top_n(spark, kw):
     assert top(spark, data, 4, **kw) == brute_top(data, 4)
 
 
+def test_large_groups_have_several_salts(spark):
+    """The largest group of the table with sf0.01 rows is ranked in several subgroups."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/attribute_candidates.parquet")
+    plan = top_n_per_group(rows, ["group_field", "group_value"])
+    first = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in first
+    size = rows.groupBy("group_field", "group_value").count().agg({"count": "max"}).first()[0]
+    units = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert size * units > rows.count(), "the largest group holds more than one unit"
+
+
 def test_top_n_of_nothing(spark):
     assert top(spark, [], 3) == set()
     with pytest.raises(ValueError):
