@@ -80,15 +80,18 @@ def test_two_files_of_one_vocabulary_agree():
 
 
 # -- mixing ----------------------------------------------------------------------------------------------------
-@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 40), min_size=1))
-@settings(max_examples=80, deadline=None)
-def test_pfair_stays_within_one_block(blocks):
-    order, total, seen = pfair(blocks), sum(blocks.values()), Counter()
-    assert Counter(order) == Counter((s, i) for s, n in blocks.items() for i in range(n))
-    for t, (s, i) in enumerate(order, 1):
-        assert seen[s] == i
+@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 40), min_size=1), st.integers(1, 4))
+@settings(max_examples=120, deadline=None)
+def test_pfair_stays_within_one_block(blocks, segments):
+    segments = max(1, min(segments, sum(blocks.values()) // (8 * len(blocks))))
+    order = [x for k in range(segments) for x in pfair(blocks, segments, k)]
+    total, seen = sum(blocks.values()), Counter()
+    assert Counter((s, i) for s, i, _ in order) == Counter((s, i) for s, n in blocks.items() for i in range(n))
+    few = sum(0 < n < 3 * segments for n in blocks.values()) if segments > 1 else 0
+    for t, (s, i, slot) in enumerate(order, 1):
+        assert seen[s] == i and slot == t - 1
         seen[s] += 1
-        assert all(abs(seen[x] - t * n / total) < 1 for x, n in blocks.items())
+        assert all(abs(seen[x] - t * n / total) < 1 + few for x, n in blocks.items())
 
 
 def test_shares_within_caps():
@@ -113,7 +116,7 @@ def test_mixture(spark):
     rnd = random.Random(1)
     records = [(i, rnd.choice(["big", " BIG", "big", "small", "rare", None, "other"]), rnd.randrange(0, 60)) for i in range(3000)]
     targets = [("big", 0.5, 1), ("small", 0.4, 3), ("rare", 0.05, 2), ("none", 0.05, 4)]
-    rows, told = mixed(spark, records, targets, block=200, slack=0.0, strands=8)
+    rows, told = mixed(spark, records, targets, block=200, strand_rows=300)
     name = {i: (s or "").strip().lower() for i, s, _ in records}
     size = {i: n for i, _, n in records}
     assert all(name[r["doc"]] == r["source"] and size[r["doc"]] == r["size"] > 0 for r in rows)
@@ -132,6 +135,21 @@ def test_mixture(spark):
         assert all(abs(sofar[s] - share[s] * at) < 2 * 200 + 60 for s in share)
 
 
+def test_mixture_of_several_segments(spark):
+    """Blocks keep their size when the mixture outgrows one segment; shares hold to within one block and a fraction at any place."""
+    rnd = random.Random(4)
+    records = [(i, rnd.choice("aaaaaabbbc"), 10) for i in range(6000)] + [(-1, "tiny", 10)]
+    targets = [("a", 0.6, 1), ("b", 0.3, 1), ("c", 0.1, 1), ("tiny", 0.0005, 1)]
+    rows, _ = mixed(spark, records, targets, block=10, segment=100)
+    one, _ = mixed(spark, records, targets, block=10)
+    assert Counter(r["source"] for r in rows) == Counter(r["source"] for r in one)
+    n, seen = Counter(r["source"] for r in rows), Counter()
+    assert len({r["slot"] for r in rows}) == len(rows) > 1000 and n["tiny"] == 1
+    for t, r in enumerate(rows, 1):
+        seen[r["source"]] += 1
+        assert all(abs(seen[s] - t * n[s] / len(rows)) < 1 + 0.6 for s in n)  # one source has a block in all
+
+
 def test_mixture_of_a_given_total_and_of_nothing(spark):
     records = [(i, "a" if i % 3 else "b", 10) for i in range(300)]
     rows, told = mixed(spark, records, [("a", 0.5, 1), ("b", 0.5, 1)], total=1000, block=50)

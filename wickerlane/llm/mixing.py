@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from math import ceil
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -51,80 +51,116 @@ def best_total(targets: dict[str, float], most: dict[str, float], slack: float)
     return low
 
 
-def pfair(blocks: dict[str, int]) -> list[tuple[str, int]]:
-    """The order of all blocks: (source, number), one per slot.
+def boundary(blocks: dict[str, int], segments: int, k: int) -> dict[str, int]:
+    """How many blocks of each source lie before segment ``k``: within one of the exact share, and never fewer than before ``k - 1``.
 
-    Block i of a source with n of N blocks is released at slot floor(i N / n) and due by ceil((i + 1) N / n); among the
-    released ones the earliest deadline goes first (ties by source). After t slots every source is less than one block from
-    t n / N.
+    Sources with few blocks a segment are rounded down, the others by running sums, so that all add up to the slots.
     """
     total = sum(blocks.values())
-    waiting = [(0, s, 0) for s, n in blocks.items() if n]
+    at = k * total // segments
+    most = max(blocks, key=lambda s: (blocks[s], s))
+    out = {s: at * n // total for s, n in blocks.items() if n < 3 * segments and s != most} if segments > 1 else {}
+    large = [s for s in blocks if s not in out]
+    rest, weight, run = at - sum(out.values()), sum(blocks[s] for s in large), 0
+    for s in large:
+        out[s] = rest * (run + blocks[s]) // weight - rest * run // weight if weight else 0
+        run += blocks[s]
+    return out
+
+
+def pfair(blocks: dict[str, int], segments: int = 1, k: int = 0) -> list[tuple[str, int, int]]:
+    """The order of the blocks of segment ``k``: (source, number, slot).
+
+    Block i of a source with n of N blocks is released at slot floor(i N / n) and due by ceil((i + 1) N / n), or by the end
+    of its segment; among the released ones the earliest deadline goes first (ties by source). After t slots every source
+    is less than one block from t n / N. Segments begin at states that keep this, so each is laid out by itself. (Where a
+    source has fewer than three blocks a segment, its fraction of a block comes on top for the others.)
+    """
+    total = sum(blocks.values())
+    if not total:
+        return []
+    done, end = boundary(blocks, segments, k), boundary(blocks, segments, k + 1)
+    start, stop = k * total // segments, (k + 1) * total // segments
+
+    def entry(s: str, i: int) -> tuple[int, str, int]:
+        return (i * total // blocks[s], s, i)
+
+    waiting = [entry(s, i) for s, i in done.items() if i < end[s]]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
     out = []
-    for t in range(total):
-        while waiting and waiting[0][0] <= t:
+    for t in range(start, stop):
+        while waiting and (waiting[0][0] <= t or not ready):
             _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * total // blocks[s]), s, i))
+            heapq.heappush(ready, (min(-(-(i + 1) * total // blocks[s]), stop), s, i))
         _, s, i = heapq.heappop(ready)
-        out.append((s, i))
-        if i + 1 < blocks[s]:
-            heapq.heappush(waiting, ((i + 1) * total // blocks[s], s, i + 1))
+        out.append((s, i, t))
+        if i + 1 < end[s]:
+            heapq.heappush(waiting, entry(s, i + 1))
     return out
 
 
+def _schedule(blocks: dict[str, int], segments: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k in pdf["id"]:
+                yield pd.DataFrame(pfair(blocks, segments, int(k)), columns=["source", "number", "slot"])
+
+    return run
+
+
 def mix(
-    records: DataFrame, record_id: str, source: str, size: str, targets: DataFrame, total: int | None = None, slack: float = 0.05, block: int = 2048, most_blocks: int = 200_000, strands: int = 256
+    records: DataFrame, record_id: str, source: str, size: str, targets: DataFrame, total: int | None = None, slack: float = 0.0, block: int = 2048, segment: int = 50_000, strand_rows: int = 50_000
 ) -> tuple[DataFrame, DataFrame]:
     """The mixed records (``slot, place, source, <record_id>, repeat, size``) and the report of shares.
 
-    ``targets`` has ``source``, ``target_share`` and ``max_repeats``, a few rows. Each source gives its share of ``total`` (by default
-    the largest total whose shares stray from the targets by at most ``slack`` over the least possible, see
-    ``best_total``), but no more than ``max_repeats`` times its size; what it lacks is spread over the others in
-    proportion. Its records come in a hash order, pass after pass, up to the nearest record.
+    ``targets`` has ``source``, ``target_share`` and ``max_repeats``, a few rows. Each source gives its share of ``total``, but no
+    more than ``max_repeats`` times its size; what it lacks is spread over the others in proportion. By default the total
+    is the largest whose shares stray from the targets no more than they must; ``slack`` allows more (see ``best_total``).
+    A source's records come in a hash order, pass after pass, up to the nearest record.
+
+    A source's stream is cut into blocks of ``block`` tokens, which ``pfair`` orders, in segments of about ``segment``
+    slots that tasks lay out side by side; any prefix of whole blocks holds every share to within one block, at any
+    total. Sort by ``slot, place`` to read the mixture.
 
-    A source's stream is cut into blocks of ``block`` tokens (more where the whole would have over ``most_blocks``, which
-    bounds the schedule); ``pfair`` orders the blocks, so that any prefix of whole blocks holds the shares to within
-    one block. Sort by ``slot, place`` to read the mixture. Running sums go over ``strands`` parts of a source, so that
-    no source, however large, is one task.
+    Running sums go over strands of about ``strand_rows`` records, so that no source, however large, is one task.
 
     Defined cases: sources are matched by trimmed lower-case name; records of a null or unlisted source or of no size do not
     take part; a source without records has share 0; repeated ids are separate records; empty tables give an empty
     mixture; other columns are ignored.
     """
-    if block < 1 or not 0 <= slack <= 1:
-        raise ValueError("block must be positive and slack in [0, 1]")
+    if block < 1 or segment < 1 or strand_rows < 1 or not 0 <= slack <= 1:
+        raise ValueError("block, segment and strand_rows must be positive and slack in [0, 1]")
     spark = records.sparkSession
     wanted = {r[0].strip().lower(): (float(r[1] or 0), int(r[2] or 0)) for r in targets.select("source", "target_share", "max_repeats").collect() if r[0]}
     named = records.select(F.col(f"`{record_id}`").alias("id"), F.lower(F.trim(F.col(f"`{source}`"))).alias("source"), F.col(f"`{size}`").cast("bigint").alias("size"))
-    named = named.where(F.col("source").isin(list(wanted)) & (F.col("size") > 0)).withColumn("row", F.expr("uuid()"))
-    named = materialize(named.withColumn("strand", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(strands))), "mix-records")
-    sums = named.groupBy("source", "strand").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()  # at most strands per listed source
-    have, count, starts = dict.fromkeys(wanted, 0), dict.fromkeys(wanted, 0), []
-    for r in sorted(sums, key=lambda r: (r["source"], r["strand"])):
-        starts.append((r["source"], r["strand"], have[r["source"]]))
-        have[r["source"]] += r["s"]
-        count[r["source"]] += r["n"]
+    named = named.where(F.col("source").isin(list(wanted)) & (F.col("size") > 0)).withColumn("row", F.expr("uuid()"))  # repeated ids stay apart
+    named = materialize(named, "mix-records")
+    sums = {r["source"]: r for r in named.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()}  # one row per listed source
+    have = {s: sums[s]["s"] if s in sums else 0 for s in wanted}
+    count = {s: sums[s]["n"] if s in sums else 0 for s in wanted}
     shares, most = {s: w for s, (w, _) in wanted.items()}, {s: have[s] * m for s, (_, m) in wanted.items()}
     goal = reachable(float(total) if total is not None else best_total(shares, most, slack), shares, most)
     whole = sum(goal.values())
-    unit = max(block, ceil(whole / most_blocks))
 
-    offsets = spark.createDataFrame(starts, "source string, strand bigint, offset bigint")
-    limits = spark.createDataFrame([(s, have[s], goal[s], wanted[s][1]) for s in wanted], "source string, own bigint, goal double, repeats int")
-    within = Window.partitionBy("source", "strand").orderBy(F.xxhash64("id"), "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = named.join(F.broadcast(offsets), ["source", "strand"]).withColumn("at", F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(F.broadcast(limits), "source")
+    facts = [(s, have[s], goal[s], wanted[s][1], max(1, -(-count[s] // strand_rows))) for s in wanted]
+    limits = F.broadcast(spark.createDataFrame(facts, "source string, own bigint, goal double, repeats int, strands bigint"))
+    named = named.join(limits, "source").where("goal > 0").withColumn("strand", F.pmod(F.xxhash64("row"), F.col("strands")))
+    strands = named.groupBy("source", "strand").agg(F.sum("size").alias("s"))
+    before = Window.partitionBy("source").orderBy("strand").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = strands.select("source", "strand", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("source", "strand").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    placed = named.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["source", "strand"]).withColumn("at", F.col("offset") + F.col("ahead"))
     passes = F.least(F.ceil(F.col("goal") / F.col("own")), F.col("repeats").cast("bigint"))
-    copies = placed.where("goal > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(passes, F.lit(1)) - 1)))
+    copies = placed.withColumn("repeat", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(passes, F.lit(1)) - 1)))
     copies = copies.withColumn("start", F.col("at") + F.col("repeat") * F.col("own")).where(F.col("start") + F.col("size") / 2 <= F.col("goal"))
-    copies = materialize(copies.select("source", "id", "size", "start", F.col("repeat").cast("int").alias("repeat"), F.floor(F.col("start") / unit).alias("number")), "mix-copies")
+    copies = materialize(copies.select("source", "id", "size", "start", F.col("repeat").cast("int").alias("repeat"), F.expr(f"start div {block}").alias("number")), "mix-copies")
 
-    last = {r[0]: r[1] + 1 for r in copies.groupBy("source").agg(F.max("number")).collect()}
-    order = pd.DataFrame([(s, i, t) for t, (s, i) in enumerate(pfair(last))], columns=["source", "number", "slot"])
-    schedule = spark.createDataFrame(order, "source string, number bigint, slot bigint")  # at most most_blocks and one per source
-    mixed = copies.join(F.broadcast(schedule), ["source", "number"]).select("slot", F.col("start").alias("place"), "source", F.col("id").alias(record_id), "repeat", "size")
+    blocks = {r[0]: r[1] + 1 for r in copies.groupBy("source").agg(F.max("number")).collect()}
+    segments = max(1, -(-sum(blocks.values()) // max(segment, 8 * len(blocks))))
+    turns = spark.range(0, segments if blocks else 0, 1, segments)
+    schedule = turns.mapInPandas(_schedule(blocks, segments), "source string, number bigint, slot bigint")
+    mixed = copies.join(schedule, ["source", "number"]).select("slot", F.col("start").alias("place"), "source", F.col("id").alias(record_id), "repeat", "size")
 
     used = copies.groupBy("source").agg(F.sum("size").alias("tokens"), F.count(F.lit(1)).alias("records"), (F.max("repeat") + 1).alias("repeats_used"))
     facts = spark.createDataFrame([(s, shares[s], wanted[s][1], have[s], count[s], goal[s] / whole if whole else 0.0) for s in wanted], "source string, target_share double, max_repeats int, source_tokens bigint, source_records bigint, reachable_share double")
