@@ -56,6 +56,19 @@ def test_containers(spark, task_items):
             if whole(s) <= cap:
                 assert any(r["doc"] == i and r["size"] == whole(s) and r["piece"] == 0 for r in mine)
         assert total / (len(fill) * cap) > (0.85 if task_items == 40 else 0.9)
+        least = sorted(fill.values())[:2]
+        assert len(fill) == 1 or sum(least) > cap or task_items == 40, "no two containers fit together"
+
+
+def test_containers_are_merged_to_the_end(spark):
+    """A thousandth of the items are small, and their tasks can't place them: later rounds put all of them away."""
+    rnd = random.Random(2)
+    sizes = [(i, 60) for i in range(3000)] + [(-i, 41) for i in range(1, 40)] + [(i, 3) for i in range(5000, 5040)]
+    rnd.shuffle(sizes)
+    fill = defaultdict(int)
+    for r in packed(spark, sizes, [("a", 100)], task_items=50):
+        fill[r["container"]] += r["size"]
+    assert len(fill) == 3000 + 20 and sum(2 * u <= 100 for u in fill.values()) <= 1
 
 
 def test_no_containers(spark):

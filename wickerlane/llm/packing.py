@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import ceil
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,70 +35,115 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int]]:
     return where, bins
 
 
-def _pack(level: int, close_at: float):
+def _pack(level: int, columns: list[str]):
+    """Best fit of one task's items, largest first; ``tie`` numbers its containers of the same fill."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "node"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        capacity = int(pdf["capacity"].iloc[0])
-        where, fills = best_fit(pdf["size"].tolist(), capacity)
+        pdf = pdf.sort_values(["size", *[c for c in columns if c != "size"]], ascending=[False, *[True] * (len(columns) - 1)], kind="stable")
+        where, fills = best_fit(pdf["size"].tolist(), int(pdf["capacity"].iloc[0]))
+        seen: dict[int, int] = {}
+        ties = []
+        for f in fills:
+            ties.append(seen.get(f, 0))
+            seen[f] = ties[-1] + 1
         head = f"{level}.{int(pdf['part'].iloc[0])}."
-        return pd.DataFrame(
-            {"kind": pdf["kind"], "node": pdf["node"], "size": pdf["size"], "bin": [f"{head}{w}" for w in where], "used": [fills[w] for w in where], "closed": [fills[w] >= close_at * capacity for w in where]}
-        )
+        out = pdf[["kind", "capacity", *columns]].reset_index(drop=True)
+        return out.assign(bin=[f"{head}{w}" for w in where], used=[fills[w] for w in where], tie=[ties[w] for w in where])
 
     return run
 
 
-def pack(items: DataFrame, item_id: str, size: str, containers: DataFrame, task_items: int = 8192, close_at: float = 0.99, worth: float = 0.02, most_rounds: int = 12) -> DataFrame:
+def _carried(bins: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """Of a round's containers those that may still be put together: none that could help is left out.
+
+    No two containers over half full fit together, so each merger takes at least one that is not: such small ones number
+    at most one a task after best fit. All of them go on, and with them as many of the larger ones, the emptiest first, as
+    there are small ones (no merger can use more), if they have room for the smallest.
+    """
+    hist = bins.groupBy("kind", "used").agg(F.count(F.lit(1)).alias("n")).collect()  # at most capacity + 1 rows per kind
+    keep = F.lit(False)
+    for kind, cap in caps.items():
+        mine = sorted((r["used"], r["n"]) for r in hist if r["kind"] == kind)
+        small = sum(n for u, n in mine if 2 * u <= cap)
+        if not small:
+            continue
+        least, need, level, left = mine[0][0], small, None, 0
+        for u, n in mine:
+            if 2 * u > cap and need > 0:
+                level, left, need = u, need, need - n
+        here = 2 * F.col("used") <= cap
+        if level is not None:
+            here = here | (F.col("used") < level)
+            if need >= 0:
+                here = here | (F.col("used") == level)
+            else:  # of the last fill only as many as are needed, the same number of each task
+                per = bins.where((F.col("kind") == kind) & (F.col("used") == level)).groupBy("tie").agg(F.count(F.lit(1)).alias("n")).collect()  # at most one row per item of a task
+                for tie, n in sorted((r["tie"], r["n"]) for r in per):
+                    left -= n
+                    if left <= 0:
+                        break
+                here = here | ((F.col("used") == level) & (F.col("tie") <= tie))
+        keep = keep | ((F.col("kind") == kind) & here & (F.col("used") + least <= cap))
+    return bins.where(keep)
+
+
+def pack(items: DataFrame, item_id: str, size: str, containers: DataFrame, task_items: int = 8192) -> DataFrame:
     """``kind, container, <item_id>, piece, size`` for items packed into each of the container sizes.
 
     ``containers`` has ``kind`` and ``capacity``, a few rows. An item larger than the capacity is cut into full pieces, each of
     which is a container of its own, and a remainder; no other item is cut.
 
     Round 0 spreads the pieces over tasks by a hash and packs each task's share by best fit, largest first. Containers
-    filled to ``close_at`` are done; the others go on as items of the size they hold, to fewer tasks, and are packed
-    again, until one task held all of them or a round saves less than ``worth`` of its items. So no task ever holds
-    more than about ``task_items``, and what is carried shrinks with every round.
+    that nothing can be added to any more are done; the others (see ``_carried``: at most three for each task of the
+    round, so thousands of times fewer) go on as items of the size they hold, to ever fewer tasks, and are packed
+    again, until one task held them all or no two fit together. So no task holds more than about ``task_items``, and only
+    the mapping of carried containers is joined to the items, once.
 
     Defined cases: a null or negative size counts as 0; items of size 0 are placed like any other; a null id is kept; repeated
     ids are separate items; ties go by id; an empty table gives an empty result; capacities must be positive; other
     columns are ignored.
     """
-    if task_items < 2 or not 0 < close_at <= 1:
-        raise ValueError("task_items must be at least 2 and close_at in (0, 1]")
-    sizes = [(r["kind"], int(r["capacity"])) for r in containers.select("kind", "capacity").collect()]
-    if any(c < 1 for _, c in sizes):
+    if task_items < 8:
+        raise ValueError("task_items must be at least 8")
+    caps = {r["kind"]: int(r["capacity"]) for r in containers.select("kind", "capacity").collect()}
+    if any(c < 1 for c in caps.values()):
         raise ValueError("capacities must be positive")
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in sizes])
+    spark = items.sparkSession
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).cast("bigint").alias("capacity")) for k, c in caps.items()])
     own = items.select(F.col(f"`{item_id}`").alias("id"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("bigint"), F.lit(0)), F.lit(0)).alias("whole"))
-    own = materialize(own.withColumn("row", F.expr("uuid()")), "packing-items")  # repeated ids stay apart
-    cut = own.select("id", "row", "whole", F.explode(kinds).alias("k")).select("id", "row", "whole", "k.*")
-    pieces = cut.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("whole") / F.col("capacity")), F.lit(1)) - 1)))
-    pieces = pieces.withColumn("size", F.least("capacity", F.col("whole") - F.col("piece") * F.col("capacity")))
-    pieces = pieces.withColumn("node", F.concat_ws("#", F.col("id").cast("string"), "piece", "row"))
-    full = pieces.where(F.col("size") == F.col("capacity")).select("kind", F.concat(F.lit("full."), "node").alias("container"), "id", "piece", "size")
-    loose = pieces.where(F.col("size") < F.col("capacity"))
-
-    current = loose.select("kind", "capacity", "node", "size", F.xxhash64("id", "piece").alias("seed"))
-    placed = result = None
-    counts = {r["kind"]: r["n"] for r in current.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    schema = "kind string, node string, size bigint, bin string, used bigint, closed boolean"
-    for level in range(most_rounds):
-        if not counts:
-            break
-        parts = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(ceil(n / task_items)))])[F.col("kind")]
-        chosen = current.withColumn("part", F.pmod(F.xxhash64("seed", F.lit(level)), parts))
-        out = materialize(chosen.drop("seed").groupBy("kind", "part").applyInPandas(_pack(level, close_at), schema), "packing-round")
-        placed = out.select("kind", "node", "bin") if level == 0 else placed
-        if level > 0:
+    own = materialize(own.withColumn("row", F.monotonically_increasing_id()), "packing-items")  # spreads repeated ids
+    cut = own.select("row", "id", "whole", F.explode(kinds).alias("k")).select("row", "id", "whole", "k.*")
+    # Pieces that fill a container are written out, the remainder goes on.
+    whole, rest = F.expr("whole div capacity"), F.expr("whole % capacity")
+    full = cut.where(F.col("whole") >= F.col("capacity")).select("kind", "row", "id", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("piece"), F.col("capacity").alias("size"))
+    full = full.withColumn("container", F.concat_ws(".", F.lit("full"), "row", "piece"))
+    loose = cut.where((rest > 0) | (F.col("whole") == 0)).select("kind", "capacity", "row", "id", whole.alias("piece"), rest.alias("size"))
+
+    counts = {r["kind"]: r["n"] for r in loose.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    current, columns, chain, placed, level = loose, ["id", "piece", "size"], None, None, 0
+    while counts:
+        parts = {k: -(-n // task_items) for k, n in counts.items()}
+        spread = F.create_map(*[x for k, n in parts.items() for x in (F.lit(k), F.lit(n))])[F.col("kind")]
+        chosen = current.withColumn("part", F.pmod(F.xxhash64("row" if level == 0 else "node", F.lit(level)), spread))
+        types = dict(current.dtypes)
+        schema = ", ".join(f"`{c}` {types[c]}" for c in ["kind", "capacity", *columns]) + ", bin string, used bigint, tie bigint"
+        out = materialize(chosen.groupBy("kind", "part").applyInPandas(_pack(level, columns), schema), "packing-round")
+        if level == 0:
+            placed = out.select("kind", "id", "piece", "size", "bin")
+        else:
             step = out.select("kind", F.col("node").alias("bin"), F.col("bin").alias("next"))
-            placed = materialize(result.join(step, ["kind", "bin"], "left").select("kind", "node", F.coalesce("next", "bin").alias("bin")), "packing-placed")
-        result = placed
-        current = out.where("NOT closed").select("kind", F.col("bin").alias("node"), F.col("used").alias("size"), F.xxhash64("bin").alias("seed")).distinct()
-        current = current.join(F.broadcast(containers.sparkSession.createDataFrame(sizes, "kind string, capacity bigint")), "kind")
-        left = {r["kind"]: r["n"] for r in current.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-        counts = {k: n for k, n in left.items() if counts[k] > task_items and (level == 0 or n < (1 - worth) * counts[k])}
-        current = current.where(F.col("kind").isin(list(counts)))
-    if result is None:
-        return full.select("kind", "container", F.col("id").alias(item_id), "piece", "size")
-    joined = loose.join(result, ["kind", "node"]).select("kind", F.col("bin").alias("container"), "id", "piece", "size")
-    return full.unionByName(joined).select("kind", "container", F.col("id").alias(item_id), "piece", "size")
+            chain = step if chain is None else chain.withColumnRenamed("next", "now").join(step.withColumnsRenamed({"bin": "now", "next": "later"}), ["kind", "now"], "left").select("kind", "bin", F.coalesce("later", "now").alias("next"))
+        open_ = {k for k, n in parts.items() if n > 1}
+        if not open_:
+            break
+        bins = out.where(F.col("kind").isin(list(open_))).select("kind", "capacity", "bin", "used", "tie").distinct()
+        carried = materialize(_carried(bins, {k: c for k, c in caps.items() if k in open_}), "packing-carried")
+        current, columns = carried.select("kind", "capacity", F.col("bin").alias("node"), F.col("used").alias("size")), ["node", "size"]
+        counts = {r["kind"]: r["n"] for r in current.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect() if r["n"] > 1}
+        current, level = current.where(F.col("kind").isin(list(counts))), level + 1
+    names = ["kind", F.col("container"), F.col("id").alias(item_id), "piece", "size"]
+    if placed is None:
+        return full.select(*names)
+    if chain is not None:
+        placed = placed.join(chain, ["kind", "bin"], "left").withColumn("bin", F.coalesce("next", "bin"))
+    return full.select(*names).unionByName(placed.withColumnRenamed("bin", "container").select(*names))
