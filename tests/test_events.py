@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wickerlane.operators.eager import eager_join, key_states, roll_up
 from wickerlane.operators.quarantine import REASONS, parse_transactions
 from wickerlane.operators.rolling import trailing_totals
+from wickerlane.sources.layered import Manifest, UpsertedTable
 from wickerlane.streaming.entity_features import EntityFeatures, parquet_stream
 
 D = dt.date
@@ -45,13 +46,16 @@ EVENTS = [
 ]
 
 
+DAY = D(2023, 1, 10)
+
+
 def features(**kw):
-    return EntityFeatures("customer_id", "t_dat", "sales_channel_id", "price", [1, 2], D(2023, 1, 10), (7,), **kw)
+    return EntityFeatures("customer_id", "t_dat", "sales_channel_id", "price", [1, 2], (7,), **kw)
 
 
 def test_features_over_batches(spark, tmp_path):
     stream = stream_of(spark, tmp_path, EVENTS[:3], EVENTS[3:6], EVENTS[6:])
-    out = {r["customer_id"]: r for r in features().run(spark, stream, str(tmp_path / "out"), str(tmp_path / "check")).collect()}
+    out = {r["customer_id"]: r for r in features().run(spark, stream, str(tmp_path / "out"), str(tmp_path / "check"), DAY).collect()}
     assert set(out) == {"a", "b"}  # null entity and events after the day are left out
     a, b = out["a"], out["b"]
     assert (a["n_all"], a["n_type1"], a["n_type2"], a["n_all_7d"], a["n_type1_7d"]) == (4, 1, 3, 3, 0)
@@ -60,31 +64,61 @@ def test_features_over_batches(spark, tmp_path):
     assert (b["n_all"], b["n_type1"], b["n_all_7d"], b["total_all"], b["days_since_last_all"], b["days_since_last_type1"]) == (2, 0, 1, 3.0, 6, None)
 
 
-def test_features_match_one_batch(spark, tmp_path):
-    f = features()
-    stream = stream_of(spark, tmp_path, EVENTS[:2], EVENTS[2:])
-    got = f.run(spark, stream, str(tmp_path / "out"), str(tmp_path / "check"))
-    assert rows(got) == rows(f.features(f.counters(events(spark, EVENTS))))
-
-
-def test_features_go_on_after_a_restart(spark, tmp_path):
-    """A second run with the same checkpoint, in a driver that knows no table, keeps the rows of untouched entities."""
+def test_features_go_on_after_a_restart_and_a_later_day(spark, tmp_path):
+    """Runs with the same checkpoint, by a driver that knows no table, equal one batch of all events, as of any day."""
     f, where = features(), (str(tmp_path / "out"), str(tmp_path / "check"))
-    f.run(spark, stream_of(spark, tmp_path, EVENTS[:3]), *where).collect()
-    for data in (EVENTS[4:6], []):  # another entity; then nothing new
+    f.run(spark, stream_of(spark, tmp_path, EVENTS[:2], EVENTS[2:3]), *where, DAY).collect()
+    steps = [(EVENTS[4:6], DAY), ([], D(2023, 1, 14)), ([("a", D(2023, 1, 12), 1, Decimal("8"))], D(2023, 1, 20)), (EVENTS[3:4] + EVENTS[7:], D(2023, 2, 3))]
+    seen = EVENTS[:3]
+    for data, day in steps:  # another entity; nothing new, but a later day; the first entity again; a late event
+        seen = seen + data
         for t in spark.catalog.listTables():
-            if t.name.startswith("wickerlane_store_"):
+            if t.name.startswith("wickerlane_"):
                 spark.sql(f"DROP TABLE {t.name}")
         stream = stream_of(spark, tmp_path, data) if data else parquet_stream(spark, str(tmp_path / "in"))
-        got = f.run(spark, stream, *where)
-        assert rows(got) == rows(f.features(f.counters(events(spark, EVENTS[:3] + EVENTS[4:6]))))
+        got = f.run(spark, stream, *where, day)
+        assert rows(got) == rows(f.features(f.counters(events(spark, seen)), day))
 
 
 def test_features_of_nothing(spark, tmp_path):
-    out = features().run(spark, stream_of(spark, tmp_path, []), str(tmp_path / "out"), str(tmp_path / "check"))
+    out = features().run(spark, stream_of(spark, tmp_path, []), str(tmp_path / "out"), str(tmp_path / "check"), DAY)
     assert out.count() == 0 and "mean_type2_7d" in out.columns
     with pytest.raises(ValueError):
-        EntityFeatures("a", "b", "c", "d", [], D(2023, 1, 1), (0,))
+        EntityFeatures("a", "b", "c", "d", [], (0,))
+
+
+def test_a_hot_entity_with_many_events_is_a_few_rows(spark, tmp_path):
+    data = [("hot", D(2023, 1, 1 + i % 9), i % 2 + 1, Decimal(1)) for i in range(2000)]
+    f = features()
+    got = f.run(spark, stream_of(spark, tmp_path, data[:900], data[900:]), str(tmp_path / "out"), str(tmp_path / "check"), DAY)
+    assert [r["n_all"] for r in got.collect()] == [2000]
+    assert UpsertedTable(spark, str(tmp_path / "out"), f.counters(events(spark, [])).schema, list(f.KEYS)).read().count() == 18
+
+
+# -- layered tables --------------------------------------------------------------------------------------------
+def test_upserts_are_kept_once_and_fold(spark, tmp_path):
+    path, keys = str(tmp_path / "t"), ["k"]
+    want = {}
+    for number, batch in enumerate([[(i, i) for i in range(100)], [(1, 7), (500, 1)], [(1, 8)], [], [(i, -i) for i in range(60)]]):
+        t = UpsertedTable(spark, path, "k bigint, v bigint", keys, buckets=3)
+        df = spark.createDataFrame(batch, "k bigint, v bigint")
+        before = {f: f.stat().st_size for f in (tmp_path / "t").rglob("*.parquet")}
+        assert t.upsert(df, "s", number) and not t.upsert(df, "s", number)
+        if number == 1:
+            new = [f for f in (tmp_path / "t").rglob("*.parquet") if f not in before]
+            assert before and all(f.exists() for f in before) and len(new) <= 2, "a small batch writes a small layer"
+        want |= dict(batch)
+        assert {r["k"]: r["v"] for r in UpsertedTable(spark, path, "k bigint, v bigint", keys).read().collect()} == want
+    assert len(t.state["layers"]) <= 2
+
+
+def test_a_manifest_that_was_not_finished_does_not_count(spark, tmp_path):
+    m = Manifest(spark, str(tmp_path))
+    assert m.read() is None
+    m.write({"a": 1})
+    m.write({"a": 2})
+    (tmp_path / "manifest" / "new-x").write_text("{")
+    assert Manifest(spark, str(tmp_path)).read() == {"a": 2}
 
 
 # -- eager aggregation -----------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from wickerlane.operators.rolling import trailing_totals
 from wickerlane.plans.base import query
 from wickerlane.sources.tables import table
 from wickerlane.streaming.entity_features import EntityFeatures, parquet_stream
-from wickerlane.workspace import materialize, scratch
+from wickerlane.workspace import children, materialize, scratch
 
 # -- 3: per-entity features ----------------------------------------------------------------------------------
 KINDS, PERIODS = (1, 2), (7, 30, 90)
@@ -40,12 +40,21 @@ def _feature_sql() -> str:
     )
 
 
+def log_stream(spark: SparkSession, d: str, batches: int = 3) -> DataFrame:
+    """The log as a stream of about ``batches`` batches; a log that is one file is laid out as so many first."""
+    path = f"{d}/transactions_train.parquet"
+    if sum(p.endswith(".parquet") for p in children(spark, path)) < batches:
+        rows, path = spark.read.parquet(path), scratch(spark, "log")
+        rows.select("customer_id", "t_dat", "sales_channel_id", "price").repartition(batches).write.parquet(path)
+    return parquet_stream(spark, path, batches)
+
+
 @query(_feature_sql())
 def p3_features(spark: SparkSession, d: str) -> DataFrame:
     as_of = table(spark, d, "transactions_train").agg(F.max("t_dat")).first()[0]
-    made = EntityFeatures("customer_id", "t_dat", "sales_channel_id", "price", list(KINDS), as_of, PERIODS)
+    made = EntityFeatures("customer_id", "t_dat", "sales_channel_id", "price", list(KINDS), PERIODS)
     path = scratch(spark, "features")
-    out = made.run(spark, parquet_stream(spark, f"{d}/transactions_train.parquet"), path, f"{path}/checkpoint")
+    out = made.run(spark, log_stream(spark, d), f"{path}/table", f"{path}/checkpoint", as_of)
     return out.select([settled(c).alias(c) if c.startswith(("total_", "mean_")) else F.col(c) for c in out.columns])
 
 

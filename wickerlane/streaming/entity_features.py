@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wickerlane.functions.text import ratio
-from wickerlane.sources.bucketed import BucketedTable
+from wickerlane.sources.layered import UpsertedTable
 from wickerlane.workspace import children, filesystem
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -18,9 +18,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class EntityFeatures:
     """Counts, totals, means, first and last day per entity, in all, by event type and by trailing period.
 
-    The streaming state holds counters, sums and extreme days per entity, in the executors' state stores with their
-    checkpoint on shared storage. Each batch emits the full counters of the entities it touched, which replace
-    these entities' rows in a table bucketed by entity. Hundreds of types are a matter of width: one scan serves all.
+    The streaming state holds, per entity, type and day, the number of events and values and the total, in the executors'
+    state stores with their checkpoint on shared storage. Each batch emits the full counters it touched, which replace
+    these rows in a table bucketed by entity (one layer a batch, see ``UpsertedTable``). The feature rows of all entities
+    come from that table without an exchange, for any day ``as_of``: the day may move on while the state stays. Hundreds of
+    types cost rows only where an entity has them; the columns of the result are those of ``kinds``.
 
     ``periods`` are days that end with ``as_of``. Defined cases: rows with a null entity do not count; a null type
     counts in the totals over all types only; a null day counts outside periods only; a null value counts as a row but
@@ -28,12 +30,21 @@ class EntityFeatures:
     gives an empty table; other columns are ignored.
     """
 
-    def __init__(self, entity: str, day: str, kind: str, value: str, kinds: list, as_of: dt.date, periods: tuple[int, ...] = (7, 30, 90)):
+    KEYS = ("entity", "kind", "day")
+
+    def __init__(self, entity: str, day: str, kind: str, value: str, kinds: list, periods: tuple[int, ...] = (7, 30, 90)):
         if any(p < 1 for p in periods):
             raise ValueError("periods must be positive")
-        self.entity, self.day, self.kind, self.value, self.kinds, self.as_of, self.periods = entity, day, kind, value, kinds, as_of, periods
+        self.entity, self.day, self.kind, self.value, self.kinds, self.periods = entity, day, kind, value, kinds, periods
+
+    def counters(self, events: DataFrame) -> DataFrame:
+        """``entity, kind, day, n, v, s``: the mergeable counters, over a batch or a stream."""
+        c = lambda name: F.col(f"`{name}`")
+        rows = events.select(c(self.entity).alias("entity"), c(self.kind).alias("kind"), c(self.day).cast("date").alias("day"), c(self.value).alias("value"))
+        aggs = [F.count(F.lit(1)).alias("n"), F.count("value").alias("v"), F.sum("value").alias("s")]
+        return rows.where(F.col("entity").isNotNull()).groupBy(*self.KEYS).agg(*aggs)
 
-    def _cells(self) -> list[tuple[str, Column]]:
+    def _cells(self, as_of: dt.date) -> list[tuple[str, Column]]:
         """Suffix and condition of each combination of type and period."""
         out = []
         for k in [None, *self.kinds]:
@@ -42,54 +53,48 @@ class EntityFeatures:
                 if k is not None:
                     cond = cond & (F.col("kind") == F.lit(k))
                 if p is not None:
-                    cond = cond & (F.col("day") > F.lit(self.as_of - dt.timedelta(days=p)))
+                    cond = cond & (F.col("day") > F.lit(as_of - dt.timedelta(days=p)))
                 out.append(("_".join(["all" if k is None else f"type{k}"] + ([f"{p}d"] if p else [])), cond))
         return out
 
-    def counters(self, events: DataFrame) -> DataFrame:
-        """The mergeable aggregates, over a batch or a stream."""
-        c = lambda name: F.col(f"`{name}`")
-        rows = events.select(c(self.entity).alias("entity"), c(self.day).alias("day"), c(self.kind).alias("kind"), c(self.value).alias("value"))
-        rows = rows.where(F.col("entity").isNotNull() & (F.col("day").isNull() | (F.col("day") <= F.lit(self.as_of))))
-        aggs = []
-        for name, cond in self._cells():
-            aggs += [F.count_if(cond).alias(f"n_{name}"), F.count(F.when(cond, F.col("value"))).alias(f"v_{name}"), F.sum(F.when(cond, F.col("value"))).alias(f"s_{name}")]
+    def features(self, counters: DataFrame, as_of: dt.date) -> DataFrame:
+        """One full row per entity from its counters, as of a day."""
+        rows, cells = counters.where(F.col("day").isNull() | (F.col("day") <= F.lit(as_of))), self._cells(as_of)
+        aggs = [F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).alias(f"{c}_{name}") for name, cond in cells for c in ("n", "v", "s")]
         for k in [None, *self.kinds]:
             d = F.col("day") if k is None else F.when(F.col("kind") == F.lit(k), F.col("day"))
             aggs += [F.min(d).alias(f"first_{'all' if k is None else f'type{k}'}"), F.max(d).alias(f"last_{'all' if k is None else f'type{k}'}")]
-        return rows.groupBy("entity").agg(*aggs)
-
-    def features(self, counters: DataFrame) -> DataFrame:
+        one = rows.groupBy("entity").agg(*aggs)
         out = [F.col("entity").alias(self.entity)]
-        for name, _ in self._cells():
-            total = F.coalesce(F.col(f"s_{name}").cast("double"), F.lit(0.0))
+        for name, _ in cells:
+            total = F.col(f"s_{name}").cast("double")
             out += [F.col(f"n_{name}"), total.alias(f"total_{name}"), F.when(F.col(f"v_{name}") > 0, ratio(f"s_{name}", f"v_{name}")).alias(f"mean_{name}")]
         for k in [None, *self.kinds]:
             name = "all" if k is None else f"type{k}"
-            out += [F.datediff(F.lit(self.as_of), f"first_{name}").alias(f"days_since_first_{name}"), F.datediff(F.lit(self.as_of), f"last_{name}").alias(f"days_since_last_{name}")]
-        return counters.select(*out)
-
-    def run(self, spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-        """Drain what the stream has now and return the feature table. A restart with the same path and checkpoint goes on."""
-        store = BucketedTable(spark, f"{path}/features", ["entity"])
-        store.load()
-
-        def upsert(batch: DataFrame, epoch: int) -> None:
-            own = batch.sparkSession
-            batch.write.mode("overwrite").parquet(f"{path}/changes/{epoch}")  # once: the state must not be computed twice
-            store.upsert(own.read.schema(batch.schema).parquet(f"{path}/changes/{epoch}"))
-
-        before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-        try:
-            q = self.counters(stream).writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(upsert).start()
-            q.awaitTermination()
-        finally:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-        if store.version is None:
-            empty = spark.createDataFrame([], stream.schema)
-            return self.features(self.counters(empty))
-        return self.features(store.read())
+            out += [F.datediff(F.lit(as_of), f"first_{name}").alias(f"days_since_first_{name}"), F.datediff(F.lit(as_of), f"last_{name}").alias(f"days_since_last_{name}")]
+        return one.select(*out)
+
+    def run(self, spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, as_of: dt.date) -> DataFrame:
+        """Drain what the stream has now and return the feature rows as of a day. The same path and checkpoint go on."""
+        counters = self.counters(stream)
+        store = UpsertedTable(spark, path, counters.schema, list(self.KEYS), ["entity"])
+        drain_into(store, counters, checkpoint)
+        return self.features(store.read(), as_of)
+
+
+def drain_into(store: UpsertedTable, counters: DataFrame, checkpoint: str) -> None:
+    """Run a stream of aggregates over what it has now; each batch's changed rows are upserted, once."""
+    spark = counters.sparkSession
+    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.minBatchesToRetain": "2"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        writer = counters.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        writer.foreachBatch(lambda batch, epoch: store.upsert(batch, checkpoint, epoch) and None).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def parquet_stream(spark: SparkSession, path: str, batches: int = 3) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wickerlane.sources.layered import UpsertedTable
+from wickerlane.streaming.entity_features import drain_into
+
 
 def windowed_counts(stream: DataFrame, time: str, kind: str, value: str, length: str = "1 day", late: str = "7 days") -> DataFrame:
     """``window_start, <kind>, n, total`` per tumbling window; on a stream, windows close ``late`` after the newest event."""
@@ -13,14 +16,7 @@ def windowed_counts(stream: DataFrame, time: str, kind: str, value: str, length:
 
 
 def drain(spark: SparkSession, counts: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """Run a stream of aggregates over what it has now; each batch's changed rows are upserted by key."""
-    from wickerlane.sources.bucketed import BucketedTable
-
-    store = BucketedTable(spark, f"{path}/windows", keys)
-
-    def upsert(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/changes/{epoch}")
-        store.upsert(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/changes/{epoch}"))
-
-    counts.writeStream.outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(upsert).start().awaitTermination()
-    return store.read() if store.version else spark.createDataFrame([], counts.schema)
+    """Run a stream of aggregates over what it has now, its changed rows upserted by key. The same path goes on."""
+    store = UpsertedTable(spark, f"{path}/windows", counts.schema, keys)
+    drain_into(store, counts, f"{path}/checkpoint")
+    return store.read()

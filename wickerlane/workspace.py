@@ -35,8 +35,11 @@ def _own_root() -> str:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_root()).rstrip("/")
+    """The folder named in ``spark.checkpoint.dir``; a local one only where that is unset in a local session (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that every executor can reach")
+    return (named or _own_root()).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -76,6 +79,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Remove what ``materialize`` wrote for a table that is read no more."""
+    spark, root = df.sparkSession, shared_root(df.sparkSession)
+    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        if f"{root}/wickerlane/".removeprefix("file://").removeprefix("file:") in f:
+            remove(spark, f)
+
+
 def _sweep() -> None:
     for spark, path in _MADE:
         try:
