@@ -19,7 +19,7 @@ SOUND = [
     *TEXTS.values(), "A marca MAÇÃ® e a linha IRMÃ™ voltam em 75 dias.", "COLEÇÃO 55: macacão em linho, NÃO TORCER.", "Bug note: the export printed “Ã©” where “é” was meant; text here is fine.",
     "sheet Â-60, row Ã-86, annex Ð.", "Тест ёлка Ё№15 «цвет»", "Рёбра, Её, Сёмга", "Maße: 13×9 cm, Ø 28 mm, Åäö ÅÄÖ ÃO", "Price list: £9 · ¥42 · €37 · ±87 § ¶ † ™ ®", "„etwas zu groß“, sagte meine Tochter",
     "Ð and Þ stay on the Faroe label; â, î and ș on the Roma", "ÁO KHOÁC MÀU XÁM ĐÃ HẾT HÀNG", "Áo dài lụa mỏng, rất đẹp", "Rochie lungă, mâneci înguste, căptușeală fină", "Ολόκληρη η σειρά σε 26 χρώματα, πολύ άνετη.",
-    "Size56​\xa0one\xa0size fits\xadall", "&Atilde;&copy; caf\\u00e9 &#233;", "★★★★☆ 👗🧥 love it 👍🏽", "ｶﾀｶﾅ サイズ", "plain ascii", "", "这件衣服很好，尺寸合适。", "한국어 문장입니다.",
+    "Size56​\xa0one\xa0size fits\xadall", "&Atilde;&copy; caf\\u00e9 &#233;", "★★★★☆ 👗🧥 love it 👍🏽", "ｶﾀｶﾅ サイズ", "plain ascii", "", "这件衣服很好，尺寸合适。", "한국어 문장입니다.", "Ticket 83: shop page shows â€™ instead of an apostrophe, see the log", "T恤和A款b都很好，眉毛", "联通公司的移动服务", "ПОДРОБНОСТИ И РАЗМЕР",
 ]
 
 
@@ -63,6 +63,37 @@ def test_japanese_through_multibyte_encodings(wrong, right):
     assert undone and "カーディガン" in fixed
 
 
+ZH, KO = "这件衣服的质量很好，颜色和图片一样，尺寸合适，推荐购买。", "이 셔츠는 색상이 사진과 같고 품질이 아주 좋습니다 다시 구매하고 싶어요"
+
+
+@pytest.mark.parametrize("text, wrong", [(ZH, "gb18030"), (KO, "gb18030")])
+def test_chinese_and_korean_utf8_read_as_multibyte(text, wrong):
+    fixed, undone = repair("ok " + text.encode().decode(wrong, "replace"))
+    assert undone and sum(c in text for c in fixed) > 0.4 * len(text)
+
+
+@pytest.mark.parametrize("text, right", [(ZH, "gb18030"), (KO, "euc_kr")])
+def test_chinese_and_korean_read_as_windows(text, right):
+    assert repair(windows(text.encode(right))) == (text, [f"windows<{right}"])
+
+
+@pytest.mark.parametrize("right", ["cp1251", "koi8_r", "iso8859_5"])
+def test_cyrillic_read_as_windows_is_not_chinese(right):
+    for text in (TEXTS["ru"], TEXTS["ru"].upper()):
+        assert not any("gb18030" in x or "euc_kr" in x for x in repair(windows(text.encode(right)))[1])
+
+
+def test_latin_letters_read_as_han():
+    assert repair("Gr枚脽e 45 f盲llt aus wie 眉blich")[0] == "Gr枚脽e 45 fällt aus wie 眉blich"  # only what is sure
+    assert repair("für café später".encode().decode("gb18030"))[0].startswith("für ")
+
+
+def test_what_cannot_be_encoded_stays():
+    text = TEXTS["ja"].encode().decode("gb18030", "replace")
+    fixed, _ = repair(text[:8] + "👗" + text)
+    assert "👗" in fixed and "カーディガン" in fixed
+
+
 def test_only_spans_are_touched():
     assert repair("Wash at 13 Â°C. Wash at 38 °C.")[0] == "Wash at 13 °C. Wash at 38 °C."
     assert repair("x? SÃ\xad, claro. Die MÃ¤ntel")[0] == "x? Sí, claro. Die Mäntel" and repair("SÃ\xad, claro")[0] == "Sí, claro" and repair("LÃ® azul")[1] == []
@@ -88,6 +119,19 @@ def test_one_byte_encodings_are_told_by_words(spark):
     assert got[n + 8]["lost"] and got[n + 8]["restored"] == "caf� au lait"
 
 
+def test_only_the_garbled_words_are_read_anew(spark):
+    """Sound words stand beside a clause read with another one-byte encoding: they stay as they are."""
+    clause = "Die Ärmel dürften länger sein".encode("cp1252").decode("cp850")
+    got = run(spark, [TEXTS["de"]] * 5 + [TEXTS["de"] + f" {i}" for i in range(5)] + [clause + " | café à Zürich, Größe 45, naïve"])
+    assert set(got) == {10} and got[10]["told_by"] == "words"
+    assert got[10]["restored"] == "Die Ärmel dürften länger sein | café à Zürich, Größe 45, naïve"
+
+
+def test_lone_pairs_of_letters_are_told_by_words(spark):
+    got = run(spark, [f"für die Straße {i}" for i in range(6)] + ["für".encode().decode("cp1250") + " den Tag", "StraĂźe", "ĂĽ"])
+    assert {i: r["restored"] for i, r in got.items()} == {6: "für den Tag", 7: "Straße"}
+
+
 def test_copies_come_out_and_nothing_gives_nothing(spark):
     assert set(run(spark, ["fÃ¼r", "fÃ¼r", "für"])) == {0, 1}
     assert run(spark, []) == {}

@@ -21,13 +21,14 @@ LOST = "\ufffd"
 #: Encodings a UTF-8 text may have been read with, one byte a character. "windows" is cp1252 as browsers read it: undefined bytes are C1 controls.
 SINGLE = ("windows", "iso8859_15", "mac_roman", "cp850", "cp437", "cp1250", "cp1251", "cp1254", "koi8_r", "cp866", "cp1253", "iso8859_2")
 #: Pairs (read with, written in) for multibyte encodings other than UTF-8, or read with a multibyte one.
-MULTI = (("gb18030", "utf_8"), ("cp932", "utf_8"), ("big5", "utf_8"), ("euc_kr", "utf_8"), ("cp932", "euc_jp"), ("windows", "cp932"), ("windows", "euc_jp"), ("windows", "gb18030"), ("gb18030", "euc_jp"), ("euc_jp", "cp932"))
+MULTI = (("gb18030", "utf_8"), ("cp932", "utf_8"), ("big5", "utf_8"), ("euc_kr", "utf_8"), ("cp932", "euc_jp"), ("windows", "cp932"), ("windows", "euc_jp"), ("gb18030", "euc_jp"), ("euc_jp", "cp932"))
 #: Pairs (read with, written in) of one-byte encodings, told by the words of the corpus.
 SWAPPED = (
     ("cp850", "cp1252"), ("cp437", "cp1252"), ("mac_roman", "cp1252"), ("windows", "cp1251"), ("windows", "cp1254"), ("windows", "cp1250"), ("windows", "iso8859_2"), ("windows", "mac_roman"), ("windows", "cp850"),
     ("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp1251", "cp1252"), ("cp1250", "cp1252"), ("windows", "koi8_r"), ("windows", "cp1253"), ("cp1251", "iso8859_5"), ("iso8859_5", "cp1251"), ("mac_cyrillic", "cp1251"), ("cp1251", "mac_cyrillic"),
 )
 CYRILLIC = ("cp1251", "koi8_r", "cp866")
+QUOTES = "’‘“”„‚´`'\""
 OPENING, CLOSING = "“\"'‘«„`‹(", "”\"'’»“`›)"
 
 
@@ -110,10 +111,14 @@ def plausible(codec: str, text: str, a: int, b: int, decoded: str) -> int:
     raw = text[a:b]
     if quoted(text, a, b):
         return 0
+    if decoded in QUOTES and not text[max(0, a - 1) : a].strip() and not text[b : b + 1].strip():
+        return 0  # a quotation mark that stands by itself between spaces is shown as an example
     if any(not _COMMON.match(c) for c in decoded):
         sure = _rare(decoded)
         if sure < 2:
             return sure if codec == "windows" else 0  # read otherwise, one or two may be a chance hit
+    if len(decoded) == 1 and raw.isalpha() and _EAST.match(decoded) and codec not in CYRILLIC:
+        return 1 if codec == "windows" else 0  # three letters in a row
     before, after = text[max(0, a - 2) : a], text[b : b + 1]
     if len(decoded) == 1 and raw[0].isupper() and before[-1:].isupper():
         # A capital that ends a word in capitals, before a mark of its own: MAÇÃ®, IRMÃ™, LÃ®. (But SÃ\xad is Sí.)
@@ -159,37 +164,108 @@ _RUN = re.compile("[\u0080-\ufffc\U00010000-\U0010ffff](?:[!-~]?[\u0080-\ufffc\U
 _PAIR = re.compile("[\u0080-\U0010ffff]{2,}")
 _KANA = re.compile("[\u3041-\u30fe]")
 _EAST = re.compile("[\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uff5e]")
+_WIDE = re.compile("[\u2e80-\ufaff\uff00-\uffef]")
+#: A letter of a word in ASCII letters that is Han or Hangul.
+_LONE = re.compile("(?<=[A-Za-z])[\u4e00-\u9fff\uac00-\ud7a3](?=[a-z])")
 
 
-def _encode(text: str, codec: str) -> bytes | None:
-    if codec == "windows":
-        m = byte_of("windows")
-        return bytes(m[c] if c > "\x7f" else ord(c) for c in text) if all(c < "\x80" or c in m for c in text) else None
-    try:
-        return text.encode(codec)
-    except UnicodeEncodeError:
-        # The outer characters may be those that the wrong reading lost; keep the others.
-        return text.encode(codec, "ignore")
+@cache
+def _bytewise() -> re.Pattern:
+    return re.compile("[\x21-\x7e" + "".join(re.escape(c) for c in byte_of("windows")) + "]+")
 
 
-def _spans_multi(text: str, wrong: str, right: str) -> list[tuple[int, int, str]]:
-    """Runs whose bytes are well formed in ``right`` but for their ends, and read as East Asian text."""
+def _runs(text: str) -> list[tuple[int, str, bool]]:
+    """Runs of non-ASCII characters (single ASCII ones between them) that may be garbled East Asian text: start, run and whether it is wide."""
     out = []
     for m in _RUN.finditer(text):
         run = m.group()
-        if len(run) < 4 or len(_KANA.findall(run)) > 0.2 * len(run):
-            continue
-        data = _encode(run, wrong)
-        if not data:
+        if len(run) >= 2 and len(_KANA.findall(run)) <= 0.2 * len(run):
+            wide = len(_WIDE.findall(run))
+            if 2 * wide >= len(run):
+                out.append((m.start(), run, True))
+            elif not wide:
+                out += [(m.start() + x.start(), x.group(), False) for x in _bytewise().finditer(run) if len(x.group()) >= 2]
+    return out
+
+
+def _pieces(run: str, codec: str) -> Iterator[tuple[int, str, bytes]]:
+    """The parts of a run that ``codec`` can have given, with their bytes; other characters stay as they are."""
+    at = 0
+    while at < len(run):
+        try:
+            yield at, run[at:], run[at:].encode(codec)
+            return
+        except UnicodeEncodeError as e:
+            if e.start:
+                yield at, run[at : at + e.start], run[at : at + e.start].encode(codec)
+            at += e.end
+
+
+def _spans_pairs(runs: list[tuple[int, str, bool]]) -> tuple[str, list[tuple[int, int, str]]]:
+    """Chinese (GB) or Korean (EUC) text read byte by byte: the encoding and the spans whose bytes are pairs of it.
+
+    The bytes of all runs together must be distributed as in such text, and not as in Cyrillic or Greek letters.
+    """
+    m, narrow = byte_of("windows"), [(at, run) for at, run, wide in runs if not wide]
+    cut = [(at, run, bytes(m[c] if c > "\x7f" else ord(c) for c in run)) for at, run in narrow]
+    pairs = [p for _, _, data in cut for p in zip(data[::2], data[1::2]) if p[0] > 0x7F]
+    low = sum((0xA1 <= x <= 0xBF) for p in pairs for x in p)
+    high = sum(b >= 0xD0 for _, b in pairs)
+    if len(pairs) < 4 or low < 0.3 * len(pairs) or high < 0.15 * len(pairs):
+        return "", []
+    for right, last, share in (("euc_kr", 0xC8, 1.0), ("gb18030", 0xD7, 0.8)):
+        if sum(0xB0 <= a <= last and b >= 0xA1 or a in (0xA1, 0xA3) for a, b in pairs) >= share * len(pairs):
+            spans = [(at, at + len(run), data.decode(right, "replace")) for at, run, data in cut]
+            return f"windows<{right}", [x for x in spans if LOST not in x[2]]
+    return "", []
+
+
+def _spans_multi(runs: list[tuple[int, str, bool]], wrong: str, right: str) -> list[tuple[int, int, str]]:
+    """Spans of the runs whose bytes are well formed in ``right`` but for their ends, and read as East Asian text."""
+    out = []
+    for start, run, wide in runs:
+        if wide == (wrong == "windows"):
             continue
-        best = ""
-        for skip in range(3 if right == "utf_8" else 2):
-            d = data[skip:].decode(right, "replace")
-            if not best or d.count(LOST) < best.count(LOST):
-                best = d
-        good = len(_EAST.findall(best)) + sum(c.isascii() for c in best)
-        if len(_KANA.findall(best)) >= 2 and good >= 0.7 * len(best):
-            out.append((*m.span(), best))
+        if wrong == "windows":
+            m = byte_of("windows")
+            pieces = [(0, run, bytes(m[c] if c > "\x7f" else ord(c) for c in run))]
+        else:
+            pieces = _pieces(run, wrong)
+        for at, piece, data in pieces:
+            if len(piece) < 4:
+                continue
+            best, cut = "", 0
+            for skip in range(3 if right == "utf_8" else 2):
+                d = data[skip:].decode(right, "replace")
+                if not best or d.count(LOST) < best.count(LOST):
+                    best, cut = d, skip
+                if LOST not in d:
+                    break
+            lost_ = best.count(LOST)
+            if lost_ > 0.3 * len(best):
+                continue
+            kana = len(_KANA.findall(best))
+            if kana < 2 and (right != "utf_8" or lost_ > 1):
+                continue
+            east = len(_EAST.findall(best))
+            good = east + sum(c.isascii() for c in best)
+            if kana >= 2 and good >= 0.7 * len(best) or right == "utf_8" and east >= 3 and good >= 0.9 * len(best):
+                out.append((start + at, start + at + len(piece), LOST * (cut > 0) + best))
+    return out
+
+
+def _spans_lone(text: str) -> list[tuple[int, int, str]]:
+    """Latin letters in UTF-8 that were read as one Han or Hangul character, within words."""
+    out = []
+    for m in _LONE.finditer(text):
+        for codec in ("gb18030", "cp949", "big5", "cp932"):
+            try:
+                d = m.group().encode(codec).decode("utf-8")
+            except UnicodeError:
+                continue
+            if len(d) == 1 and "\u00df" <= d <= "\u017f" and d.islower():
+                out.append((*m.span(), d))
+                break
     return out
 
 
@@ -208,10 +284,11 @@ def repair(text: str, rounds: int = 6) -> tuple[str, list[str]]:
     """
     undone: list[str] = []
     for _ in range(rounds):
-        pairs = "".join(_PAIR.findall(text))
-        if not pairs:
+        there = set("".join(_PAIR.findall(text)))
+        lone = _spans_lone(text)
+        best, spans, name = (len(lone), 0), lone, "multibyte<utf_8"
+        if not there and not lone:
             break
-        best, spans, name, there = (0, 0), [], "", set(pairs)
         for codec in SINGLE:
             first, further = _ends(codec)
             if there.isdisjoint(first) or there.isdisjoint(further):
@@ -221,8 +298,13 @@ def repair(text: str, rounds: int = 6) -> tuple[str, list[str]]:
             covered = (sum(b - a for a, b, _ in found), sum(c.islower() for *_, d in found for c in d))
             if covered > best:
                 best, spans, name = covered, found, codec
-        for wrong, right in MULTI:
-            found = _spans_multi(text, wrong, right)
+        runs = _runs(text) if there else []
+        codec, found = _spans_pairs(runs)
+        covered = (sum(b - a for a, b, _ in found), 0)
+        if covered > best:
+            best, spans, name = covered, found, codec
+        for wrong, right in MULTI if runs else ():
+            found = _spans_multi(runs, wrong, right)
             covered = (sum(b - a for a, b, _ in found), 0)
             if covered > best:
                 best, spans, name = covered, found, f"{wrong}<{right}"
@@ -256,64 +338,90 @@ _LETTER = re.compile(r"[^\W\d_]")
 
 
 def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Other readings of each word: its bytes in another one-byte encoding, or its UTF-8 sequences decoded."""
     for pdf in batches:
         out = []
         for w, n, rows in zip(pdf["word"], pdf["n"], pdf["rows"]):
+            there = set(w)
             for pair in SWAPPED:
                 d = w.translate(swap_table(*pair))
-                if d != w and len(_LETTER.findall(d)) >= 3 and len(d) == len(w) and all(_COMMON.match(c) for c in d if c > "\x7f"):
-                    out.append((w, n, rows, f"{pair[0]}<{pair[1]}", d))
-        yield pd.DataFrame(out, columns=["word", "n", "rows", "pair", "reading"])
+                letters = len(_LETTER.findall(d))
+                if d != w and letters and len(d) == len(w) and all(_COMMON.match(c) for c in d if c > "\x7f"):
+                    out.append((w, n, rows, f"{pair[0]}<{pair[1]}", d, letters >= 3))
+            for codec in SINGLE:
+                first, further = _ends(codec)
+                if there.isdisjoint(first) or there.isdisjoint(further):
+                    continue
+                chars = byte_of(codec)
+                d = utf8_automaton(codec).sub(lambda m: bytes(chars[c] for c in m.group()).decode("utf-8"), w)
+                letters = len(_LETTER.findall(d))
+                if d != w and letters:
+                    out.append((w, n, rows, f"{codec}<utf_8", d, letters >= 3))
+        yield pd.DataFrame(out, columns=["word", "n", "rows", "pair", "reading", "long"])
 
 
 def _fix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for i, t in zip(pdf["id"], pdf["text"]):
+        for h, t in zip(pdf["hash"], pdf["text"]):
             fixed, undone = repair(t)
             gone = lost(t)
             if undone or gone:
-                out.append((i, fixed, ",".join(undone), gone))
-        yield pd.DataFrame(out, columns=["id", "restored", "encodings", "lost"])
+                out.append((h, fixed, ",".join(undone), gone, "bytes" if undone else "lost"))
+        yield pd.DataFrame(out, columns=["hash", "restored", "encodings", "lost", "told_by"])
 
 
-def _unswap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _reword(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Only the words given are read anew."""
+    word = re.compile(WORD)
     for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "restored": [t.translate(swap_table(*p.split("<"))) for t, p in zip(pdf["text"], pdf["pair"])], "encodings": pdf["pair"], "lost": False})
+        out = []
+        for text, words, readings in zip(pdf["text"], pdf["words"], pdf["readings"]):
+            known = dict(zip(words, readings))
+            out.append(word.sub(lambda m: known.get(m.group(), m.group()), text))
+        yield pd.DataFrame({"hash": pdf["hash"], "restored": out, "encodings": pdf["pair"], "lost": False, "told_by": "words"})
 
 
-def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: int = 3, times: int = 4) -> DataFrame:
-    """``id_col``, ``restored``, ``encodings`` and ``lost`` of the texts that hold wrongly decoded characters.
+#: What a text must hold for its bytes to tell: characters in a row, a lost one, or a Han or Hangul letter in a word.
+SUSPECT = "[^\\x00-\\x7f]{2}|\ufffd|[A-Za-z][\u4e00-\u9fff\uac00-\ud7a3][a-z]"
 
-    Multibyte encodings are told by their byte structure (``repair``). Between one-byte encodings there is none to tell
-    by, so the words do: a word with a non-ASCII character is garbled if another reading of its bytes is a word of at
-    least ``known`` texts and in ``times`` as many as the word itself. The counts are over all distinct texts; counts over
-    rows do as well where those of distinct texts do not speak against them. ``encodings`` names the readings undone;
-    ``lost`` tells of characters that cannot be had again (U+FFFD).
 
-    Defined cases: null, empty and ASCII texts never come out; escapes are left alone; a span alone between quotes is
-    an example and no case; copies each come out; texts may be of any length and are taken whole; an empty table
-    gives an empty result; other columns, whatever their names, are ignored.
+def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: int = 3, times: int = 4) -> DataFrame:
+    """``id_col``, ``restored``, ``encodings``, ``lost`` and ``told_by`` of the texts that hold wrongly decoded characters.
+
+    Multibyte encodings are told by their byte structure (``repair``; ``told_by`` bytes). Between one-byte encodings there
+    is none to tell by, and lone pairs of letters may be either, so the words do (``told_by`` words): a word of three letters,
+    one not ASCII, is garbled if another reading of its bytes is a word of at least ``known`` texts and in ``times`` as
+    many as the word itself. The counts are over all distinct texts; counts over rows do as well where those of distinct
+    texts do not speak against them. Only those words are then read anew, and others of the text whose reading by the same
+    encodings is more frequent than they are. ``encodings`` names the readings undone;
+    ``lost`` tells of characters that cannot be had again (U+FFFD), which make a text a case by themselves
+    (``told_by`` lost).
+
+    Each distinct text is looked at once, and its verdict goes to all copies.
+
+    Defined cases: null, empty and ASCII texts never come out; escapes are left alone; a span alone between quotes, or a
+    quotation mark alone between spaces, is an example and no case; copies each come out; texts may be of any length and
+    are taken whole; an empty table gives an empty result; other columns, whatever their names, are ignored.
     """
-    kind = dict(df.dtypes)[id_col]
-    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]"))
-    spans = texts.mapInPandas(_fix, f"id {kind}, restored string, encodings string, lost boolean")
-
-    # Words are cut out of distinct texts, since copies, however many, are one writing. They are read three times below:
-    # cheaper written once than cut out of the texts again.
-    texts = texts.withColumn("hash", F.unhex(F.md5("text")))
-    distinct = texts.groupBy("hash").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    texts = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").rlike("[^\\x00-\\x7f]")).withColumn("hash", F.unhex(F.md5("text")))
+    distinct = materialize(texts.groupBy("hash").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "distinct-texts")
+    verdict = "hash binary, restored string, encodings string, lost boolean, told_by string"
+    spans = distinct.where(F.col("text").rlike(SUSPECT)).select("hash", "text").mapInPandas(_fix, verdict)
+
+    # The words are read three times below: cheaper written once than cut out of the texts again.
     words = materialize(distinct.select("hash", "copies", F.explode(F.array_distinct(F.expr(f"regexp_extract_all(text, '{WORD}', 0)"))).alias("word")), "words")
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("rows"))
-    readings = counts.mapInPandas(_readings, "word string, n bigint, rows bigint, pair string, reading string")
+    readings = counts.mapInPandas(_readings, "word string, n bigint, rows bigint, pair string, reading string, long boolean")
     sound = counts.select(F.col("word").alias("reading"), F.col("n").alias("m"), F.col("rows").alias("sound_rows"))
     more = lambda m, n: (F.col(m) >= known) & (F.col(m) >= times * F.col(n))
     judged = more("m", "n") | more("sound_rows", "rows") & (F.col("m") >= F.col("n"))
-    wrong = readings.join(sound, "reading").where(judged).select("word", "pair", "m")
-    hits = words.join(wrong, "word").groupBy("hash", "pair").agg(F.count(F.lit(1)).alias("hits"), F.sum("m").alias("m"))
-    best = hits.groupBy("hash").agg(F.max_by("pair", F.struct("hits", "m", "pair")).alias("pair"))
-    swapped = texts.join(best, "hash").mapInPandas(_unswap, f"id {kind}, restored string, encodings string, lost boolean")
-    # A text told by its bytes keeps that reading.
-    both = spans.withColumn("first", F.lit(0)).unionByName(swapped.withColumn("first", F.lit(1)))
-    one = both.groupBy("id").agg(F.min_by(F.struct("restored", "encodings", "lost"), "first").alias("r"))
-    return one.select(F.col("id").alias(id_col), "r.restored", "r.encodings", "r.lost")
+    wrong = readings.join(sound, "reading").withColumn("votes", F.col("long") & judged).where(F.col("votes") | (F.col("m") > F.col("n"))).select("word", "pair", "m", "reading", "votes")
+    votes = F.count_if("votes")
+    hits = words.join(wrong, "word").groupBy("hash", "pair").agg(votes.alias("hits"), F.sum(F.when(F.col("votes"), F.col("m"))).alias("m"), F.collect_list("word").alias("words"), F.collect_list("reading").alias("readings"))
+    best = hits.where("hits > 0").groupBy("hash").agg(F.max_by(F.struct("pair", "words", "readings"), F.struct("hits", "m", "pair")).alias("b")).select("hash", "b.*")
+    reworded = distinct.select("hash", "text").join(best, "hash").mapInPandas(_reword, verdict)
+    # A text told by its bytes keeps that reading; the words come before a lost character.
+    both = spans.withColumn("place", F.when(F.col("told_by") == "bytes", 0).otherwise(2)).unionByName(reworded.withColumn("place", F.lit(1)))
+    one = both.groupBy("hash").agg(F.min_by(F.struct("restored", "encodings", "told_by"), "place").alias("r"), F.max("lost").alias("lost"))
+    return texts.select("id", "hash").join(one, "hash").select(F.col("id").alias(id_col), "r.restored", "r.encodings", "lost", "r.told_by")
