@@ -160,7 +160,7 @@ def _spans_utf8(text: str, codec: str) -> list[tuple[int, int, str]]:
     return [x[1:] for x in out] if any(x[0] == 2 for x in out) else []
 
 
-_RUN = re.compile("[\u0080-\ufffc\U00010000-\U0010ffff](?:[!-~]?[\u0080-\ufffc\U00010000-\U0010ffff])*[!-~]?")
+_RUN = re.compile("[\u0080-\ufffc](?:[!-~]?[\u0080-\ufffc])*[!-~]?")
 _PAIR = re.compile("[\u0080-\U0010ffff]{2,}")
 _KANA = re.compile("[\u3041-\u30fe]")
 _EAST = re.compile("[\u3000-\u30ff\u4e00-\u9fff\uac00-\ud7a3\uff00-\uff5e]")
