@@ -416,7 +416,7 @@ def garbled(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known
     sound = counts.select(F.col("word").alias("reading"), F.col("n").alias("m"), F.col("rows").alias("sound_rows"))
     more = lambda m, n: (F.col(m) >= known) & (F.col(m) >= times * F.col(n))
     judged = more("m", "n") | more("sound_rows", "rows") & (F.col("m") >= F.col("n"))
-    wrong = readings.join(sound, "reading").withColumn("votes", F.col("long") & judged).where(F.col("votes") | (F.col("m") > F.col("n"))).select("word", "pair", "m", "reading", "votes")
+    wrong = readings.join(sound, "reading").withColumn("votes", F.col("long") & judged).where(F.col("votes") | F.expr("m > n OR m = n AND sound_rows > rows")).select("word", "pair", "m", "reading", "votes")
     votes = F.count_if("votes")
     hits = words.join(wrong, "word").groupBy("hash", "pair").agg(votes.alias("hits"), F.sum(F.when(F.col("votes"), F.col("m"))).alias("m"), F.collect_list("word").alias("words"), F.collect_list("reading").alias("readings"))
     best = hits.where("hits > 0").groupBy("hash").agg(F.max_by(F.struct("pair", "words", "readings"), F.struct("hits", "m", "pair")).alias("b")).select("hash", "b.*")
