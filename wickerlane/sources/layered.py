@@ -56,10 +56,12 @@ class LayeredTable:
         self.spark, self.path, self.by, self.buckets = spark, path.rstrip("/"), by, buckets
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
-    def write(self, df: DataFrame) -> list:
-        """A new layer, not yet part of any list: [name, rows]."""
+    def write(self, df: DataFrame, placed: bool = False) -> list:
+        """A new layer, not yet part of any list: [name, rows]. ``placed`` rows are partitioned by a hash of ``by`` already."""
         name, table = uuid.uuid4().hex[:16], f"wickerlane_{uuid.uuid4().hex[:16]}"
-        rows = df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema.fields]).repartition(self.buckets, *[F.col(f"`{c}`") for c in self.by])
+        rows = df.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in self.schema.fields])
+        if not placed:
+            rows = rows.repartition(self.buckets, *[F.col(f"`{c}`") for c in self.by])
         rows.write.format("parquet").bucketBy(self.buckets, *self.by).sortBy(*self.by).option("path", f"{self.path}/{name}").saveAsTable(table)
         self.spark.sql(f"DROP TABLE {table}")  # the catalog's entry only; the files stay
         return [name, self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}").count()]
@@ -93,7 +95,7 @@ class LayeredTable:
         i = self.due(layers)
         if i >= len(layers) - 1:
             return layers
-        return [*layers[:i], self.write(folded(self.read(layers[i:])))]
+        return [*layers[:i], self.write(folded(self.read(layers[i:])), placed=True)]
 
     def drop(self, layers: list) -> None:
         for name, _ in layers:
