@@ -94,14 +94,54 @@ def test_pair_table_over_batches(spark, tmp_path, block):
     assert state(t) == brute_pairs(a + b + c)
     t.apply(frame(spark, b), sign=-1)
     assert state(t) == brute_pairs(a + c)
-    t.compact()
+    check_scores(t, a + c)
     t.apply(frame(spark, a), sign=-1)
     again = PairTable(spark, f"file://{tmp_path}/t", ["c", "d"], "item", block_items=block)
     assert state(again) == brute_pairs(c)
-    n, one, two = brute_pairs(c)
-    for r in again.scores(2).collect():
-        assert r["n_ab"] == two[r["item_a"], r["item_b"]] >= 2
-        assert r["lift"] == pytest.approx(r["n_ab"] * n / (one[r["item_a"]] * one[r["item_b"]]))
+    check_scores(again, c)
+
+
+def check_scores(table, rows):
+    n, one, two = brute_pairs(rows)
+    got = {(r["item_a"], r["item_b"]): r for r in table.scores(2).collect()}
+    assert set(got) == {p for p, k in two.items() if k >= 2}
+    for (x, y), r in got.items():
+        assert (r["n_ab"], r["n_a"], r["n_b"]) == (two[x, y], one[x], one[y])
+        assert r["lift"] == pytest.approx(two[x, y] * n / (one[x] * one[y]))
+
+
+def test_scores_follow_the_batches(spark, tmp_path):
+    """Scores read between batches are those of all rows so far, also of pairs that fell below the threshold."""
+    a, b = some(5), some(6, 60)
+    t = PairTable(spark, f"file://{tmp_path}/t", ["c", "d"], "item", scored_from=2)
+    rows = []
+    for batch, sign in ((a, 1), (b, 1), (b, -1), (a[100:], -1), (a[:3], 1)):
+        t.apply(frame(spark, batch), sign)
+        if sign > 0:
+            rows = rows + batch
+        else:
+            for r in batch:
+                rows.remove(r)
+        check_scores(t, rows)
+    with pytest.raises(ValueError):
+        t.scores(1)
+
+
+def test_a_small_batch_is_small_work_and_counts_once(spark, tmp_path):
+    """A batch of one basket after many writes a few rows, reads the members of its own basket, and its retry changes nothing."""
+    path = tmp_path / "t"
+    t = PairTable(spark, f"file://{path}", ["c", "d"], "item")
+    first = [(f"c{i}", i % 7, x) for i in range(4000) for x in ("p", "q", f"r{i % 50}")]
+    assert t.apply(frame(spark, first), number=0)
+    files = {f: f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    second = [("c1", 1, "s"), ("c1", 1, "p"), ("new", 1, "q")]
+    assert t.apply(frame(spark, second), number=1) and not t.apply(frame(spark, second), number=1)
+    added = [f for f in path.rglob("*.parquet") if f not in files]
+    assert all(f.exists() and f.stat().st_mtime_ns == n for f, n in files.items()), "held files are left as they are"
+    assert sum(f.stat().st_size for f in added) < 0.1 * sum(f.stat().st_size for f in files)
+    assert [x[1] for x in t.state["members"]] == [4000, 2]
+    again = PairTable(spark, f"file://{path}", ["c", "d"], "item")
+    assert not again.apply(frame(spark, second), number=1) and state(again) == brute_pairs(first + second)
 
 
 def test_early_withdrawal_waits_and_nothing_gives_nothing(spark, tmp_path):

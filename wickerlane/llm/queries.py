@@ -76,31 +76,31 @@ WHERE {condition}
 """
 
 
-def _pair_table(spark: SparkSession, d: str, late_days: int = 30) -> PairTable:
+def _pair_table(spark: SparkSession, d: str, scored_from: int, late_days: int = 30) -> PairTable:
     """The table after two loads: rows on time, then those that arrived in the last ``late_days``."""
     rows = table(spark, d, "transactions_train")
-    pairs = PairTable(spark, scratch(spark, "pairs"), ["customer_id", "t_dat"], "article_id")
+    pairs = PairTable(spark, scratch(spark, "pairs"), ["customer_id", "t_dat"], "article_id", scored_from=scored_from)
     last = rows.agg(F.max("loaded_at")).first()[0]
     if last is None:
         pairs.apply(rows)
         return pairs
     cut = F.lit(last) - F.expr(f"INTERVAL {late_days} DAYS")
-    pairs.apply(rows.where(F.col("loaded_at").isNull() | (F.col("loaded_at") <= cut)))
-    pairs.apply(rows.where(F.col("loaded_at") > cut))
+    pairs.apply(rows.where(F.col("loaded_at").isNull() | (F.col("loaded_at") <= cut)), number=0)
+    pairs.apply(rows.where(F.col("loaded_at") > cut), number=1)
     return pairs
 
 
 @query(PAIR_SQL.format(columns="article_id_a, article_id_b", condition="n_ab >= 10 AND n_ab::HUGEINT * baskets.n >= 30 * x.n::HUGEINT * y.n"))
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    pairs = _pair_table(spark, d)
+    pairs = _pair_table(spark, d, scored_from=10)
     big = lambda c: F.col(c).cast("decimal(19,0)")
     case = big("n_ab") * F.lit(pairs.baskets).cast("decimal(19,0)") >= big("n_a") * big("n_b") * 30
-    return pairs.scores(min_count=10).where(case).select(F.col("item_a").alias("article_id_a"), F.col("item_b").alias("article_id_b"))
+    return pairs.scores().where(case).select(F.col("item_a").alias("article_id_a"), F.col("item_b").alias("article_id_b"))
 
 
 @query(PAIR_SQL.format(columns="article_id_a, article_id_b, n_ab, x.n AS n_a, y.n AS n_b, round(n_ab * baskets.n::DOUBLE / (x.n::DOUBLE * y.n) + 1e-9, 6) AS lift", condition="true"))
 def p2_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _pair_table(spark, d).scores().select(
+    return _pair_table(spark, d, scored_from=1).scores().select(
         F.col("item_a").alias("article_id_a"), F.col("item_b").alias("article_id_b"), "n_ab", "n_a", "n_b", settled("lift").alias("lift")
     )
 
