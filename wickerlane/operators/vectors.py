@@ -21,7 +21,8 @@ METRICS = ("cosine", "dot", "l2")
 def usable(vector: str, dim: Column | int) -> Column:
     """Not null, of the dimension, only finite numbers, not all zero."""
     v = F.col(vector)
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    low, high = F.array_min(v), F.array_max(v)  # NaN is the greatest of all
+    fine = ~F.isnan(high) & (high < float("inf")) & (low > float("-inf")) & ((low != 0) | (high != 0)) & ~F.exists(v, lambda x: x.isNull())
     return F.coalesce(v.isNotNull() & (F.size(v) == (F.lit(dim) if isinstance(dim, int) else dim)) & fine, F.lit(False))
 
 
@@ -31,11 +32,11 @@ def newest(df: DataFrame, group: str, item: str, version: str, vector: str, dims
     ``dims`` (``grp``, ``dim``) gives the dimension per group. Rows with a null group, item or version are left out.
     """
     rows = df.select(
-        F.col(f"`{group}`").alias("grp"), F.col(f"`{item}`").alias("item"), F.col(f"`{version}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("vec")
+        F.col(f"`{group}`").alias("grp"), F.col(f"`{item}`").alias("item"), F.col(f"`{version}`").cast("bigint").alias("id"), F.col(f"`{vector}`").alias("vec")
     ).dropna(subset=["grp", "item", "id", "vec"])
     rows = rows.join(dims.select("grp", "dim").distinct(), "grp").where(usable("vec", F.col("dim")))
     last = rows.groupBy("grp", "item").agg(F.max_by(F.struct("id", "vec"), "id").alias("r"))
-    return last.select("grp", "item", "r.id", "r.vec")
+    return last.select("grp", "item", "r.id", F.col("r.vec").cast("array<double>").alias("vec"))
 
 
 def mean_vectors(rows: DataFrame, key: str, vector: str = "vec") -> DataFrame:
