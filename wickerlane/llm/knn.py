@@ -10,33 +10,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wickerlane.workspace import materialize
+from wickerlane.workspace import materialize, release
 
-TABLES = 4
+TABLES = 8
 EDGE = "id bigint, nbr bigint, sim double, fresh boolean"
 
 
 # -- arrays in Arrow batches -----------------------------------------------------------------------------------
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, list]]]:
-    """The rows of one key after the other, from batches sorted by ``key``."""
+def _by_key(batches: Iterator[pa.RecordBatch], more: tuple[str, ...] = ()) -> Iterator[tuple[int, dict[str, list]]]:
+    """The rows of one key (and of one value of the columns ``more``) after the other, from batches sorted by them."""
     key, held = None, {}
     for b in batches:
         if not b.num_rows:
             continue
         cols = {n: b.column(n) for n in b.schema.names}
-        keys = cols.pop("key").to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.diff(keys)) + 1
+        keys = np.stack([cols.pop(n).to_numpy(zero_copy_only=False) for n in ("key", *more)])
+        cuts = np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1
         lists = {n: c.to_pylist() if n == "raw" else c.to_numpy(zero_copy_only=False) for n, c in cols.items()}
-        for a, z in zip(np.r_[0, cuts], np.r_[cuts, len(keys)]):
+        for a, z in zip(np.r_[0, cuts], np.r_[cuts, keys.shape[1]]):
             part = {n: v[a:z] for n, v in lists.items()}
-            if key == keys[a] and held:
+            if key == tuple(keys[:, a]) and held:
                 held = {n: held[n] + part[n] if isinstance(part[n], list) else np.concatenate([held[n], part[n]]) for n in held}
                 continue
             if held:
-                yield key, held
-            key, held = keys[a], part
+                yield key[0], held
+            key, held = tuple(keys[:, a]), part
     if held:
-        yield key, held
+        yield key[0], held
 
 
 def _packed(v: np.ndarray) -> bytes:
@@ -106,19 +106,32 @@ def _leaf_edges(k: int) -> Callable:
 
 
 def _local_join(k: int) -> Callable:
-    """In each node's list, compare fresh members with all others; keep what beats a member's present worst neighbour."""
+    """In each node's list, compare fresh members with all others; keep what beats a member's present worst neighbour.
+
+    Lists come by cell, behind the vectors of all their members (``kind`` 0), each of which is sent to a cell once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Edges(k)
         for _, rows in _by_key(batches):
-            ids, fresh, worst, last = rows["id"], rows["fresh"].astype(bool), rows["worst"][:, None], rows["last"][:, None]
-            if len(ids) < 2 or not fresh.any():
-                continue
-            s = _cosines(rows["raw"])
-            better = (s > worst) | (s == worst) & (ids[None, :] < last)
-            allowed = (fresh[:, None] | fresh[None, :]) & (ids[:, None] != ids[None, :]) & better
-            a, b = np.nonzero(allowed)
-            out.add(ids[a], ids[b], s[a, b])
+            n = int((rows["kind"] == 0).sum())
+            order = np.argsort(rows["id"][:n])
+            known, worst, last = rows["id"][:n][order], rows["worst"][:n][order], rows["last"][:n][order]
+            unit = _unit_rows([rows["raw"][i] for i in order])
+            node, member, fresh = rows["node"][n:], np.searchsorted(known, rows["id"][n:]), rows["fresh"][n:].astype(bool)
+            cuts = np.flatnonzero(np.diff(node)) + 1
+            for a, z in zip(np.r_[0, cuts], np.r_[cuts, len(node)]):
+                at, new = member[a:z], fresh[a:z]
+                if z - a < 2 or not new.any():
+                    continue
+                s = np.round(unit[at] @ unit[at].T, 6)
+                w, ids = worst[at][:, None], known[at]
+                allowed = (s > w) | (s == w) & (ids[None, :] < last[at][:, None])
+                if not new.all():
+                    allowed &= new[:, None] | new[None, :]
+                np.fill_diagonal(allowed, False)
+                x, y = np.nonzero(allowed)
+                out.add(ids[x], ids[y], s[x, y])
             yield from out.flush()
         yield from out.flush(True)
 
@@ -158,14 +171,16 @@ class NeighbourGraph:
     Start: in each of ``TABLES`` random-hyperplane tables, vectors of the same signature (in chunks of ``leaf``) are
     compared among themselves. Then each round joins every node's neighbours, forward and (sampled) reverse, with one
     another: neighbours of neighbours. Only pairs with a fresh member are compared, and only what beats a node's worst
-    neighbour is sent on. It ends after ``rounds`` rounds, or when a round changes less than ``settle`` of the edges.
+    neighbour is sent on. Rounds work by cells, the chunks of the first table: nodes of a cell share most of their
+    neighbours, so a vector travels once to a cell and not once to each list, and a pair met in several lists is sent on
+    once. It ends after ``rounds`` rounds, or when a round changes less than ``settle`` of the edges.
 
     Edges are compared and kept as results are ranked: by cosines in double precision to 6 decimals, ties by item, for
     which vectors are numbered in the order of their items. A shorter code would lose the true neighbours in a tight
     group, whose gaps are smaller than its noise. ``k`` should be about twice what is asked for.
     """
 
-    def __init__(self, vectors: DataFrame, k: int = 24, sample: int = 12, leaf: int = 160, rounds: int = 6, settle: float = 0.01, seed: int = 17):
+    def __init__(self, vectors: DataFrame, k: int = 24, sample: int = 12, leaf: int = 160, rounds: int = 6, settle: float = 0.02, seed: int = 17):
         if k < 2 or sample < 1 or leaf < 2:
             raise ValueError("k and leaf must be at least 2, sample positive")
         self.k, self.sample, self.leaf, self.rounds, self.settle, self.seed = k, sample, leaf, rounds, settle, seed
@@ -174,14 +189,17 @@ class NeighbourGraph:
         self.bits = {g: max(1, int(np.ceil(np.log2(max(2, n) / (leaf / 2))))) for g, n in sizes.items()}
         kind = dict(self.vectors.dtypes)
         # From here on ``id`` is the number of a vector in the order of items; ``members`` has the id given as ``given``.
-        numbered = self.vectors.orderBy("item", "id").withColumn("given", F.col("id")).withColumn("id", F.monotonically_increasing_id())
-        numbered = materialize(numbered, "knn-numbered")
-        coded = numbered.mapInPandas(_encode(self.bits, seed), f"grp {kind['grp']}, item {kind['item']}, id bigint, direction binary, signs array<bigint>, raw binary")
+        order = self.vectors.select("item", F.col("id").alias("given")).orderBy("item", "given")
+        numbered = materialize(order.withColumn("id", F.monotonically_increasing_id()).select("id", "given"), "knn-numbered")
+        coded = self.vectors.withColumnRenamed("id", "given").join(numbered, "given").select("grp", "item", "id", "vec").mapInPandas(_encode(self.bits, seed), f"grp {kind['grp']}, item {kind['item']}, id bigint, direction binary, signs array<bigint>, raw binary")
         self.coded = materialize(coded, "knn-codes")
         first = self.coded.groupBy("grp", "direction").agg(F.min("id").alias("rep"))
         members = self.coded.select("grp", "item", "id", "direction").join(first, ["grp", "direction"]).join(numbered.select("id", "given"), "id")
         self.members = materialize(members.select("grp", "item", "id", "given", "rep"), "knn-members")
-        self.nodes = materialize(self.coded.join(self.members.where("id = rep").select("id"), "id", "left_semi").select("grp", "id", "raw", "signs"), "knn-nodes")
+        nodes = self.coded.join(self.members.where("id = rep").select("id"), "id", "left_semi").select("grp", "id", "raw", "signs", F.col("signs")[0].alias("sign"))
+        sizes = nodes.groupBy("grp", "sign").agg(F.count(F.lit(1)).alias("n"))
+        cell = F.xxhash64("grp", "sign", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / leaf)))
+        self.nodes = materialize(nodes.join(sizes, ["grp", "sign"]).select("grp", "id", "raw", "signs", cell.alias("cell")), "knn-nodes")
         self.edges = self._descend()
 
     # -- building ------------------------------------------------------------------------------------------
@@ -190,7 +208,7 @@ class NeighbourGraph:
         sizes = tabled.groupBy("grp", "tab", "sign").agg(F.count(F.lit(1)).alias("n"))
         chunked = tabled.join(sizes, ["grp", "tab", "sign"]).withColumn("chunk", F.pmod(F.xxhash64("id", "tab"), F.ceil(F.col("n") / self.leaf)))
         keyed = chunked.select(F.xxhash64("grp", "tab", "sign", "chunk").alias("key"), "id", "raw")
-        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_leaf_edges(self.k), EDGE)
+        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_leaf_edges(max(2, self.k // 2)), EDGE)
 
     def _best(self, edges: DataFrame) -> DataFrame:
         one = edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
@@ -199,26 +217,32 @@ class NeighbourGraph:
 
     def _round(self, graph: DataFrame) -> DataFrame:
         """Candidate edges of one round over ``graph`` (id, nbr, sim, fresh, r)."""
-        chance = F.xxhash64("id", "nbr")
-        fwd = graph.select(F.col("id").alias("key"), F.col("nbr").alias("id"), "fresh", F.col("r").alias("o"))
-        back = graph.select(F.col("nbr").alias("key"), "id", "fresh", chance.alias("o"))
-        pick = F.row_number().over(Window.partitionBy("key", "fresh").orderBy("o"))
-        lists = fwd.withColumn("p", pick).where(F.col("p") <= self.sample).select("key", "id", "fresh")
-        lists = lists.unionByName(back.withColumn("p", pick).where(F.col("p") <= self.sample).select("key", "id", "fresh"))
-        lists = lists.groupBy("key", "id").agg(F.max("fresh").alias("fresh"))
-        busy = lists.where("fresh").select("key").distinct()
+        fwd = graph.select(F.col("id").alias("node"), F.col("nbr").alias("id"), "fresh", F.lit(0).alias("back"), F.col("r").cast("bigint").alias("o"))
+        back = graph.select(F.col("nbr").alias("node"), "id", "fresh", F.lit(1).alias("back"), F.xxhash64("id", "nbr").alias("o"))
+        # One exchange by node serves all of the following.
+        lists = fwd.unionByName(back).repartition("node")
+        pick = F.row_number().over(Window.partitionBy("node", "back", "fresh").orderBy("o"))
+        lists = lists.withColumn("p", pick).where(F.col("p") <= self.sample).groupBy("node", "id").agg(F.max("fresh").alias("fresh"))
+        lists = lists.withColumn("busy", F.max("fresh").over(Window.partitionBy("node"))).where("busy")
+        cells = self.nodes.select(F.col("id").alias("node"), "cell")
+        lists = materialize(lists.join(cells, "node").select("cell", "node", "id", "fresh"), "knn-lists")
         full = lambda c, other: F.coalesce(F.max(F.when(F.col("r") == self.k, F.col(c))), F.lit(other))
         worst = graph.groupBy("id").agg(full("sim", -2.0).alias("worst"), full("nbr", 0).cast("bigint").alias("last"))
-        carried = self.nodes.select("id", "raw").join(worst, "id")
-        rows = lists.join(busy, "key", "left_semi").join(carried, "id").select("key", "id", "fresh", "worst", "last", "raw")
-        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_local_join(self.k), EDGE)
+        sent = lists.select("cell", "id").repartition("id").distinct().join(self.nodes.select("id", "raw"), "id").join(worst, "id", "left").fillna({"worst": -2.0, "last": 0})
+        none = lambda t: F.lit(None).cast(t)
+        vectors = sent.select(F.col("cell").alias("key"), F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("node"), "id", F.lit(False).alias("fresh"), "worst", "last", "raw")
+        entries = lists.select(F.col("cell").alias("key"), F.lit(1).alias("kind"), "node", "id", "fresh", F.lit(0.0).alias("worst"), F.lit(0).cast("bigint").alias("last"), none("binary").alias("raw"))
+        rows = vectors.unionByName(entries).repartition("key").sortWithinPartitions("key", "kind", "node")
+        return rows.mapInArrow(_local_join(self.k), EDGE)
 
     def _descend(self) -> DataFrame:
         graph = materialize(self._best(self._leaves()), "knn-graph")
         for _ in range(self.rounds):
             # Sampled fresh edges turn old by being joined; the candidates come in as fresh ones.
             old = graph.withColumn("fresh", F.col("fresh") & (F.col("r") > self.sample))
-            graph = materialize(self._best(old.select("id", "nbr", "sim", "fresh").unionByName(self._round(graph))), "knn-graph")
+            after = materialize(self._best(old.select("id", "nbr", "sim", "fresh").unionByName(self._round(graph))), "knn-graph")
+            release(graph)
+            graph = after
             moved = graph.agg(F.avg((F.col("fresh") & (F.col("r") <= self.sample)).cast("int"))).first()[0]
             if not moved or moved < self.settle:
                 break
@@ -230,22 +254,34 @@ class NeighbourGraph:
         rank = F.row_number().over(Window.partitionBy("rep").orderBy("item"))
         return self.members.withColumn("p", rank).where(F.col("p") <= k + 1).select("rep", F.col("id").alias("other"))
 
-    def exact(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, similarity`` of pairs of ids, as cosines in double precision rounded to 6 decimals."""
+    def exact(self, pairs: DataFrame, most: int = 4_096) -> DataFrame:
+        """``a, b, similarity`` of pairs of ids, as cosines in double precision rounded to 6 decimals.
+
+        The pairs of an ``a`` are split into as many parts as they have ``most`` rows, so that a vector in many pairs is no
+        single task or buffer.
+        """
         vec = self.coded.select(F.col("id").alias("b"), "raw")
-        rows = pairs.select("a", "b").distinct().join(vec, "b").select(F.col("a").alias("key"), "b", F.lit(1).alias("place"), "raw")
-        own = pairs.select("a").distinct().withColumn("b", F.col("a")).join(vec, "b").select(F.col("a").alias("key"), "b", F.lit(0).alias("place"), "raw")
-        return rows.unionByName(own).repartition("key").sortWithinPartitions("key", "place").mapInArrow(_exact, "a bigint, b bigint, similarity double")
+        once = pairs.select("a", "b").distinct().withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("a")))
+        once = once.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / most)).cast("int").alias("part"))
+        rows = once.join(vec, "b").select("a", "part", F.col("b"), F.lit(1).alias("place"), "raw")
+        own = once.select("a", "part").distinct().withColumn("b", F.col("a")).join(vec, "b").select("a", "part", F.col("b"), F.lit(0).alias("place"), "raw")
+        both = rows.unionByName(own).repartition("a", "part").sortWithinPartitions("a", "part", "place")
+        return both.select(F.col("a").alias("key"), "part", "b", "place", "raw").mapInArrow(_exact, "a bigint, b bigint, similarity double")
 
     def neighbours(self, k: int = 10) -> DataFrame:
         """``grp, item, other, similarity, rank``: the ``k`` most similar other items of each item, ties by item."""
-        near = self.edges.select(F.col("id").alias("rep"), F.col("nbr").alias("near"))
+        # Edges carry exact similarities of representatives, and a class has at least one member to show, so none beyond
+        # the k-th can matter. Only pairs with another member of a class are compared here.
+        edges = self.edges.where(F.col("r") <= k)
+        direct = edges.select("id", F.col("nbr").alias("other_id"), F.col("sim").alias("similarity"))
+        near = edges.select(F.col("id").alias("rep"), F.col("nbr").alias("near"))
         near = near.unionByName(self.members.select("rep", F.col("rep").alias("near")).distinct())
-        shown = self._shown(k)
-        pairs = self.members.select("id", "rep").join(near, "rep").join(shown.withColumnRenamed("rep", "near"), "near").where("id <> other")
-        once = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
-        sims = self.exact(once)
+        several = self.members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep", F.lit(True).alias("several"))
+        near = near.join(several, "rep", "left").join(several.select(F.col("rep").alias("near"), F.col("several").alias("several_near")), "near", "left").where("several OR several_near")
+        pairs = self.members.select("id", "rep").join(near, "rep").join(self._shown(k).withColumnRenamed("rep", "near"), "near").where("id <> other AND (id <> rep OR other <> near)")
+        sims = self.exact(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")))
         both = sims.select(F.col("a").alias("id"), F.col("b").alias("other_id"), "similarity").unionByName(sims.select(F.col("b").alias("id"), F.col("a").alias("other_id"), "similarity"))
+        both = both.unionByName(direct)
         name = self.members.select("grp", "item", "id")
         named = both.join(name, "id").join(name.select(F.col("id").alias("other_id"), F.col("item").alias("other")), "other_id")
         rank = F.row_number().over(Window.partitionBy("grp", "item").orderBy(F.desc("similarity"), "other"))
@@ -291,8 +327,8 @@ class NeighbourGraph:
         return scored.withColumn("p", rank).where(F.col("p") <= beam).drop("p")
 
     def _exact_queries(self, pairs: DataFrame, coded: DataFrame) -> DataFrame:
-        rows = pairs.join(self.coded.select("id", "raw"), "id").select(F.col("q").alias("key"), F.col("id").alias("b"), F.lit(1).alias("place"), "raw")
-        own = coded.select(F.col("q").alias("key"), F.col("q").alias("b"), F.lit(0).alias("place"), "raw")
+        rows = pairs.join(self.coded.select("id", "raw"), "id").select(F.col("q").alias("key"), F.lit(0).alias("part"), F.col("id").alias("b"), F.lit(1).alias("place"), "raw")
+        own = coded.select(F.col("q").alias("key"), F.lit(0).alias("part"), F.col("q").alias("b"), F.lit(0).alias("place"), "raw")
         sims = rows.unionByName(own).repartition("key").sortWithinPartitions("key", "place").mapInArrow(_exact, "a bigint, b bigint, similarity double")
         return sims.select(F.col("a").alias("q"), F.col("b").alias("id"), "similarity")
 
@@ -304,7 +340,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b, out_s)], names=["a", "b", "similarity"])
 
-    for key, rows in _by_key(batches):
+    for key, rows in _by_key(batches, ("part",)):
         b = rows["b"]
         if rows["place"][0] or len(b) < 2:
             continue
