@@ -67,15 +67,17 @@ def union(parts: list[DataFrame]) -> DataFrame:
 def every_source(tx: DataFrame, cutoff: dt.date, targets: DataFrame, segments: DataFrame, garment: DataFrame, product: DataFrame, k: int = 12, days: int = 7, short: tuple[int, ...] = (1, 3)) -> DataFrame:
     """The relational sources as one candidate table.
 
-    The log is read and exchanged once, into a state per pair that is written; all sources that look back beyond the recent
-    days roll up from it.
+    The log is read and exchanged once, into a state per pair that is written, and read once more for the rows of the last
+    ``days`` days alone, which are written too: the three short lists, the segments and the affinities come from these,
+    all sources that look further back from the state. Only the seasonal window has a scan of its own.
     """
     state, targets = materialize(popularity.purchase_state(tx, cutoff), "purchase-state"), materialize(targets.select("customer_id"), "targets")
-    parts = [repeat_source(tx, cutoff, targets, k, state), recent_source(tx, cutoff, targets, k, days)]
-    parts += [recent_source(tx, cutoff, targets, k, n, f"recent_popularity_{n}d") for n in short]
+    recent = materialize(lookback(tx, cutoff, max(days, *short)).select("customer_id", "article_id", "t_dat"), "recent-rows")
+    parts = [repeat_source(tx, cutoff, targets, k, state), recent_source(recent, cutoff, targets, k, days)]
+    parts += [recent_source(recent, cutoff, targets, k, n, f"recent_popularity_{n}d") for n in short]
     parts += [all_time_source(tx, cutoff, targets, k, state), co_visitation_source(tx, cutoff, targets, k, state=state), seasonal_source(tx, cutoff, targets, k)]
-    parts += [segment_source(tx, cutoff, targets, segments, k, days)]
-    parts += [affinity_source(tx, cutoff, targets, garment, k, "garment_group_popularity", state=state), affinity_source(tx, cutoff, targets, product, k, "product_code_popularity", state=state)]
+    parts += [segment_source(recent, cutoff, targets, segments, k, days)]
+    parts += [affinity_source(recent, cutoff, targets, garment, k, "garment_group_popularity", state=state), affinity_source(recent, cutoff, targets, product, k, "product_code_popularity", state=state)]
     return union(parts)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wickerlane.operators.running import running_sums
+
 
 def per_customer(predictions: DataFrame, found: DataFrame, k: int = 12) -> DataFrame:
     """``customer_id, labels, hits, ap, recall`` of every labelled customer at ``k``.
@@ -29,21 +31,26 @@ def summary(scores: DataFrame) -> DataFrame:
     return scores.agg(F.count(F.lit(1)).alias("customers"), F.coalesce(F.avg("ap"), F.lit(0.0)).alias("map"), F.coalesce(F.avg("recall"), F.lit(0.0)).alias("recall"))
 
 
+def _cumulated(counts: DataFrame, value: str) -> DataFrame:
+    """``v, f, upto, all``: each distinct value, how often it and how often values up to it occur, and the number of rows."""
+    freq = counts.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("f"))
+    run = running_sums(freq, "v", "f", "ahead")
+    return run.withColumn("upto", F.col("ahead") + F.col("f")).join(F.broadcast(run.agg(F.sum("f").alias("all"))), F.lit(True))
+
+
 def distribution(counts: DataFrame, value: str = "n", shares: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """Nearest-rank percentiles as ``minimum, p50, …, maximum, mean`` in one row; nothing is sorted on one node.
 
     Values are counted first; the running count then goes over distinct values only.
     """
-    freq = counts.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("f"))
-    run = freq.withColumn("upto", F.sum("f").over(Window.orderBy("v"))).withColumn("all", F.sum("f").over(Window.partitionBy()))
+    run = _cumulated(counts, value)
     at = [F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("all"))), F.col("v"))).alias(f"p{round(p * 100)}") for p in shares]
     return run.agg(F.min("v").alias("minimum"), *at, F.max("v").alias("maximum"), (F.sum(F.col("v") * F.col("f")) / F.sum("f")).alias("mean"))
 
 
 def rounded_index_percentiles(counts: DataFrame, value: str, percents: tuple[int, ...]) -> DataFrame:
     """Percentiles at the half-even rounded index p (n - 1), one row each: ``percent, value``."""
-    freq = counts.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("f"))
-    run = freq.withColumn("upto", F.sum("f").over(Window.orderBy("v"))).withColumn("all", F.sum("f").over(Window.partitionBy()))
+    run = _cumulated(counts, value)
     each = run.withColumn("percent", F.explode(F.array(*[F.lit(p) for p in percents])))
     index = F.bround(F.col("percent") / 100.0 * (F.col("all") - 1), 0)
     return each.where(F.col("upto") > index).groupBy("percent").agg(F.min("v").alias("value"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wickerlane.operators.features import linear_names
 from wickerlane.operators.popularity import top, top_by
+from wickerlane.operators.running import running_sums
 from wickerlane.workspace import materialize
 
 
@@ -37,35 +38,20 @@ def sampling_log_q(tx: DataFrame, smoothing: float = 1.0) -> DataFrame:
     return counts.join(F.broadcast(total), F.lit(True)).select("article_id", q.alias("q"), F.log(q).alias("log_q"))
 
 
-def running_sums(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """``df`` with ``name``, the sum of ``value`` over all rows before by ``key`` (unique), without a window over everything.
-
-    Rows are range-partitioned and summed within partitions; the offsets of the partitions come from their sums, of which
-    there are as many as partitions.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = materialize(df.repartitionByRange(parts, key).withColumn("part_", F.spark_partition_id()), "running-sums")
-    starts, at = [], 0
-    for r in rows.groupBy("part_").agg(F.sum(value).alias("s"), F.min(key).alias("low")).orderBy("low").collect():
-        starts.append((r["part_"], at))
-        at += r["s"] or 0
-    offsets = df.sparkSession.createDataFrame(starts, "part_ int, offset_ bigint")
-    before_ = F.coalesce(F.sum(value).over(Window.partitionBy("part_").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(F.broadcast(offsets), "part_").withColumn(name, F.col("offset_") + before_).drop("part_", "offset_")
-
-
 def vocabulary(df: DataFrame, column: str, first_index: int = 0) -> DataFrame:
     """``idx, item`` with contiguous indices in the order of the items."""
     items = df.select(F.col(column).alias("item")).dropna().distinct().withColumn("one", F.lit(1).cast("bigint"))
     return running_sums(items, "item", "one", "idx").select((F.col("idx") + first_index).alias("idx"), "item")
 
 
-def negatives(pairs: DataFrame, tx: DataFrame, per_positive: int = 1, seed: int = 42, sampling: str = "random", spare: int = 4) -> DataFrame:
+def negatives(pairs: DataFrame, tx: DataFrame, per_positive: int = 1, seed: int = 42, sampling: str = "random") -> DataFrame:
     """``customer_id, article_id, negative_id, negative_rank``: articles the customer never bought, for each positive pair.
 
-    Every positive draws more articles than it needs, by a hash of (seed, customer, positive, number): from the vocabulary for
-    ``random``, from the rows of the log for ``popularity``, alternating for ``mixed``. Bought articles and repeats are
-    dropped and the first ``per_positive`` kept; a positive whose draws all fail has fewer. The same seed gives the same draws.
+    Every positive draws articles by a hash of (seed, customer, positive, number), twice as many as it needs: from the
+    vocabulary for ``random``, from the rows of the log for ``popularity``, alternating for ``mixed``. Bought articles and
+    repeats are dropped and the first ``per_positive`` kept. A positive that lacks some then walks the vocabulary from its
+    first draw on, as many steps as its customer has bought articles and as it needs, so it has ``per_positive``
+    negatives unless there are not so many articles it has not bought. The same seed gives the same draws.
     """
     if per_positive < 1 or sampling not in ("random", "popularity", "mixed"):
         raise ValueError("per_positive must be positive, sampling random, popularity or mixed")
@@ -78,22 +64,33 @@ def negatives(pairs: DataFrame, tx: DataFrame, per_positive: int = 1, seed: int
     total = runs.agg(F.sum("n")).first()[0] or 0
     if size == 0:
         return spark.createDataFrame([], "customer_id string, article_id string, negative_id string, negative_rank int")
-    draws = pairs.select("customer_id", "article_id").withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(per_positive * spare + spare - 1))))
-    h = F.xxhash64(F.lit(seed), "customer_id", "article_id", "number")
+    keys, hash_of = ["customer_id", "article_id"], lambda *more: F.xxhash64(F.lit(seed), "customer_id", "article_id", *more)
+    draws = pairs.select(*keys).withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(2 * per_positive - 1))))
     popular = {"random": F.lit(False), "popularity": F.lit(True), "mixed": F.col("number") % 2 == 1}[sampling]
+    h = hash_of("number")
     draws = draws.withColumn("popular", popular).withColumn("idx", F.pmod(h, F.lit(size))).withColumn("spot", F.pmod(h, F.lit(max(1, total))))
-    uniform = draws.where("NOT popular").join(words, "idx").select("customer_id", "article_id", "number", F.col("item").alias("negative_id"))
-    picked = uniform
+    picked = draws.where("NOT popular").join(words, "idx").select(*keys, "number", F.col("item").alias("negative_id"))
     if sampling != "random":
         # Runs longer than a step are listed under each step they cross, so that a spot finds its run by an equi-join.
         step = max(1, total // max(1, size))
         ends = running_sums(runs, "idx", "n", "start").withColumn("end", F.col("start") + F.col("n"))
         listed = ends.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / step), F.floor((F.col("end") - 1) / step)))).select("cell", "start", "end", "item")
         hit = draws.where("popular").withColumn("cell", F.floor(F.col("spot") / step)).join(listed, "cell").where((F.col("spot") >= F.col("start")) & (F.col("spot") < F.col("end")))
-        picked = uniform.unionByName(hit.select("customer_id", "article_id", "number", F.col("item").alias("negative_id")))
+        picked = picked.unionByName(hit.select(*keys, "number", F.col("item").alias("negative_id")))
     bought = tx.select("customer_id", F.col("article_id").alias("negative_id")).distinct()
-    clean = picked.join(bought, ["customer_id", "negative_id"], "left_anti").groupBy("customer_id", "article_id", "negative_id").agg(F.min("number").alias("number"))
-    return top_by(clean, ["customer_id", "article_id"], per_positive, ("number",)).select("customer_id", "article_id", "negative_id", F.col("rank").alias("negative_rank"))
+
+    def clean(rows: DataFrame) -> DataFrame:
+        return rows.join(bought, ["customer_id", "negative_id"], "left_anti").groupBy(*keys, "negative_id").agg(F.min("number").alias("number"))
+
+    drawn = materialize(top_by(clean(picked), keys, per_positive, ("number",)).drop("rank"), "negative-draws")
+    have = drawn.groupBy(*keys).agg(F.count(F.lit(1)).alias("have"))
+    lacking = pairs.select(*keys).join(have, keys, "left").where(F.coalesce("have", F.lit(0)) < per_positive)
+    owned = bought.groupBy("customer_id").agg(F.count(F.lit(1)).alias("owned"))
+    steps = F.least(F.lit(size), F.coalesce("owned", F.lit(0)) + 2 * per_positive).cast("int")
+    walk = lacking.join(owned, "customer_id", "left").withColumn("step", F.explode(F.sequence(F.lit(0), steps - 1)))
+    walk = walk.withColumn("idx", F.pmod(hash_of(F.lit(0)) + F.col("step"), F.lit(size))).join(words, "idx").select(*keys, (F.col("step") + 2 * per_positive).alias("number"), F.col("item").alias("negative_id"))
+    every = drawn.unionByName(clean(walk)).groupBy(*keys, "negative_id").agg(F.min("number").alias("number"))
+    return top_by(every, keys, per_positive, ("number",)).select(*keys, "negative_id", F.col("rank").alias("negative_rank"))
 
 
 def baskets(tx: DataFrame, by_day: bool = True, least: int = 2) -> DataFrame:
@@ -129,11 +126,15 @@ def positive_weight(rows: DataFrame, most: float = 10.0) -> float:
     return min(n / p, most) if p else 1.0
 
 
-def fit_linear_exact(rows: DataFrame, epochs: int = 3, rate: float = 0.01, l2: float = 0.001, weight: float | None = None) -> list[float]:
-    """Weights by sequential stochastic gradient descent in the order (customer, article); one sorted group, for samples.
+def fit_linear_exact(rows: DataFrame, epochs: int = 3, rate: float = 0.01, l2: float = 0.001, weight: float | None = None, most_rows: int = 200_000) -> list[float]:
+    """Weights by sequential stochastic gradient descent in the order (customer, article).
 
-    The order makes it sequential by definition: use ``fit_linear`` for large data.
+    The order makes it sequential by definition, so it is fitted on a sample in one group: of more than ``most_rows`` rows
+    those of the customers that come first by a hash. ``fit_linear`` takes all rows.
     """
+    n = rows.count()
+    if n > most_rows:
+        rows = rows.where(F.pmod(F.xxhash64("customer_id"), F.lit(1_000_000)) < int(1_000_000 * most_rows / n)).limit(most_rows)
     w = positive_weight(rows) if weight is None else weight
     names = linear_names()
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wickerlane.operators.features import Weights, deterministic_score, linear_names
@@ -23,12 +26,13 @@ def trials(grid: dict[str, tuple[float, ...]] = GRID) -> list[dict[str, float]]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
 
-def evaluate_trials(features: DataFrame, found: DataFrame, tried: list[dict[str, float]], k: int = 12, chunk: int = 64) -> DataFrame:
+def evaluate_trials(features: DataFrame, found: DataFrame, tried: list[dict[str, float]], k: int = 12) -> DataFrame:
     """``trial, map, recall`` of each weighting over labelled customers.
 
-    ``features`` carry ``label``. The score is linear in the tuned weights, so each trial adds to a common base; rows are
-    exploded to a chunk of trials at a time, which bounds how many times the table is multiplied at once. Only labels
-    reached within k count, so the work after ranking is small.
+    ``features`` carry ``label``. The score is linear in the tuned weights, so the scores of all trials are one matrix
+    product of the rows and the weights. Rows are exchanged once, by customer; of customers without a label among their
+    candidates none are, since no ranking can win them anything. A task ranks one customer's rows under all trials at
+    once and gives out sums per trial only.
     """
     tuned = sorted(tried[0])
     base = deterministic_score(Weights({t: 0.0 for t in tuned}))
@@ -42,26 +46,40 @@ def evaluate_trials(features: DataFrame, found: DataFrame, tried: list[dict[str,
             source, part = t.rsplit("_", 1)
             value = {"presence": F.lit(1.0), "score": F.log1p(F.col(f"{source}_score")) if source == "co_visitation" else F.col(f"{source}_score"), "rank": 1.0 / F.col(f"{source}_rank")}[part]
             terms[t] = F.when(F.col(f"{source}_rank").isNotNull(), value).otherwise(0.0)
-    slim = features.select("customer_id", "article_id", "label", "source_count", F.coalesce("best_rank", F.lit(10**9)).alias("rank_key"), base.alias("base"), *[v.alias(f"x_{t}") for t, v in terms.items()])
+    xs = [f"x_{i}" for i in range(len(tuned))]
+    slim = features.select("customer_id", "article_id", "label", F.col("source_count").cast("bigint"), F.coalesce("best_rank", F.lit(10**9)).alias("rank_key"), base.alias("base"), *[terms[t].alias(x) for t, x in zip(tuned, xs)])
     sizes = found.groupBy("customer_id").agg(F.count_distinct("article_id").alias("labels"))
     customers = sizes.agg(F.count(F.lit(1)).alias("customers"))
-    out = None
-    for at in range(0, len(tried), chunk):
-        part = tried[at : at + chunk]
-        each = F.explode(F.array(*[F.struct(F.lit(at + i).alias("trial"), *[F.lit(float(w[t])).alias(t) for t in tuned]) for i, w in enumerate(part)]))
-        rows = slim.withColumn("w", each)
-        score = F.col("base")
-        for t in tuned:
-            score = score + F.col(f"w.{t}") * F.col(f"x_{t}")
-        rows = rows.select(F.col("w.trial").alias("trial"), "customer_id", "article_id", "label", "source_count", "rank_key", F.round(score, 9).alias("score"))
-        pos = F.row_number().over(Window.partitionBy("trial", "customer_id").orderBy(F.desc("score"), F.desc("source_count"), "rank_key", "article_id"))
-        hits = rows.withColumn("pos", pos).where(F.col("pos") <= k).where("label = 1")
-        sofar = F.row_number().over(Window.partitionBy("trial", "customer_id").orderBy("pos"))
-        won = hits.withColumn("precision", sofar / F.col("pos")).groupBy("trial", "customer_id").agg(F.sum("precision").alias("won"), F.count(F.lit(1)).alias("hits"))
-        per = won.join(sizes, "customer_id").groupBy("trial").agg(F.sum(F.col("won") / F.least("labels", F.lit(k))).alias("ap"), F.sum(F.col("hits") / F.col("labels")).alias("rc"))
-        every = features.sparkSession.createDataFrame([(at + i,) for i in range(len(part))], "trial int").join(per, "trial", "left").fillna(0.0)
-        out = every if out is None else out.unionByName(every)
-    total = out.join(F.broadcast(customers), F.lit(True))
+    reached = features.where("label = 1").select("customer_id").distinct().join(sizes, "customer_id")
+    rows = slim.join(reached, "customer_id").repartition("customer_id").sortWithinPartitions("customer_id", F.desc("source_count"), "rank_key", "article_id")
+    weights = np.array([[w[t] for t in tuned] for w in tried], dtype=float).T
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        won, got = np.zeros(len(tried)), np.zeros(len(tried))
+
+        def judge(pdf: pd.DataFrame) -> None:
+            scores = np.round(pdf["base"].to_numpy()[:, None] + pdf[xs].to_numpy() @ weights, 9)
+            first = np.argsort(-scores, axis=0, kind="stable")[:k]
+            hit = (pdf["label"].to_numpy() == 1)[first]
+            labels = int(pdf["labels"].iloc[0])
+            precision = np.cumsum(hit, axis=0) / np.arange(1, len(first) + 1)[:, None]
+            won[:] += (precision * hit).sum(axis=0) / min(labels, k)
+            got[:] += hit.sum(axis=0) / labels
+
+        held: pd.DataFrame | None = None
+        for pdf in batches:  # a customer's rows may go on in the next batch
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            names = pdf["customer_id"].to_numpy()
+            cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
+            for a, z in zip(np.r_[0, cuts[:-1]], cuts):
+                judge(pdf.iloc[a:z])
+            held = pdf.iloc[cuts[-1] if len(cuts) else 0 :]
+        if held is not None and len(held):
+            judge(held)
+        yield pd.DataFrame({"trial": range(len(tried)), "ap": won, "rc": got})
+
+    sums = rows.mapInPandas(run, "trial int, ap double, rc double").groupBy("trial").agg(F.sum("ap").alias("ap"), F.sum("rc").alias("rc"))
+    total = sums.join(F.broadcast(customers), F.lit(True))
     share = lambda c: F.round(F.when(F.col("customers") > 0, F.col(c) / F.col("customers")).otherwise(0.0), 9)
     return total.select("trial", share("ap").alias("map"), share("rc").alias("recall"))
 
