@@ -99,7 +99,8 @@ def I13_two_tower_score(spark: S, d: str) -> D:
 
 def _linear_rows(spark: S, d: str, split) -> D:
     rows = labelled(spark, d, split)
-    return materialize(rows.select("customer_id", "article_id", "label", "source_count", "best_rank", ft.deterministic_score().alias("deterministic_score"), *ft.linear_vector()), "linear-rows")
+    ranks = [f"{s}_rank" for s in ("repeat", "recent_popularity", "all_time_popularity")]
+    return materialize(rows.select("customer_id", "article_id", "label", "source_count", "best_rank", *ranks, ft.deterministic_score().alias("deterministic_score"), *ft.linear_vector()), "linear-rows")
 
 
 @query()
@@ -107,11 +108,10 @@ def J5_linear_ranker(spark: S, d: str) -> D:
     """Also J4, J6, L9's comparison: trained on the window before, ranked and scored on the evaluation window."""
     train, target = _linear_rows(spark, d, SPLIT.previous()), _linear_rows(spark, d, SPLIT)
     want = found(spark, d)
-    out = None
+    out = metrics.summary(metrics.per_customer(ft.source_order(target, K), want, K)).withColumn("ranker", F.lit("source_order"))
     for name, score in (("linear", tr.linear_score(tr.fit_linear(train))), ("linear_sgd", tr.linear_score(tr.fit_linear_exact(train))), ("deterministic", F.col("deterministic_score"))):
         ranked = ft.rank_by(target.withColumn("score", score), K, "score desc").select("customer_id", "article_id", "pos")
-        one = metrics.summary(metrics.per_customer(ranked, want, K)).withColumn("ranker", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+        out = out.unionByName(metrics.summary(metrics.per_customer(ranked, want, K)).withColumn("ranker", F.lit(name)))
     return out
 
 
@@ -131,16 +131,3 @@ def J12_tree_ranker(spark: S, d: str) -> D:
     lists = ranked(scored, "deterministic_score", "deterministic").unionByName(ranked(scored, "model_score", "trees"))
     fused = fusion.reciprocal_rank_fusion(lists, most=K).select(F.lit("fused").alias("ranker"), "customer_id", "article_id", "pos")
     return lists.unionByName(ranked(blend, "blend", "blend")).unionByName(fused)
-
-
-@query()
-def L9_source_ablation(spark: S, d: str) -> D:
-    """MAP of the deterministic ranking without each source in turn; arguments of the metric in the right order."""
-    rows, want = materialize(all_candidates(spark, d), "candidates"), found(spark, d)
-    out = None
-    for name in ("none", "repeat", "co_visitation", "garment_group_popularity", "product_code_popularity", "age_segment_popularity"):
-        ranked = ft.deterministic_rank(ft.pair_features(rows.where(F.col("source") != name)), K)
-        one = metrics.summary(metrics.per_customer(ranked, want, K)).withColumn("without", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
-
