@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
@@ -91,13 +92,11 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 def hashed_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:
     """A stand-in encoder: signed hashed counts of lower-case words, of unit length."""
-    import zlib
-
     out = []
     for t in texts:
         v = [0.0] * dim
         for w in t.lower().split():
-            h = zlib.crc32(w.encode())
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
             v[h % dim] += 1.0 if h & 0x80000000 else -1.0
         n = sum(x * x for x in v) ** 0.5
         out.append([x / n for x in v] if n else v)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,17 +59,18 @@ def diversify(ranked: DataFrame, attributes: DataFrame, k: int = 12, relevance:
     rows = ranked.select("customer_id", "article_id", "score", "pos").join(attributes.select("article_id", F.array(*names).alias("attributes")), "article_id", "left")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos").reset_index(drop=True)
-        tags = [None if a is None else list(a) for a in pdf["attributes"]]
-        alike = lambda a, b: 0.0 if a is None or b is None or not a else sum(x == y for x, y in zip(a, b)) / len(a)
-        near, left, taken = [0.0] * len(pdf), list(range(len(pdf))), []
-        while left and len(taken) < k:
-            best = max(left, key=lambda i: (relevance * pdf["score"][i] - (1 - relevance) * near[i], -i))
+        pdf = pdf.sort_values("pos", kind="stable")
+        score, tags = pdf["score"].to_numpy(float), [None if a is None else list(a) for a in pdf["attributes"]]
+        n = len(score)
+        alike = np.array([[0.0 if a is None or b is None or not a else sum(x == y for x, y in zip(a, b)) / len(a) for b in tags] for a in tags]).reshape(n, n)
+        near, free, taken = np.zeros(n), np.ones(n, bool), []
+        while free.any() and len(taken) < k:
+            value = np.where(free, relevance * score - (1 - relevance) * near, -np.inf)
+            best = int(np.argmax(value))  # the first of the greatest
             taken.append(best)
-            left.remove(best)
-            for i in left:
-                near[i] = max(near[i], floor, alike(tags[i], tags[best])) if len(taken) > 1 else max(floor, alike(tags[i], tags[best]))
-        return pd.DataFrame({"customer_id": pdf["customer_id"][taken].tolist(), "article_id": pdf["article_id"][taken].tolist(), "pos": range(1, len(taken) + 1)})
+            free[best] = False
+            near = np.maximum(np.maximum(near, floor) if len(taken) > 1 else floor, alike[best])
+        return pd.DataFrame({"customer_id": pdf["customer_id"].iloc[taken].tolist(), "article_id": pdf["article_id"].iloc[taken].tolist(), "pos": range(1, len(taken) + 1)})
 
     kinds = dict(ranked.dtypes)
     return rows.groupBy("customer_id").applyInPandas(greedy, f"customer_id {kinds['customer_id']}, article_id {kinds['article_id']}, pos int")

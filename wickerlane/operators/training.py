@@ -184,6 +184,15 @@ def fit_trees(rows: DataFrame, columns: list[str], trees: int = 20, depth: int =
     return GBTRegressor(featuresCol="x", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=0.1, subsamplingRate=0.9, seed=seed).fit(data.select("x", "label"))
 
 
+def fit_forest(rows: DataFrame, columns: list[str], trees: int = 20, depth: int = 6, seed: int = 42):
+    """A random forest on single rows: another kind of model beside the boosted trees."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    data = VectorAssembler(inputCols=columns, outputCol="x").transform(rows.withColumn("label", F.col("label").cast("double")))
+    return RandomForestRegressor(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, subsamplingRate=0.9, seed=seed).fit(data.select("x", "label"))
+
+
 def tree_scores(model, rows: DataFrame, columns: list[str], name: str = "model_score") -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 

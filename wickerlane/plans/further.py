@@ -26,7 +26,7 @@ def _same(name: str, as_: str) -> None:
 
 for _name, _as in (
     ("C14_merge_of_submissions", "J16_consensus_fusion"), ("D6_directed_pair_counts", "C3_history_pairs"), ("E9_content_rerank", "I10_content_with_prior"), ("E12_fused_rank", "J16_consensus_fusion"), ("E14_trial_rank", "J8_grid_tuning"),
-    ("F3_top_after_history", "I11_prior_powered_similarity"), ("F4_pool_and_rerank", "I10_content_with_prior"), ("F5_latest_capped", "D24_latest_capped"), ("F7_diversity", "J17_diversity_rerank"), ("F8_top_values", "D20_hierarchy"), ("G7_customer_difference", "C12_customer_difference"), ("C11_negatives_exclude_history", "M1_negatives"),
+    ("F3_top_after_history", "I11_prior_powered_similarity"), ("F4_pool_and_rerank", "I10_content_with_prior"), ("F5_latest_capped", "D24_latest_capped"), ("F7_diversity", "J17_diversity_rerank"), ("F8_top_values", "D20_hierarchy"), ("G7_customer_difference", "C12_customer_difference"),
 ):
     _same(_name, _as)
 
@@ -148,16 +148,3 @@ def M8_hashed_search(spark: S, d: str) -> D:
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=4, seed=5).fit(unit)
     met = model.approxSimilarityJoin(unit.where(F.col("id") % 50 == 0), unit, 0.55, "distance")
     return met.where(F.col("datasetA.item") != F.col("datasetB.item")).select(F.col("datasetA.item").alias("query"), F.col("datasetB.item").alias("item"), "distance")
-
-
-@query()
-def J18_bagged_trees(spark: S, d: str) -> D:
-    """The blended list of the bagged trees alone."""
-    return QUERIES["J12_tree_ranker"](spark, d).where("ranker = 'blend'").drop("ranker")
-
-
-@query()
-def J19_two_model_fusion(spark: S, d: str) -> D:
-    return QUERIES["J12_tree_ranker"](spark, d).where("ranker = 'fused'").drop("ranker")
-
-

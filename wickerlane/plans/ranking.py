@@ -11,7 +11,9 @@ from wickerlane.functions.text import settled
 from wickerlane.operators import behavioral as bh
 from wickerlane.operators import features as ft
 from wickerlane.operators import fusion, metrics, tuning
-from wickerlane.operators.temporal import Split, check_windows
+from wickerlane.operators import training as tr
+from wickerlane.operators import vectors as vc
+from wickerlane.operators.temporal import Split, before, check_windows
 from wickerlane.plans import recommend  # noqa: F401  (its CTEs are used here)
 from wickerlane.plans.base import query
 from wickerlane.plans.fixtures import CUT, K, MORE, SPLIT, all_candidates, found, sql, tx
@@ -201,7 +203,19 @@ def J15_z_score_fusion(spark: S, d: str) -> D:
     return r6(fusion.z_score_fusion(slates(spark, d), WEIGHTS).select("customer_id", "article_id", "score"), "score")
 
 
-@query()
+_NEAR = "coalesce(list_max(list_transform(list_filter(l, lambda y: list_contains(taken, y.pos)), lambda y: CASE WHEN x.a IS NULL OR y.a IS NULL THEN 0.0::DOUBLE ELSE list_sum(list_transform([1, 2, 3, 4], lambda i: CASE WHEN x.a[i] IS NOT DISTINCT FROM y.a[i] THEN 1 ELSE 0 END)) / 4.0::DOUBLE END)), 0.0::DOUBLE)"
+
+
+@query(
+    sql(
+        f"""SELECT customer_id, l[p].article_id AS article_id, i AS pos FROM (SELECT customer_id, l, unnest(taken) AS p, generate_subscripts(taken, 1) AS i FROM (WITH RECURSIVE step AS (
+        SELECT customer_id, l, [1]::BIGINT[] AS taken FROM mmr_lists UNION ALL
+        SELECT customer_id, l, list_append(taken, best.p) FROM (SELECT customer_id, l, taken, list_sort(list_transform(list_filter(l, lambda x: NOT list_contains(taken, x.pos)),
+          lambda x: {{'v': -(0.7::DOUBLE * x.score - (1 - 0.7::DOUBLE) * {_NEAR}), 'p': x.pos}}))[1] AS best FROM step WHERE len(taken) < least(12, len(l)))) SELECT * FROM step WHERE len(taken) = least(12, len(l))))""",
+        mmr_lists="""SELECT customer_id, list({'pos': pos, 'article_id': article_id, 'score': score, 'a': CASE WHEN art.article_id IS NOT NULL THEN [product_type_name, colour_group_name, garment_group_name, section_name] END} ORDER BY pos) AS l
+          FROM (SELECT customer_id, article_id, pos, score FROM detrank WHERE pos <= 50) LEFT JOIN articles art USING (article_id) GROUP BY 1""",
+    )
+)
 def J17_diversity_rerank(spark: S, d: str) -> D:
     articles = table(spark, d, "articles").select("article_id", "product_type_name", "colour_group_name", "garment_group_name", "section_name")
     return fusion.diversify(ft.deterministic_rank(feats(spark, d), 50), articles, K)
@@ -279,18 +293,53 @@ def C8_attribute_store(spark: S, d: str) -> D:
     return _stores(spark, d)["own"]
 
 
-def ltr(spark: S, d: str, split: Split = SPLIT) -> D:
-    """Label, the 48 linear inputs, the deterministic score, the 60 behavioral features and two sidecars."""
-    rows = materialize(labelled(spark, d, split), "features")
-    linear = rows.select("customer_id", "article_id", "label", *ft.linear_vector(), ft.deterministic_score().alias("deterministic_score"), F.lit(0.0).alias("two_tower_score"), F.lit(0.0).alias("content_user_cosine"))
-    return linear.join(bh.features(tx(spark, d), split.cutoff, rows, table(spark, d, "articles")), ["customer_id", "article_id"])
+SIDECARS = ("two_tower_score", "content_user_cosine")
+
+
+def content_cosines(spark: S, d: str, pairs: D, split: Split = SPLIT) -> D:
+    """``customer_id, article_id, content_user_cosine``: the mean of the history's text vectors against the article's."""
+    from wickerlane.plans.vectors import text_vectors
+
+    items = text_vectors(spark, d)
+    _, queries = vc.history_vectors(tx(spark, d), split.cutoff, pairs.select("customer_id").distinct(), items)
+    return vc.pair_scores(pairs, queries, items, name="content_user_cosine")
+
+
+def ltr(spark: S, d: str, split: Split = SPLIT, factors: bool = True) -> D:
+    """Label, the 48 linear inputs, the deterministic score, the 60 behavioral features and the two sidecars.
+
+    The factors behind ``two_tower_score`` and the histories behind ``content_user_cosine`` lie before the cutoff.
+    """
+    rows, keys = materialize(labelled(spark, d, split), "features"), ["customer_id", "article_id"]
+    linear = rows.select(*keys, "label", *ft.linear_vector(), ft.deterministic_score().alias("deterministic_score"))
+    out = linear.join(bh.features(tx(spark, d), split.cutoff, rows, table(spark, d, "articles")), keys).join(content_cosines(spark, d, rows, split), keys)
+    if factors:
+        users, items = tr.factors(before(tx(spark, d), split.cutoff))
+        out = out.join(vc.pair_dots(rows, users, items), keys)
+    return out
 
 
 @query()
 def J10_learning_to_rank_matrix(spark: S, d: str) -> D:
+    """All 111 columns; those that SQL can say are told by ``J10_without_factors``."""
     return ltr(spark, d)
 
 
+_COSINES = f"SELECT customer_id, article_id, round(coalesce(list_cosine_similarity(q.vec, t.vec), 0) + 1e-9, 6) AS content_user_cosine FROM feats LEFT JOIN vmean q USING (customer_id) LEFT JOIN textvec t ON item = article_id"
+
+
+def _matrix_sql() -> str:
+    from wickerlane.plans import vectors  # noqa: F401  (its CTEs are used here)
+
+    return sql(f"SELECT * FROM (SELECT customer_id, article_id, label, round(score + 1e-9, 6) AS deterministic_score, {_VECTOR} FROM labelled) JOIN behavior USING (customer_id, article_id) JOIN ({_COSINES}) USING (customer_id, article_id)")
+
+
+def J10_without_factors(spark: S, d: str) -> D:
+    """The matrix without the one column that is fitted."""
+    out = ltr(spark, d, factors=False)
+    return r6(out, *[c for c in out.columns if c not in ("customer_id", "article_id", "label")])
+
+
 # -- tuning and rolling validation -----------------------------------------------------------------------------
 def _grid_sql() -> str:
     g = tuning.GRID

@@ -162,12 +162,17 @@ def A12_image_inventory(spark: S, d: str) -> D:
     return ct.image_inventory(table(spark, d, "article_images").select(F.col("image_relative_path").alias("path")), table(spark, d, "articles"))
 
 
-@query()
+@query(
+    f"""WITH w AS (SELECT article_id, unnest(string_split_regex(trim(lower(combined_text)), '\\s+')) AS word FROM ({CONTENT_SQL}) WHERE combined_text <> ''),
+    h AS (SELECT article_id, ('0x' || md5(word)[1:8])::BIGINT AS h FROM w), c AS (SELECT article_id, h % 64 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS v FROM h GROUP BY 1, 2)
+    SELECT article_id, 64::BIGINT AS dim, round(sum(v * (i + 1)) / coalesce(nullif(sqrt(sum(v * v)), 0), 1) + 1e-9, 5) AS weighted FROM c GROUP BY 1"""
+)
 def A10_embedding_cache(spark: S, d: str) -> D:
     """Hashed embeddings of the prompts, written as a cache with its manifest and read back under checks (A9, A11)."""
     path, rows = scratch(spark, "embeddings"), _content(spark, d)
     ct.write_cache(ct.generate_embeddings(rows), rows.count(), path, "hashed-words")
-    return ct.read_cache(spark, path)[0]
+    weighted = F.aggregate(F.transform("vec", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return ct.read_cache(spark, path)[0].select("article_id", F.size("vec").cast("bigint").alias("dim"), settled(weighted, 5).alias("weighted"))
 
 
 # -- descriptive reports ---------------------------------------------------------------------------------------

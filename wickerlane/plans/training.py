@@ -14,7 +14,7 @@ from wickerlane.operators import vectors as vc
 from wickerlane.operators.temporal import before
 from wickerlane.plans.base import query
 from wickerlane.plans.fixtures import CUT, K, SPLIT, all_candidates, found, sql, targets, tx
-from wickerlane.plans.ranking import labelled, ltr
+from wickerlane.plans.ranking import SIDECARS, labelled, ltr
 from wickerlane.workspace import materialize
 
 D, S = DataFrame, SparkSession
@@ -116,18 +116,63 @@ def J5_linear_ranker(spark: S, d: str) -> D:
 
 
 def _tree_columns() -> list[str]:
-    return [*ft.linear_names()[1:], "deterministic_score", *bh.names(), "two_tower_score", "content_user_cosine"]
+    return [*ft.linear_names()[1:], "deterministic_score", *bh.names(), *SIDECARS]
+
+
+def _trained(spark: S, d: str, windows: int) -> tuple[D, D]:
+    """The sampled rows of the last ``windows`` windows before the evaluation window, and those to be ranked."""
+    split, train = SPLIT, None
+    for _ in range(windows):
+        split = split.previous()
+        one = ltr(spark, d, split).withColumn("window", F.lit(str(split.cutoff)))
+        train = one if train is None else train.unionByName(one)
+    return materialize(train, "ltr-train"), materialize(ltr(spark, d), "ltr-target")
+
+
+def _ranked(df: D, key: str, name: str) -> D:
+    return ft.rank_by(df, K, f"{key} desc").select(F.lit(name).alias("ranker"), "customer_id", "article_id", "pos")
 
 
 @query()
 def J12_tree_ranker(spark: S, d: str) -> D:
-    """Also J18 and J19: bagged boosted trees on the 111 features, blended with the deterministic score and fused."""
+    """Boosted trees on the 111 columns of two windows, alone and blended with the deterministic score (J13)."""
     columns = _tree_columns()
-    train = materialize(ltr(spark, d, SPLIT.previous()), "ltr-train")
-    target = materialize(ltr(spark, d), "ltr-target")
-    scored = materialize(tr.bagged_scores(train, target, columns, seeds=(1, 2), trees=5, depth=3), "tree-scores")
+    train, target = _trained(spark, d, 2)
+    scored = materialize(tr.tree_scores(tr.fit_trees(train, columns), target, columns), "tree-scores")
     blend = ft.z_blend(scored, "deterministic_score", "model_score", 0.75)
-    ranked = lambda df, key, name: ft.rank_by(df, K, f"{key} desc").select(F.lit(name).alias("ranker"), "customer_id", "article_id", "pos")
-    lists = ranked(scored, "deterministic_score", "deterministic").unionByName(ranked(scored, "model_score", "trees"))
+    return _ranked(scored, "deterministic_score", "deterministic").unionByName(_ranked(scored, "model_score", "trees")).unionByName(_ranked(blend, "blend", "blend"))
+
+
+@query()
+def J18_bagged_trees(spark: S, d: str) -> D:
+    """The mean of three models that differ in their seed, blended with the deterministic score."""
+    train, target = _trained(spark, d, 1)
+    scored = tr.bagged_scores(train, target, _tree_columns(), seeds=(1, 2, 3))
+    return _ranked(ft.z_blend(scored, "deterministic_score", "model_score", 0.75), "blend", "bagged").drop("ranker")
+
+
+@query()
+def J19_two_model_fusion(spark: S, d: str) -> D:
+    """Boosted trees and a random forest: blended by z-scores, and their lists fused by reciprocal ranks."""
+    columns = _tree_columns()
+    train, target = _trained(spark, d, 1)
+    scored = tr.tree_scores(tr.fit_trees(train, columns), target, columns, "boosted")
+    scored = materialize(tr.tree_scores(tr.fit_forest(train, columns), scored, columns, "forest"), "two-models")
+    lists = _ranked(scored, "boosted", "boosted").unionByName(_ranked(scored, "forest", "forest"))
     fused = fusion.reciprocal_rank_fusion(lists, most=K).select(F.lit("fused").alias("ranker"), "customer_id", "article_id", "pos")
-    return lists.unionByName(ranked(blend, "blend", "blend")).unionByName(fused)
+    return lists.unionByName(_ranked(ft.z_blend(scored, "boosted", "forest", 1.0), "blend", "blend")).unionByName(fused)
+
+
+@query(
+    sql(
+        """SELECT customer_id, article_id, least(3, (SELECT count(DISTINCT article_id) FROM past) - owned)::BIGINT AS negatives, 0::BIGINT AS bought, 0::BIGINT AS repeated FROM
+        (SELECT customer_id, article_id FROM past QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY seq DESC) = 1) JOIN (SELECT customer_id, count(DISTINCT article_id) AS owned FROM past GROUP BY 1) USING (customer_id)"""
+    )
+)
+def C11_negatives_exclude_history(spark: S, d: str) -> D:
+    """Of each positive pair the number of its negatives: complete, none bought by its customer, none twice."""
+    t = past(spark, d)
+    own = t.select("customer_id", F.col("article_id").alias("negative_id"), F.lit(1).alias("mine")).distinct()
+    rows = tr.negatives(tr.positive_pairs(t, "latest_customer"), t, 3, sampling="mixed").join(own, ["customer_id", "negative_id"], "left")
+    n = F.count(F.lit(1))
+    return rows.groupBy("customer_id", "article_id").agg(n.alias("negatives"), F.count("mine").alias("bought"), (n - F.count_distinct("negative_id")).alias("repeated"))

@@ -119,7 +119,12 @@ def M6_aligned_matrix(spark: S, d: str) -> D:
     return rows.select("item", F.exists("vec", lambda x: x != 0).cast("int").alias("there"), settled(F.get("vec", F.lit(0))).alias("first_value"), settled(total).alias("total"))
 
 
-@query()
+_FALLBACK = """SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY p, rank, article_id) AS pos FROM (SELECT * FROM (
+  SELECT customer_id, article_id, 0 AS p, pos AS rank FROM content_rank UNION ALL SELECT customer_id, article_id, 1, rank FROM targets, top7 UNION ALL SELECT customer_id, article_id, 2, rank FROM targets, topall)
+  QUALIFY row_number() OVER (PARTITION BY customer_id, article_id ORDER BY p, rank) = 1) QUALIFY pos <= 12"""
+
+
+@query(sql(_FALLBACK, targets="SELECT DISTINCT customer_id FROM customers"))
 def I15_content_with_fallback(spark: S, d: str) -> D:
     """Content similarity for every customer, filled up with popularity."""
     from wickerlane.operators.submission import backfilled
@@ -128,3 +133,37 @@ def I15_content_with_fallback(spark: S, d: str) -> D:
     near = vc.content_similarity(t, CUT, who, text_vectors(spark, d), K).select("customer_id", "article_id", F.col("rank").alias("pos"))
     return backfilled(near, t, CUT, who, K)
 
+
+query(ranking._matrix_sql())(ranking.J10_without_factors)
+
+
+# -- the other vector sources ----------------------------------------------------------------------------------
+def _path_source(path: str, source: str, prior: float) -> None:
+    """Content similarity over the vectors of another path, as a candidate source, with its SQL."""
+    own = {"textvec": f"SELECT item, id, vec FROM usable WHERE grp = '{path}'"}
+    plain = f"SELECT customer_id, article_id, '{source}' AS source, pos AS source_rank, round(cosine + 1e-9, 6) AS source_score FROM content_rank"
+    mixed = f"SELECT customer_id, article_id, '{source}' AS source, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, cosine DESC, article_id) AS source_rank, round(score + 1e-9, 6) AS source_score FROM vpool QUALIFY source_rank <= 12"
+
+    def plan(spark: S, d: str) -> D:
+        items = all_vectors(spark, d).where(F.col("grp") == path).select("item", "id", "vec")
+        near = vc.content_similarity(tx(spark, d), CUT, targets(spark, d), items, K, prior_weight=prior, pool=50 if prior else None)
+        return as_source(near, source, "score").withColumn("source_score", settled("source_score"))
+
+    query(sql(mixed if prior else plain, **own), f"I10_{source}")(plan)
+
+
+IMAGE, MULTIMODAL = "embeddings/image_v3/article_vectors.npy", "embeddings/multimodal_v1/article_vectors.csv"
+_path_source(IMAGE, "image_similarity", 0.0)
+_path_source(MULTIMODAL, "multimodal_similarity", 0.0)
+_path_source(MULTIMODAL, "multimodal_similarity_popularity_prior", 0.3)
+
+
+@query()
+def I10_item2vec_similarity(spark: S, d: str) -> D:
+    """Content similarity over item vectors learned from the baskets before the cutoff."""
+    from wickerlane.operators import training as tr
+    from wickerlane.operators.temporal import before
+
+    t = tx(spark, d)
+    items = tr.item_vectors(tr.baskets(before(t, CUT)))
+    return as_source(vc.content_similarity(t, CUT, targets(spark, d), items, K), "item2vec_similarity", "score")
