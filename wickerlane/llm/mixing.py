@@ -35,20 +35,34 @@ def stray(got: dict[str, float], targets: dict[str, float]) -> float:
     return sum(abs(got[s] / total - targets[s]) for s in targets) / 2 if total else 1.0
 
 
-def best_total(targets: dict[str, float], most: dict[str, float], slack: float) -> float:
-    """The largest total whose shares stray from the targets by at most ``slack`` more than the least possible."""
+def best_total(targets: dict[str, float], most: dict[str, float], slack: float = 0.0, grain: dict[str, float] | None = None) -> float:
+    """The largest total whose shares stray from the targets by at most ``slack`` more than the least possible.
+
+    Records are not cut, so a source misses its amount by some part of a record: ``grain`` says by how many tokens on
+    average. A small total keeps all targets in proportion but misses them by whole records, a large one lets a source
+    run out: the sum of both is what is least here. The larger the sources, the less the grain matters.
+    """
     usable = [s for s in targets if targets[s] > 0 and most[s] > 0]
     if not usable:
         return 0.0
     low = min(most[s] / targets[s] for s in usable) * sum(targets[s] for s in usable)
-    high = sum(most[s] for s in usable)
-    allowed = stray(reachable(low, targets, most), targets) + slack + 1e-12
-    if stray(reachable(high, targets, most), targets) <= allowed:
-        return high
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if stray(reachable(mid, targets, most), targets) <= allowed else (low, mid)
-    return low
+    high = float(sum(most[s] for s in usable))
+    rough = sum((grain or {}).get(s, 0.0) for s in usable) / 2
+
+    def off(total: float) -> float:
+        return stray(reachable(total, targets, most), targets) + rough / total
+
+    steps = 400
+    tried = [low * (high / low) ** (i / steps) for i in range(steps + 1)] if high > low else [low]
+    allowed = min(map(off, tried)) + slack + 1e-12
+    at = max(i for i, t in enumerate(tried) if off(t) <= allowed)
+    if at == len(tried) - 1:
+        return high if high > low else low
+    a, b = tried[at], tried[at + 1]
+    for _ in range(60):
+        mid = (a + b) / 2
+        a, b = (mid, b) if off(mid) <= allowed else (a, mid)
+    return a
 
 
 def boundary(blocks: dict[str, int], segments: int, k: int) -> dict[str, int]:
@@ -73,7 +87,8 @@ def pfair(blocks: dict[str, int], segments: int = 1, k: int = 0) -> list[tuple[s
 
     Block i of a source with n of N blocks is released at slot floor(i N / n) and due by ceil((i + 1) N / n), or by the end
     of its segment; among the released ones the earliest deadline goes first (ties by source). After t slots every source
-    is less than one block from t n / N. Segments begin at states that keep this, so each is laid out by itself. (Where a
+    is less than one block from t n / N. Segments begin at states that keep this, so each is laid out by itself; where
+    none is released shortly before the end of one, the next goes early, so there it may be up to two blocks. (Where a
     source has fewer than three blocks a segment, its fraction of a block comes on top for the others.)
     """
     total = sum(blocks.values())
@@ -116,12 +131,13 @@ def mix(
 
     ``targets`` has ``source``, ``target_share`` and ``max_repeats``, a few rows. Each source gives its share of ``total``, but no
     more than ``max_repeats`` times its size; what it lacks is spread over the others in proportion. By default the total
-    is the largest whose shares stray from the targets no more than they must; ``slack`` allows more (see ``best_total``).
+    is the one whose shares come nearest to the targets, whole records considered; ``slack`` allows a larger one (see
+    ``best_total``).
     A source's records come in a hash order, pass after pass, up to the nearest record.
 
     A source's stream is cut into blocks of ``block`` tokens, which ``pfair`` orders, in segments of about ``segment``
-    slots that tasks lay out side by side; any prefix of whole blocks holds every share to within one block, at any
-    total. Sort by ``slot, place`` to read the mixture.
+    slots that tasks lay out side by side; any prefix of whole blocks holds every share to within one block (two near
+    the ends of segments), at any total. Sort by ``slot, place`` to read the mixture.
 
     Running sums go over strands of about ``strand_rows`` records, so that no source, however large, is one task.
 
@@ -136,11 +152,12 @@ def mix(
     named = records.select(F.col(f"`{record_id}`").alias("id"), F.lower(F.trim(F.col(f"`{source}`"))).alias("source"), F.col(f"`{size}`").cast("bigint").alias("size"))
     named = named.where(F.col("source").isin(list(wanted)) & (F.col("size") > 0)).withColumn("row", F.expr("uuid()"))  # repeated ids stay apart
     named = materialize(named, "mix-records")
-    sums = {r["source"]: r for r in named.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).collect()}  # one row per listed source
+    sums = {r["source"]: r for r in named.groupBy("source").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.col("size").cast("double") * F.col("size")).alias("q")).collect()}  # one row per listed source
     have = {s: sums[s]["s"] if s in sums else 0 for s in wanted}
     count = {s: sums[s]["n"] if s in sums else 0 for s in wanted}
     shares, most = {s: w for s, (w, _) in wanted.items()}, {s: have[s] * m for s, (_, m) in wanted.items()}
-    goal = reachable(float(total) if total is not None else best_total(shares, most, slack), shares, most)
+    grain = {s: r["q"] / r["s"] / 4 for s, r in sums.items()}  # to the nearest record: a quarter of the one at the end, which is long rather than short
+    goal = reachable(float(total) if total is not None else best_total(shares, most, slack, grain), shares, most)
     whole = sum(goal.values())
 
     facts = [(s, have[s], goal[s], wanted[s][1], max(1, -(-count[s] // strand_rows))) for s in wanted]

@@ -17,7 +17,7 @@ from wickerlane.llm.tokens import token_count
 from wickerlane.llm.topn import top_n_per_group
 from wickerlane.operators.vectors import newest
 from wickerlane.sources.tables import table
-from wickerlane.workspace import scratch
+from wickerlane.workspace import materialize, scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,7 +122,20 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return newest(table(spark, d, "article_vectors"), "embeddings_path", "article_id", "embedding_index", "vector", runs)
 
 
-@query()
+_COSINE = "round(list_cosine_similarity(a.vec, b.vec), 6)"
+NEAR_SQL = f"""
+WITH v AS (SELECT embeddings_path AS grp, article_id AS item, vector::DOUBLE[] AS vec FROM article_vectors
+  JOIN (SELECT DISTINCT embeddings_path, vector_dimension FROM embedding_runs) USING (embeddings_path)
+  WHERE article_id IS NOT NULL AND vector IS NOT NULL AND len(vector) = vector_dimension
+  AND len(list_filter(vector, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0
+  QUALIFY row_number() OVER (PARTITION BY embeddings_path, article_id ORDER BY embedding_index DESC) = 1),
+near AS (SELECT a.grp, a.item, b.item AS other, {_COSINE} AS similarity FROM v a JOIN v b ON a.grp = b.grp AND a.item <> b.item
+  QUALIFY row_number() OVER (PARTITION BY a.grp, a.item ORDER BY {_COSINE} DESC, b.item) <= 10)
+SELECT DISTINCT grp AS embeddings_path, least(item, other) AS article_id_a, greatest(item, other) AS article_id_b FROM near WHERE similarity >= 0.85
+"""
+
+
+@query(NEAR_SQL)
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     near = NeighbourGraph(_vectors(spark, d)).neighbours(k=10).where(F.col("similarity") >= 0.85)
     return near.select(F.col("grp").alias("embeddings_path"), F.least("item", "other").alias("article_id_a"), F.greatest("item", "other").alias("article_id_b")).distinct()
@@ -169,6 +182,32 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    """SELECT container_kind, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS missing, 0::BIGINT AS overfull, 0::BIGINT AS cut_needlessly, 0::BIGINT AS wrong_size, 0::BIGINT AS still_fit_together,
+    true AS within_a_hundredth FROM container_sizes"""
+)
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the containers: all documents whole, none too full, only large ones cut, no two that fit together, few in all."""
+    sized = materialize(_sized(spark, d).select("doc_id", "tokens"), "sized")
+    kinds = table(spark, d, "container_sizes").select(F.col("container_kind").alias("kind"), F.col("capacity_tokens").alias("capacity"))
+    placed = materialize(pack(sized, "doc_id", "tokens", kinds), "packed")
+    kinds = F.broadcast(kinds)  # a few rows
+    per = placed.groupBy("kind", "doc_id").agg(F.sum("size").alias("got"), F.count(F.lit(1)).alias("pieces"))
+    fits = sized.join(per, "doc_id").join(kinds, "kind")
+    docs = fits.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("tokens") <= F.col("capacity")) & (F.col("pieces") > 1)).alias("cut_needlessly"), F.count_if(F.col("got") != F.col("tokens")).alias("wrong_size")
+    )
+    bins = placed.groupBy("kind", "container").agg(F.sum("size").alias("fill")).join(kinds, "kind")
+    two = F.slice(F.array_sort(F.collect_list(F.when(F.col("fill") * 2 <= F.col("capacity"), F.col("fill")))), 1, 2)  # after merging at most one container a kind
+    full = bins.groupBy("kind", "capacity").agg(F.count_if(F.col("fill") > F.col("capacity")).alias("overfull"), F.greatest(F.size(two) - 1, F.lit(0)).cast("bigint").alias("still_fit_together"), F.count(F.lit(1)).alias("n"), F.sum("fill").alias("total"))
+    least = F.ceil(F.col("total") / F.col("capacity"))
+    count = sized.count()
+    return docs.join(full, "kind").select(
+        F.col("kind").alias("container_kind"), F.lit(count).alias("documents"), (F.lit(count) - F.col("documents")).alias("missing"), "overfull", "cut_needlessly", "wrong_size", "still_fit_together",
+        (F.col("n") <= F.ceil(least * 1.01)).alias("within_a_hundredth"),
+    )
+
+
 # -- 9: mixing sources -------------------------------------------------------------------------------------
 @query()
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -178,3 +217,31 @@ def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix(_sized(spark, d), "doc_id", "source", "tokens", table(spark, d, "mix_targets"))[1]
+
+
+@query(
+    """SELECT lower(trim(source)) AS source, round(target_share, 9) AS target_share, max_repeats, 0::BIGINT AS used_too_often, 0::BIGINT AS of_another_source, true AS share_within_a_record, true AS places_fit FROM mix_targets"""
+)
+def p9_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mixture: caps kept, sources right, shares reached to within one record, blocks whole and in order."""
+    sized = materialize(_sized(spark, d), "sized")
+    mixed, told = mix(sized, "doc_id", "source", "tokens", table(spark, d, "mix_targets"))
+    mixed, told = materialize(mixed, "mixed"), materialize(told, "mixed-report")
+    facts = told.select("source", "target_share", "max_repeats", "reachable_share", "actual_share", "tokens")
+    own = mixed.join(sized.select("doc_id", F.lower(F.trim("source")).alias("own")), "doc_id")
+    uses = own.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("uses"), F.count_if(~F.col("own").eqNullSafe(F.col("source"))).alias("other"))
+    uses = uses.join(F.broadcast(facts.select("source", "max_repeats")), "source")  # one row per listed source
+    per = uses.groupBy("source").agg(F.count_if(F.col("uses") > F.col("max_repeats")).alias("often"), F.sum("other").alias("other"))
+    block = F.expr("place div 2048")
+    slots = mixed.groupBy("slot").agg(F.min("source").alias("source"), F.max("source").alias("last"), F.min(block).alias("low"), F.max(block).alias("high"), F.sum("size").alias("laid"))
+    slots = slots.groupBy("source").agg(F.sum("laid").alias("laid"), F.count_if((F.col("source") != F.col("last")) | (F.col("low") != F.col("high"))).alias("mixed_up"))
+    all_ = told.agg(F.sum("tokens").alias("all")).first()[0] or 0
+    longest = sized.where(F.lower(F.trim("source")).isin([r[0] for r in facts.select("source").collect()])).groupBy(F.lower(F.trim("source")).alias("source")).agg(F.max("tokens").alias("largest"))
+    one = facts.join(longest, "source", "left").join(per, "source", "left").join(slots, "source", "left")
+    every = longest.agg(F.sum("largest")).first()[0] or 0  # the whole may be off by a record of each source
+    zero, room = F.lit(0).cast("bigint"), F.coalesce("largest", F.lit(0)) + F.lit(every)
+    return one.select(
+        "source", F.round("target_share", 9).alias("target_share"), "max_repeats", F.coalesce("often", zero).alias("used_too_often"), F.coalesce("other", zero).alias("of_another_source"),
+        (F.abs(F.col("actual_share") - F.col("reachable_share")) * F.lit(all_) <= room).alias("share_within_a_record"),
+        ((F.coalesce("laid", zero) == F.col("tokens")) & (F.coalesce("mixed_up", zero) == 0)).alias("places_fit"),
+    )
