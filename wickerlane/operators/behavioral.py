@@ -19,12 +19,73 @@ WINDOWED = ("product_type", "section", "garment_group")
 MISSING_DAYS = 999.0
 
 
+# The names of the sixty features, in their order; other systems read them.
+NAMES = (
+    "customer_transaction_count_log",
+    "customer_unique_article_count_log",
+    "customer_1d_transaction_count_log",
+    "customer_3d_transaction_count_log",
+    "customer_7d_transaction_count_log",
+    "customer_30d_transaction_count_log",
+    "customer_1d_to_7d_transaction_ratio",
+    "customer_3d_to_7d_transaction_ratio",
+    "customer_7d_to_30d_transaction_ratio",
+    "customer_30d_to_all_time_transaction_ratio",
+    "customer_days_since_last_purchase",
+    "customer_tenure_days_log",
+    "article_all_time_purchase_count_log",
+    "article_1d_purchase_count_log",
+    "article_3d_purchase_count_log",
+    "article_7d_purchase_count_log",
+    "article_14d_purchase_count_log",
+    "article_30d_purchase_count_log",
+    "article_1d_to_7d_purchase_ratio",
+    "article_3d_to_14d_purchase_ratio",
+    "article_7d_to_30d_purchase_ratio",
+    "article_7d_to_all_time_purchase_ratio",
+    "article_1d_purchase_count_delta_vs_7d_rate",
+    "article_3d_purchase_count_delta_vs_14d_rate",
+    "article_7d_purchase_count_delta_vs_30d_rate",
+    "article_days_since_last_purchase",
+    "user_article_purchase_count_log",
+    "user_article_days_since_last_purchase",
+    "customer_mean_price",
+    "article_mean_price",
+    "article_mean_price_minus_customer_mean",
+    "article_mean_price_ratio_customer_mean",
+    "customer_sales_channel_2_share",
+    "article_sales_channel_2_share",
+    "article_customer_sales_channel_2_share_gap_abs",
+    "user_product_type_purchase_count_log",
+    "user_product_group_purchase_count_log",
+    "user_department_purchase_count_log",
+    "user_section_purchase_count_log",
+    "user_garment_group_purchase_count_log",
+    "user_colour_group_purchase_count_log",
+    "user_index_group_purchase_count_log",
+    "user_product_type_30d_purchase_count_log",
+    "user_section_30d_purchase_count_log",
+    "user_garment_group_30d_purchase_count_log",
+    "user_product_type_30d_to_all_time_purchase_ratio",
+    "user_section_30d_to_all_time_purchase_ratio",
+    "user_garment_group_30d_to_all_time_purchase_ratio",
+    "user_product_type_days_since_last_purchase",
+    "user_section_days_since_last_purchase",
+    "user_garment_group_days_since_last_purchase",
+    "article_product_type_7d_purchase_count_log",
+    "article_section_7d_purchase_count_log",
+    "article_garment_group_7d_purchase_count_log",
+    "article_product_type_30d_purchase_count_log",
+    "article_section_30d_purchase_count_log",
+    "article_garment_group_30d_purchase_count_log",
+    "article_product_type_7d_to_30d_purchase_ratio",
+    "article_section_7d_to_30d_purchase_ratio",
+    "article_garment_group_7d_to_30d_purchase_ratio",
+)
+
+
 def names() -> list[str]:
-    c = [f"customer_{x}" for x in ("n", "articles", "n_1d", "n_3d", "n_7d", "n_30d", "ratio_1_7", "ratio_3_7", "ratio_7_30", "ratio_30_all", "days_since", "tenure")]
-    a = [f"article_{x}" for x in ("n", "n_1d", "n_3d", "n_7d", "n_14d", "n_30d", "ratio_1_7", "ratio_3_14", "ratio_7_30", "ratio_7_all", "delta_1_7", "delta_3_14", "delta_7_30", "days_since")]
-    p = ["pair_n", "pair_days_since", "customer_price", "article_price", "price_gap", "price_ratio", "customer_channel2", "article_channel2", "channel2_gap"]
-    own = [f"own_{x}_n" for x in ATTRIBUTES] + [f"own_{x}_{y}" for y in ("n_30d", "ratio_30_all", "days_since") for x in WINDOWED]
-    return c + a + p + own + [f"trend_{x}_{y}" for y in ("n_7d", "n_30d", "ratio_7_30") for x in WINDOWED]
+    return list(NAMES)
 
 
 def _counts(cutoff: dt.date, days: tuple[int, ...]) -> list[Column]:

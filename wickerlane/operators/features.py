@@ -87,16 +87,70 @@ def deterministic_score(weights: Weights = Weights()) -> Column:
     return F.round(total, 9)
 
 
+# The names of the inputs of the linear ranker, in their order; other systems read them.
+LINEAR_NAMES = (
+    "bias",
+    "has_repeat",
+    "repeat_score",
+    "repeat_rank_reciprocal",
+    "has_recent_popularity",
+    "recent_popularity_score",
+    "recent_popularity_rank_reciprocal",
+    "has_recent_popularity_1d",
+    "recent_popularity_1d_score",
+    "recent_popularity_1d_rank_reciprocal",
+    "has_recent_popularity_3d",
+    "recent_popularity_3d_score",
+    "recent_popularity_3d_rank_reciprocal",
+    "has_all_time_popularity",
+    "all_time_popularity_score",
+    "all_time_popularity_rank_reciprocal",
+    "has_co_visitation",
+    "co_visitation_log_score",
+    "co_visitation_rank_reciprocal",
+    "has_seasonal_popularity",
+    "seasonal_popularity_score",
+    "seasonal_popularity_rank_reciprocal",
+    "has_age_segment_popularity",
+    "age_segment_popularity_score",
+    "age_segment_popularity_rank_reciprocal",
+    "has_garment_group_popularity",
+    "garment_group_popularity_score",
+    "garment_group_popularity_rank_reciprocal",
+    "has_product_code_popularity",
+    "product_code_popularity_score",
+    "product_code_popularity_rank_reciprocal",
+    "has_content_similarity",
+    "content_similarity_score",
+    "content_similarity_rank_reciprocal",
+    "has_text_similarity",
+    "text_similarity_score",
+    "text_similarity_rank_reciprocal",
+    "has_item2vec_similarity",
+    "item2vec_similarity_score",
+    "item2vec_similarity_rank_reciprocal",
+    "has_two_tower_retrieval",
+    "two_tower_retrieval_score",
+    "two_tower_retrieval_rank_reciprocal",
+    "has_two_tower_retrieval_latest_customer",
+    "two_tower_retrieval_latest_customer_score",
+    "two_tower_retrieval_latest_customer_rank_reciprocal",
+    "source_count_scaled",
+    "best_rank_reciprocal",
+)
+
+
 def linear_names() -> list[str]:
-    return ["bias", *[f"{n}_{x}" for n in SOURCES for x in ("has", "value", "reciprocal_rank")], "source_count_scaled", "best_rank_reciprocal"]
+    return list(LINEAR_NAMES)
 
 
 def linear_vector() -> list[Column]:
-    """The 48 inputs of the linear ranker, in the order of ``linear_names``."""
-    out = [F.lit(1.0).alias("bias")]
+    """The 48 inputs of the linear ranker: a constant, presence, score and reciprocal rank of each source, and two summaries."""
+    out = [F.lit(1.0)]
     for n in SOURCES:
-        out += [F.col(f"{n}_rank").isNotNull().cast("double").alias(f"{n}_has"), _score(n).alias(f"{n}_value"), F.coalesce(1.0 / F.col(f"{n}_rank"), F.lit(0.0)).alias(f"{n}_reciprocal_rank")]
-    return [*out, (F.col("source_count") / float(len(SOURCES))).alias("source_count_scaled"), F.coalesce(1.0 / F.col("best_rank"), F.lit(0.0)).alias("best_rank_reciprocal")]
+        out += [F.col(f"{n}_rank").isNotNull().cast("double"), _score(n), F.coalesce(1.0 / F.col(f"{n}_rank"), F.lit(0.0))]
+    out += [F.col("source_count") / float(len(SOURCES)), F.coalesce(1.0 / F.col("best_rank"), F.lit(0.0))]
+    return [c.alias(name) for name, c in zip(LINEAR_NAMES, out, strict=True)]
 
 
 def rank_by(features: DataFrame, k: int | None, *keys: str) -> DataFrame:

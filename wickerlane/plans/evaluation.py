@@ -16,6 +16,7 @@ from wickerlane.plans import ranking, reports
 from wickerlane.plans.base import query
 from wickerlane.plans.fixtures import CUT, DAYS, K, MORE, SPLIT, all_candidates, ctes, found, sql, targets, tx
 from wickerlane.plans.ranking import labelled, r6
+from wickerlane.plans.training import _linear_rows
 from wickerlane.sources.tables import table
 from wickerlane.workspace import materialize
 
@@ -172,12 +173,11 @@ def J7_rolling_learned(spark: S, d: str) -> D:
     check_windows(ranking.ROLLING)
     out = None
     for split in ranking.ROLLING:
-        rows = lambda s: labelled(spark, d, s).select("*", *[c for c in ft.linear_vector()])
-        train, target = materialize(rows(split.previous()), "linear-rows"), materialize(rows(split), "linear-rows")
+        train, target = _linear_rows(spark, d, split.previous()), _linear_rows(spark, d, split)
         want = found(spark, d, split)
         arms = {
             "source_order": ft.source_order(target, K),
-            "deterministic": ft.deterministic_rank(target, K),
+            "deterministic": ft.rank_by(target, K, "deterministic_score desc", "source_count desc", "best_rank"),
             "linear": ft.rank_by(target.withColumn("score", tr.linear_score(tr.fit_linear(train))), K, "score desc"),
         }
         for name, ranked in arms.items():

@@ -101,17 +101,21 @@ def G2_source_order(spark: S, d: str) -> D:
     return ft.source_order(feats(spark, d), K)
 
 
-_VECTOR = ", ".join(
-    ["1.0::DOUBLE AS bias"]
-    + [f"CAST({n}_rank IS NOT NULL AS DOUBLE) AS {n}_has, round({_value(n)} + 1e-9, 6) AS {n}_value, round(coalesce(1.0::DOUBLE / {n}_rank, 0) + 1e-9, 6) AS {n}_reciprocal_rank" for n in ft.SOURCES]
-    + ["round(source_count / 15.0::DOUBLE + 1e-9, 6) AS source_count_scaled, round(1.0::DOUBLE / best_rank + 1e-9, 6) AS best_rank_reciprocal"]
-)
+def _vector_sql() -> str:
+    values = ["1.0::DOUBLE"]
+    for n in ft.SOURCES:
+        values += [f"CAST({n}_rank IS NOT NULL AS DOUBLE)", f"round({_value(n)} + 1e-9, 6)", f"round(coalesce(1.0::DOUBLE / {n}_rank, 0) + 1e-9, 6)"]
+    values += ["round(source_count / 15.0::DOUBLE + 1e-9, 6)", "round(1.0::DOUBLE / best_rank + 1e-9, 6)"]
+    return ", ".join(f"{v} AS {name}" for v, name in zip(values, ft.LINEAR_NAMES, strict=True))
+
+
+_VECTOR = _vector_sql()
 
 
 @query(sql(f"SELECT customer_id, article_id, {_VECTOR} FROM feats"))
 def J3_linear_vector(spark: S, d: str) -> D:
     out = feats(spark, d).select("customer_id", "article_id", *ft.linear_vector())
-    return r6(out, *[c for c in ft.linear_names() if c.endswith(("_value", "_rank", "_scaled", "_reciprocal"))])
+    return r6(out, *[c for c in ft.LINEAR_NAMES if c != "bias" and not c.startswith("has_")])
 
 
 @query(

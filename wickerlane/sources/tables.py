@@ -16,14 +16,43 @@ TRANSACTION_SCHEMA = T.StructType(
     ]
 )
 
+# The columns of the articles and customers contracts.
 ARTICLE_COLUMNS = (
-    "article_id product_code prod_name product_type_no product_type_name product_group_name graphical_appearance_no "
-    "graphical_appearance_name colour_group_code colour_group_name perceived_colour_value_id perceived_colour_value_name "
-    "perceived_colour_master_id perceived_colour_master_name department_no department_name index_code index_name "
-    "index_group_no index_group_name section_no section_name garment_group_no garment_group_name detail_desc"
-).split()
-
-CUSTOMER_COLUMNS = "customer_id fn active club_member_status fashion_news_frequency age postal_code".split()
+    "article_id",
+    "product_code",
+    "prod_name",
+    "product_type_no",
+    "product_type_name",
+    "product_group_name",
+    "graphical_appearance_no",
+    "graphical_appearance_name",
+    "colour_group_code",
+    "colour_group_name",
+    "perceived_colour_value_id",
+    "perceived_colour_value_name",
+    "perceived_colour_master_id",
+    "perceived_colour_master_name",
+    "department_no",
+    "department_name",
+    "index_code",
+    "index_name",
+    "index_group_no",
+    "index_group_name",
+    "section_no",
+    "section_name",
+    "garment_group_no",
+    "garment_group_name",
+    "detail_desc",
+)
+CUSTOMER_COLUMNS = (
+    "customer_id",
+    "fn",
+    "active",
+    "club_member_status",
+    "fashion_news_frequency",
+    "age",
+    "postal_code",
+)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
