@@ -12,7 +12,6 @@ from tests.conftest import DATA
 from tools.compare import rows_of
 from wickerlane.plans import registry
 
-SLOW = {"J8_grid_tuning", "J7_rolling_validation", "D16_rolling_summary", "p5_rolling"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def db():
 
 
 #: Names of the same plan are run once.
-NAMES = {registry.QUERIES[n]: n for n in sorted(registry.SQL, reverse=True) if n not in SLOW and not any(registry.QUERIES[n] is registry.QUERIES[x] for x in SLOW)}
+NAMES = {registry.QUERIES[n]: n for n in sorted(registry.SQL, reverse=True)}
 
 
 @pytest.mark.parametrize("name", sorted(NAMES.values()))

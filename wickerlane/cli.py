@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wickerlane.functions.text import label
-from wickerlane.operators import behavioral, candidates, content, eda, fusion, metrics, popularity, reports, submission, temporal, training, tuning, validate, vectors
+from wickerlane.operators import behavioral, candidates, content, diagnostics, eda, fusion, metrics, popularity, reports, submission, temporal, training, tuning, validate, vectors
 from wickerlane.operators import features as ft
 from wickerlane.operators.temporal import Split
 from wickerlane.workspace import filesystem, materialize, ship
@@ -140,8 +140,7 @@ command("generate-baseline-submission")(lambda s: submission.as_text(_baseline(s
 
 @command("candidate-diagnostics", report=True)
 def _(s: Step) -> DataFrame:
-    marked = s.candidates().join(s.found().withColumn("hit", F.lit(True)), ["customer_id", "article_id"], "left")
-    return marked.groupBy("source").agg(F.count_distinct("customer_id").alias("customers"), F.count(F.lit(1)).alias("rows"), F.count_distinct("article_id").alias("articles"), F.count("hit").alias("hits"))
+    return diagnostics.SourceDiagnostics(s.tx, s.split.cutoff, s.universe, s.found(), days=s.a.lookback).report()
 
 
 command("export-candidates")(lambda s: s.candidates())
@@ -153,7 +152,15 @@ def _(s: Step) -> DataFrame:
     return s.score(ft.deterministic_rank(rows, s.k), "deterministic").unionByName(s.score(ft.source_order(rows, s.k), "source_order"))
 
 
-command("tune-deterministic-ranker", report=True)(lambda s: tuning.best(tuning.evaluate_trials(s.features(s.split.previous()), s.found(s.split.previous()), tuning.trials(), s.k)))
+@command("tune-deterministic-ranker", report=True)
+def _(s: Step) -> DataFrame:
+    """The ten best weightings of the window before, with what the best and the default one reach on the evaluation window."""
+    tried, before = tuning.trials(), s.split.previous()
+    top = tuning.best(tuning.evaluate_trials(s.features(before), s.found(before), tried, s.k)).select(F.lit("selection").alias("window"), "trial", "map", "recall")
+    chosen = [tried[r["trial"]] for r in top.orderBy(F.desc("map"), F.desc("recall"), "trial").limit(1).collect()]
+    default = {n: ft.Weights().of(n) for n in tried[0]}
+    later = tuning.evaluate_trials(s.features(), s.found(), [default, *chosen], s.k)
+    return top.unionByName(later.select(F.when(F.col("trial") == 0, "evaluation, default").otherwise("evaluation, selected").alias("window"), "trial", "map", "recall"))
 
 
 def _linear_rank(s: Step) -> DataFrame:

@@ -12,7 +12,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 
 from wickerlane.operators.content import read_text, write_text
-from wickerlane.operators.features import Weights, deterministic_rank
+from wickerlane.operators.features import Weights, deterministic_rank, linear_vector, rank_by, z_blend
+from wickerlane.operators.training import linear_score, tree_scores
 
 
 class Ranker(Protocol):
@@ -32,6 +33,32 @@ class DeterministicRanker:
         return deterministic_rank(features, k, self.weights).select("customer_id", "article_id", "pos")
 
 
+@dataclass(frozen=True)
+class LinearRanker:
+    """Ranks by the weighted sum of the 48 linear inputs, made from the pair features."""
+
+    weights: tuple[float, ...]
+    name: str = "linear"
+
+    def rank(self, features: DataFrame, k: int) -> DataFrame:
+        rows = features.select("customer_id", "article_id", *linear_vector())
+        return rank_by(rows.withColumn("score", linear_score(list(self.weights))), k, "score desc").select("customer_id", "article_id", "pos")
+
+
+@dataclass(frozen=True)
+class TreeRanker:
+    """Ranks by the blend of a fitted tree model and the deterministic score; ``features`` hold the model's columns."""
+
+    model: object
+    columns: tuple[str, ...]
+    weight: float = 0.75
+    name: str = "trees"
+
+    def rank(self, features: DataFrame, k: int) -> DataFrame:
+        scored = tree_scores(self.model, features, list(self.columns))
+        return rank_by(z_blend(scored, "deterministic_score", "model_score", self.weight), k, "blend desc").select("customer_id", "article_id", "pos")
+
+
 def _plain(v):
     if isinstance(v, (dt.date, dt.datetime)):
         return v.isoformat()
@@ -91,6 +118,42 @@ def champion(runs: list[Run], target: float = 0.02205, tolerance: float = 0.001)
     return min(runs, key=lambda r: (-r.offline, r.name)) if runs else None
 
 
+def discover(reports: list[dict]) -> tuple[list[Run], list[str]]:
+    """Runs from rolling reports, the best ranker of each by its mean MAP over the windows, with warnings of what is amiss.
+
+    A report has ``config`` and ``windows``, a list of ``cutoff`` and one MAP per ranker. Reports without windows, and rankers
+    that lack one, are named and left out; windows that come twice are named.
+    """
+    runs, warnings = [], []
+    for n, r in enumerate(reports):
+        windows = r.get("windows") or []
+        if not windows:
+            warnings.append(f"report {n} has no windows")
+            continue
+        days = [w["cutoff"] for w in windows]
+        if len(set(days)) < len(days):
+            warnings.append(f"report {n} has a window twice")
+        means = {}
+        for name in sorted({k for w in windows for k in w if k != "cutoff"}):
+            values = [w.get(name) for w in windows]
+            if any(v is None for v in values):
+                warnings.append(f"report {n} lacks {name} in a window")
+            else:
+                means[name] = sum(values) / len(values)
+        if means:
+            best = min(means, key=lambda k: (-means[k], k))
+            runs.append(Run(best, dict(r.get("config") or {}) | {"ranker": best}, means[best], r.get("public")))
+    return runs, warnings
+
+
+def champion_page(runs: list[Run], warnings: list[str]) -> str:
+    """The runs, the champion among them and the warnings, as Markdown."""
+    best = champion(runs)
+    lines = ["# Champion", "", f"**{best.name}** ({best.key}), offline {best.offline:.6f}" if best else "No run.", "", "| run | key | offline | public |", "| --- | --- | --- | --- |"]
+    lines += [f"| {r.name} | {r.key} | {r.offline:.6f} | {'' if r.public is None else r.public} |" for r in sorted(runs, key=lambda r: (-r.offline, r.name))]
+    return "\n".join([*lines, "", *(f"- {w}" for w in warnings)]) + "\n"
+
+
 def merge_runs(old: list[Run], new: list[Run]) -> list[Run]:
     """By configuration: metrics from the new entry, public score and notes from the old where the new has none."""
     held = {r.key: r for r in old}
@@ -100,4 +163,4 @@ def merge_runs(old: list[Run], new: list[Run]) -> list[Run]:
     return sorted(held.values(), key=lambda r: (r.name, r.key))
 
 
-__all__ = ["DeterministicRanker", "Ranker", "Run", "champion", "config_hash", "markdown", "merge_runs", "read_text", "report_text", "write_report"]
+__all__ = ["DeterministicRanker", "LinearRanker", "Ranker", "Run", "TreeRanker", "champion", "champion_page", "discover", "config_hash", "markdown", "merge_runs", "read_text", "report_text", "write_report"]

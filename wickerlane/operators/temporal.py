@@ -95,3 +95,15 @@ def assert_before(metadata: dict, cutoff: dt.date) -> None:
     built = dt.date.fromisoformat(str(metadata["cutoff"]))
     if built > cutoff:
         raise ValueError(f"features were built for {built}, after {cutoff}")
+
+
+def comparable(configs: list[dict], ignore: tuple[str, ...] = ("cutoff",)) -> list[str]:
+    """The settings in which runs of several windows differ, so that their metrics cannot be compared."""
+    names = sorted({k for c in configs for k in c if k not in ignore})
+    return [k for k in names if len({repr(c.get(k)) for c in configs}) > 1]
+
+
+def leakage(history: DataFrame, found: DataFrame, split: Split) -> DataFrame:
+    """One row: rows of the history on or after the cutoff, and labelled pairs without a row in the horizon; both must be 0."""
+    late = history.agg(F.count_if(F.col("t_dat") >= F.lit(split.cutoff)).alias("late_rows"), F.max("t_dat").alias("last_day"))
+    return late.join(F.broadcast(found.agg(F.count(F.lit(1)).alias("labels"))), F.lit(True))

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from wickerlane.functions.text import path_of_image, settled
 from wickerlane.operators import content as ct
 from wickerlane.operators import features as ft
-from wickerlane.operators import history, metrics, popularity, submission, temporal
+from wickerlane.operators import fusion, history, metrics, popularity, submission, temporal
+from wickerlane.operators import reports as rp
 from wickerlane.operators import training as tr
+from wickerlane.operators import two_tower as tt
+from wickerlane.operators import vectors as vc
 from wickerlane.plans import ranking, recommend, reports, training, vectors  # noqa: F401
 from wickerlane.plans.base import QUERIES, SQL, query
 from wickerlane.plans.fixtures import CUT, K, SPLIT, all_candidates, attribute, found, sql, targets, tx
@@ -25,7 +28,7 @@ def _same(name: str, as_: str) -> None:
 
 
 for _name, _as in (
-    ("C14_merge_of_submissions", "J16_consensus_fusion"), ("D6_directed_pair_counts", "C3_history_pairs"), ("E9_content_rerank", "I10_content_with_prior"), ("E12_fused_rank", "J16_consensus_fusion"), ("E14_trial_rank", "J8_grid_tuning"),
+    ("D6_directed_pair_counts", "C3_history_pairs"), ("E9_content_rerank", "I10_content_with_prior"), ("E12_fused_rank", "J14_reciprocal_rank_fusion"), ("E14_trial_rank", "J8_grid_tuning"),
     ("F3_top_after_history", "I11_prior_powered_similarity"), ("F4_pool_and_rerank", "I10_content_with_prior"), ("F5_latest_capped", "D24_latest_capped"), ("F7_diversity", "J17_diversity_rerank"), ("F8_top_values", "D20_hierarchy"), ("G7_customer_difference", "C12_customer_difference"),
 ):
     _same(_name, _as)
@@ -137,14 +140,171 @@ def A19_image_paths(spark: S, d: str) -> D:
     return table(spark, d, "articles").select(path_of_image("article_id").alias("path"), "article_id")
 
 
-@query()
-def M8_hashed_search(spark: S, d: str) -> D:
-    """Approximate search by random projections: text vectors with an index divisible by 50 against all, within distance 0.55 (cosine 0.85)."""
+def _hashed(spark: S, d: str) -> D:
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
     unit = vectors.text_vectors(spark, d).withColumn("f", norm).select("item", "id", array_to_vector(F.transform("vec", lambda x: x / F.col("f"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=4, seed=5).fit(unit)
+    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=0.5, numHashTables=8, seed=5).fit(unit)
     met = model.approxSimilarityJoin(unit.where(F.col("id") % 50 == 0), unit, 0.55, "distance")
-    return met.where(F.col("datasetA.item") != F.col("datasetB.item")).select(F.col("datasetA.item").alias("query"), F.col("datasetB.item").alias("item"), "distance")
+    rows = met.where(F.col("datasetA.item") != F.col("datasetB.item")).select(F.col("datasetA.item").alias("query"), F.col("datasetB.item").alias("item"), F.round("distance", 9).alias("distance"))
+    return popularity.top_by(rows, ["query"], 10, ("distance", "item"))
+
+
+@query()
+def M8_hashed_search(spark: S, d: str) -> D:
+    """Approximate search by random projections: of text vectors with an index divisible by 50 the 10 nearest of all within distance 0.55 (cosine 0.85)."""
+    return _hashed(spark, d)
+
+
+@query("SELECT true AS reaches_nine_tenths")
+def M8_hashed_recall(spark: S, d: str) -> D:
+    """Whether the hashed search finds at least nine tenths of what exact search finds within its distance."""
+    items = vectors.text_vectors(spark, d)
+    asked = items.where(F.col("id") % 50 == 0).select(F.col("item").alias("query"), "vec")
+    exact = vc.exact_search(asked, items.select("item", "vec"), 11).where((F.col("query") != F.col("item")) & (F.col("score") >= 1 - 0.55**2 / 2))
+    exact = materialize(popularity.top_by(exact.drop("rank"), ["query"], 10, ("score desc", "item")), "exact")
+    got = exact.join(_hashed(spark, d).select("query", "item"), ["query", "item"], "left_semi").count()
+    return spark.createDataFrame([(got >= 0.9 * exact.count(),)], "reaches_nine_tenths boolean")
+
+
+# -- guards, registries, reports ---------------------------------------------------------------------------------
+@query(sql(f"SELECT 0::BIGINT AS late_rows, (SELECT max(t_dat) FROM past) AS last_day, (SELECT count(*) FROM found) AS labels, (SELECT max(t_dat) FROM past) < DATE '{CUT}' AS holds"))
+def B9_leakage_guard(spark: S, d: str) -> D:
+    """The clock rule on the rows that features are made of, and the guard that refuses features of a later cutoff."""
+    temporal.assert_before({"cutoff": str(CUT)}, CUT)
+    out = temporal.leakage(temporal.before(tx(spark, d), CUT), found(spark, d), SPLIT)
+    return out.withColumn("holds", F.col("last_day") < F.lit(CUT))
+
+
+@query("SELECT 'candidate_k' AS setting, '12' AS first_value, '24' AS other_value")
+def B12_comparable_windows(spark: S, d: str) -> D:
+    """Settings in which two rolling runs differ; windows that overlap are refused."""
+    temporal.check_windows(ranking.ROLLING)
+    a, b = {"k": K, "candidate_k": 12, "cutoff": "2023-11-17"}, {"k": K, "candidate_k": 24, "cutoff": "2023-11-24"}
+    return spark.createDataFrame([(n, str(a[n]), str(b[n])) for n in temporal.comparable([a, b])], "setting string, first_value string, other_value string")
+
+
+@query(sql(f"SELECT 'source_order' AS name, round(map + 1e-9, 6) AS offline FROM ({ranking.evaluated('merged')}) UNION ALL SELECT 'deterministic', round(map + 1e-9, 6) FROM ({ranking.evaluated('detrank')}) ORDER BY offline DESC, name LIMIT 1"))
+def L10_champion(spark: S, d: str) -> D:
+    """The best of the rankers, found from a rolling report that was written as JSON and read again (A17)."""
+    import json
+
+    rows = ranking.J2_deterministic_evaluation(spark, d).select("ranker", "map").collect()  # two rows
+    path = scratch(spark, "report") + ".json"
+    rp.write_report(spark, {"config": {"k": K}, "windows": [{"cutoff": str(CUT), **{r["ranker"]: r["map"] for r in rows}}]}, path)
+    runs, warnings = rp.discover([json.loads(rp.read_text(spark, path)), {"windows": []}])
+    if len(warnings) != 1 or "# Champion" not in rp.champion_page(runs, warnings):
+        raise ValueError("the empty report was not told of")
+    best = rp.champion(runs)
+    return spark.createDataFrame([(best.name, best.offline)], "name string, offline double")
+
+
+@query(sql("SELECT name, bucket, rows FROM (SELECT 'split' AS name, CASE WHEN t_dat < DATE '2023-12-01' THEN 'train' WHEN t_dat < DATE '2023-12-08' THEN 'validation' ELSE 'future' END AS bucket, count(*) AS rows FROM tx GROUP BY 1, 2)"))
+def A17_json_report(spark: S, d: str) -> D:
+    """The split summary written as a JSON report with sorted keys, read again; its Markdown page has a row per bucket (A18)."""
+    summary = temporal.split_summary(tx(spark, d), SPLIT).select("bucket", "rows")
+    path = scratch(spark, "report") + ".json"
+    rp.write_report(spark, summary, path)
+    back = spark.read.option("multiLine", True).schema("bucket string, rows bigint").json(path)
+    if rp.markdown("Split", {"rows": back}).count("\n| ") != back.count() + 2:
+        raise ValueError("the page lacks rows")
+    return back.select(F.lit("split").alias("name"), "bucket", "rows")
+
+
+@query("SELECT * FROM (VALUES ('a', 0.03::DOUBLE, 0.022::DOUBLE, 'kept'), ('b', 0.02, NULL, ''), ('c', 0.01, 0.02, '')) r(name, offline, public, notes)")
+def G8_merged_registries(spark: S, d: str) -> D:
+    """Two registries of runs by configuration: metrics of the newer entry, scores and notes of the older where it has none."""
+    old = [rp.Run("a", {"k": 12}, 0.025, 0.022, "kept"), rp.Run("c", {"k": 50}, 0.01, 0.02)]
+    new = [rp.Run("a", {"k": 12}, 0.03), rp.Run("b", {"k": 24}, 0.02)]
+    return spark.createDataFrame([(r.name, r.offline, r.public, r.notes) for r in rp.merge_runs(old, new)], "name string, offline double, public double, notes string")
+
+
+_ONES = " + ".join(x for x in ("(source_count / 15.0::DOUBLE)", "(1.0::DOUBLE / best_rank)", *(f"CASE WHEN {n}_rank IS NOT NULL THEN 1 + {ranking._value(n)} + 1.0::DOUBLE / {n}_rank ELSE 0 END" for n in ft.SOURCES)))
+
+
+@query(sql(f"SELECT 'deterministic' AS ranker, customer_id, article_id, pos FROM detrank WHERE pos <= 12 UNION ALL SELECT 'linear', customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY round(1 + {_ONES}, 9) DESC, article_id) AS pos FROM feats QUALIFY pos <= 12"))
+def J22_ranker_protocol(spark: S, d: str) -> D:
+    """Two rankers behind one interface over the same features; the linear one with all weights 1."""
+    rows, out = materialize(ranking.feats(spark, d), "features"), None
+    for ranker in (rp.DeterministicRanker(), rp.LinearRanker((1.0,) * 48)):
+        one = ranker.rank(rows, K).select(F.lit(ranker.name).alias("ranker"), "customer_id", "article_id", "pos")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT 'hashed-words' AS provider_name, 'text' AS embedding_kind, 'cosine' AS metric, 64 AS vector_dimension, count(*) AS article_count, count(*) FILTER (combined_text <> '') AS embedding_count, count(*) FILTER (combined_text = '') AS missing_embedding_count FROM (" + reports.CONTENT_SQL + ")")
+def A11_embedding_manifest(spark: S, d: str) -> D:
+    from dataclasses import asdict
+
+    path, rows = scratch(spark, "embeddings"), reports._content(spark, d)
+    ct.write_cache(ct.generate_embeddings(rows), rows.count(), path, "hashed-words")
+    m = asdict(ct.read_cache(spark, path)[1])
+    return spark.createDataFrame([tuple(m.values())], "provider_name string, embedding_kind string, metric string, vector_dimension int, article_count bigint, embedding_count bigint, missing_embedding_count bigint")
+
+
+@query(sql("SELECT a.item AS query, b.item AS item, round(round(list_dot_product(a.vec, b.vec), 9) + 1e-9, 6) AS score FROM textvec a, textvec b WHERE a.id % 50 = 0 QUALIFY row_number() OVER (PARTITION BY a.item ORDER BY round(list_dot_product(a.vec, b.vec), 9) DESC, b.item) <= 10"))
+def M7_exact_dot_search(spark: S, d: str) -> D:
+    items = vectors.text_vectors(spark, d)
+    out = vc.exact_search(items.where(F.col("id") % 50 == 0).select(F.col("item").alias("query"), "vec"), items.select("item", "vec"), 10, "dot")
+    return out.select("query", "item", settled("score").alias("score"))
+
+
+_LIST = "SELECT customer_id, unnest(l) AS article_id, generate_subscripts(l, 1) AS pos FROM (SELECT customer_id, string_split(string_agg(article_id, ' ' ORDER BY pos), ' ') AS l FROM ({q}) GROUP BY 1)"
+
+
+@query(
+    sql(
+        "SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY score DESC, article_id) AS pos FROM (SELECT customer_id, article_id, round(sum(1.0::DOUBLE / (60 + pos)), 12) AS score FROM ("
+        + " UNION ALL ".join(_LIST.format(q=q) for q in ("SELECT customer_id, article_id, pos FROM merged", "SELECT customer_id, article_id, pos FROM detrank WHERE pos <= 12", "SELECT customer_id, article_id, rank AS pos FROM covis"))
+        + ") GROUP BY 1, 2) QUALIFY pos <= 12"
+    )
+)
+def C14_merge_of_submissions(spark: S, d: str) -> D:
+    """Three submissions written as files, read again, met by customer and fused by the places of their articles."""
+    rows, who = materialize(ranking.feats(spark, d), "features"), targets(spark, d)
+    lists = {
+        "baseline": recommend.baseline(spark, d),
+        "deterministic": ft.deterministic_rank(rows, K).select("customer_id", "article_id", "pos"),
+        "co_visitation": rows.where("co_visitation_rank IS NOT NULL").select("customer_id", "article_id", F.col("co_visitation_rank").alias("pos")),
+    }
+    slates = None
+    for name, ranked in lists.items():
+        path = scratch(spark, "submission")
+        submission.write_submission(submission.as_text(ranked, who).withColumn("o", F.col("customer_id")), "o", path)
+        one = spark.read.csv(path, header=True).where("coalesce(prediction, '') <> ''").select(F.lit(name).alias("ranker"), "customer_id", F.posexplode(F.split("prediction", " ")).alias("place", "article_id"))
+        one = one.select("ranker", "customer_id", "article_id", (F.col("place") + 1).alias("pos"), F.lit(0.0).alias("score"))
+        slates = one if slates is None else slates.unionByName(one)
+    return fusion.reciprocal_rank_fusion(slates, most=K).select("customer_id", "article_id", "pos")
+
+
+# -- the two-tower model -----------------------------------------------------------------------------------------
+def _examples(spark: S, d: str) -> D:
+    t = temporal.before(tx(spark, d), CUT)
+    pairs = tr.positive_pairs(t, "latest", 20_000)
+    no = tr.negatives(pairs, t, 2)
+    day = pairs.select("customer_id", "article_id", F.col("last_day").alias("day"))
+    bad = no.join(day, ["customer_id", "article_id"]).select("customer_id", F.col("negative_id").alias("article_id"), F.lit(0).alias("label"), "day")
+    return day.select("customer_id", "article_id", F.lit(1).alias("label"), "day").unionByName(bad)
+
+
+@query("SELECT * FROM (VALUES ('bpr', true), ('logistic', true)) r(objective, loss_fell)")
+def M2_two_tower_loss(spark: S, d: str) -> D:
+    """Both objectives with log-q and recency weights: the mean loss falls over the epochs."""
+    rows, out = materialize(_examples(spark, d), "examples"), []
+    for objective in ("bpr", "logistic"):
+        fitted = tt.train(rows, tt.TrainingConfig(objective=objective, log_q=0.5, half_life_days=30.0, epochs=4), CUT)
+        losses = [r["vec"][0] for r in sorted(fitted.where("side = 'loss'").collect(), key=lambda r: int(r["id"]))]
+        out.append((objective, losses[-1] < losses[0]))
+    return spark.createDataFrame(out, "objective string, loss_fell boolean")
+
+
+@query()
+def I12_two_tower_retrieval(spark: S, d: str) -> D:
+    """Dot products plus a tenth of the log-popularity over a pool of 2,000 articles, the best twelve per target."""
+    fitted = materialize(tt.train(_examples(spark, d)), "towers")
+    side = lambda s, name: fitted.where(F.col("side") == s).select(F.col("id").alias(name), "vec")
+    mine = side("customer", "query").join(targets(spark, d).withColumnRenamed("customer_id", "query"), "query", "left_semi")
+    prior = popularity.log_popularity(temporal.before(tx(spark, d), CUT))
+    return tt.retrieve(mine, side("article", "item"), K, prior, 0.1, 2_000)
