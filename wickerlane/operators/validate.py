@@ -40,6 +40,9 @@ TRANSACTIONS = Contract(
 ARTICLES = Contract("articles", ("article_id", "product_code", "prod_name"), (), ("article_id",), unique=("article_id",), filled=("article_id",))
 CUSTOMERS = Contract("customers", ("customer_id", "fn", "active", "club_member_status", "fashion_news_frequency", "age", "postal_code"), ("customer_id",), unique=("customer_id",), filled=("customer_id",))
 
+SAMPLE_SUBMISSION = Contract("sample_submission", ("customer_id", "prediction"), ("customer_id",), unique=("customer_id",), filled=("customer_id",))
+IMAGES = Contract("article_images", ("article_id", "expected_image_relative_path", "image_exists"), (), ("article_id",), allowed={"image_exists": ("true", "false")}, unique=("article_id",), filled=("article_id",))
+
 
 def _blank(c: str) -> Column:
     return F.col(c).isNull() | (F.col(c).cast("string") == "")

@@ -67,9 +67,15 @@ def _block_scores(metric: str, k: int, kind: str):
                 ids = np.array([r["id"] for r in items], dtype=object)
                 order = np.argsort(ids, kind="stable")  # ties go to the smaller id
                 s, ids = s[:, order], ids[order]
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                rows = np.repeat(np.arange(len(q)), best.shape[1])
-                yield pd.DataFrame({"query": [queries[i]["id"] for i in rows], "item": ids[best.ravel()], "score": s[rows, best.ravel()]})
+                n = min(k, s.shape[1])
+                least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+                rows, cols = np.nonzero(s >= least[:, None])  # the k best and what ties with the last of them
+                order = np.lexsort((cols, -s[rows, cols], rows))
+                rows, cols = rows[order], cols[order]
+                starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                first = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)])) < n
+                rows, cols = rows[first], cols[first]
+                yield pd.DataFrame({"query": [queries[i]["id"] for i in rows], "item": ids[cols], "score": s[rows, cols]})
 
     return run
 

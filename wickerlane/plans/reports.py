@@ -39,10 +39,19 @@ def B6_transaction_contract(spark: S, d: str) -> D:
     return vd.validate(table(spark, d, "transactions_train"), vd.TRANSACTIONS)
 
 
-@query(" UNION ALL ".join(_contract_sql(c, r) for c, r in ((vd.TRANSACTIONS, "transactions_train"), (vd.ARTICLES, "articles"), (vd.CUSTOMERS, "customers"))))
+_SAMPLE = "(SELECT customer_id, '0000000001 0000000002' AS prediction FROM customers) sample_"
+_RELATIONS = ((vd.TRANSACTIONS, "transactions_train"), (vd.ARTICLES, "articles"), (vd.CUSTOMERS, "customers"), (vd.SAMPLE_SUBMISSION, _SAMPLE), (vd.IMAGES, "article_images"))
+
+
+@query(" UNION ALL ".join(_contract_sql(c, r) for c, r in _RELATIONS))
 def B7_dataset_contract(spark: S, d: str) -> D:
-    out = vd.validate(table(spark, d, "transactions_train"), vd.TRANSACTIONS)
-    return out.unionByName(vd.validate(table(spark, d, "articles"), vd.ARTICLES)).unionByName(vd.validate(table(spark, d, "customers"), vd.CUSTOMERS))
+    """All files of the data set: the log, articles, customers, a sample submission of every customer, and the image inventory."""
+    out = None
+    for contract, relation in _RELATIONS:
+        rows = table(spark, d, "customers").select("customer_id", F.lit("0000000001 0000000002").alias("prediction")) if relation is _SAMPLE else table(spark, d, relation)
+        one = vd.validate(rows, contract)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query(
