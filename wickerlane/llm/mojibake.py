@@ -343,7 +343,10 @@ def _readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for w, n, rows in zip(pdf["word"], pdf["n"], pdf["rows"]):
             there = set(w)
+            foreign = {ord(c) for c in there if c > "\x7f"}
             for pair in SWAPPED:
+                if not foreign <= swap_table(*pair).keys():  # some character is not of this reading
+                    continue
                 d = w.translate(swap_table(*pair))
                 letters = len(_LETTER.findall(d))
                 if d != w and letters and len(d) == len(w) and all(_COMMON.match(c) for c in d if c > "\x7f"):
