@@ -46,12 +46,13 @@ def mean_vectors(rows: DataFrame, key: str, vector: str = "vec") -> DataFrame:
     return gathered.select(key, mean.alias("vec"))
 
 
-def _blocks(df: DataFrame, id_col: str, size: int, name: str) -> tuple[DataFrame, int]:
-    """Rows packed into blocks of about ``size``: ids and one matrix as bytes. One count decides how many."""
-    n = max(1, ceil(df.count() / size))
+def _blocks(df: DataFrame, id_col: str, size: int, name: str) -> tuple[DataFrame, int, int]:
+    """Rows packed into blocks of about ``size`` (ids and vectors), the number of blocks, and of bytes in all. One aggregate decides."""
+    rows, dim = df.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    n = max(1, ceil(rows / size))
     keyed = df.select(F.pmod(F.xxhash64(id_col), F.lit(n)).alias(name), F.struct(F.col(id_col).alias("id"), F.col("vec")).alias("r"))
     packed = keyed.groupBy(name).agg(F.collect_list("r").alias(f"{name}_rows"))
-    return packed, n
+    return packed, n, rows * (dim or 0) * 8
 
 
 def _block_scores(metric: str, k: int, kind: str):
@@ -80,17 +81,20 @@ def _block_scores(metric: str, k: int, kind: str):
     return run
 
 
-def exact_search(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", block: int = 2048) -> DataFrame:
+def exact_search(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", block: int = 2048, sent_whole: int = 64 << 20) -> DataFrame:
     """``query, item, score, rank``: the ``k`` best items of each query (``query, vec``) among all items (``item, vec``).
 
-    Both sides are packed into blocks; each query block is sent to each item block by an equi-join on the block number, one
-    matrix product scores the two, and only the k best of a block go on. ``l2`` is the negative squared distance.
+    Both sides are packed into blocks; each query block meets each item block by an equi-join on the block number, one matrix
+    product scores the two, and only the k best of a block go on. Items of at most ``sent_whole`` bytes in all are
+    broadcast, so no query moves again; more are exchanged by block. ``l2`` is the negative squared distance.
     """
     if k < 1 or metric not in METRICS:
         raise ValueError(f"k must be positive and metric one of {METRICS}")
-    packed, n = _blocks(items, "item", block, "i")
-    asked, _ = _blocks(queries, "query", block // 4, "q")
-    pairs = asked.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))).join(packed, "i").repartition("i", "q").select("q_rows", "i_rows")
+    packed, n, held = _blocks(items, "item", block, "i")
+    asked, _, _ = _blocks(queries, "query", block // 4, "q")
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    pairs = asked.join(F.broadcast(packed), "i") if held <= sent_whole else asked.join(packed, "i").repartition("i", "q")
+    pairs = pairs.select("q_rows", "i_rows")
     kinds = {**dict(queries.dtypes), **dict(items.dtypes)}
     scored = pairs.mapInPandas(_block_scores(metric, k, kinds["item"]), f"query {kinds['query']}, item {kinds['item']}, score double")
     return top_by(scored, ["query"], k, ("score desc", "item"))
