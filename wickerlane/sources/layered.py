@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerlane.workspace import children, filesystem, remove
+from wickerlane.workspace import catalogued, children, filesystem, remove
 
 
 class Manifest:
@@ -70,7 +70,7 @@ class LayeredTable:
         """The rows of the layers with ``layer``, their place in the list."""
         if not layers:
             return self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField("layer", T.IntegerType())]))
-        name = f"wickerlane_{uuid.uuid4().hex[:16]}"
+        name = catalogued(self.spark, f"wickerlane_{uuid.uuid4().hex[:16]}")
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
         by = ", ".join(f"`{c}`" for c in self.by)
         self.spark.sql(f"CREATE TABLE {name} ({columns}, layer int) USING parquet PARTITIONED BY (layer) CLUSTERED BY ({by}) SORTED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")

@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[tuple[SparkSession, str]] = []
+_TABLES: list[tuple[SparkSession, str]] = []
 _SHIPPED: set[str] = set()
 
 
@@ -45,12 +46,23 @@ def shared_root(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; it is removed when the driver ends."""
     path = f"{shared_root(spark)}/wickerlane/{name}-{uuid.uuid4().hex}"
-    if not _MADE:
-        atexit.register(_sweep)
+    _at_exit()
     _MADE.append((spark, path))
     return path
 
 
+def catalogued(spark: SparkSession, table: str) -> str:
+    """The name of a table that the catalog is to forget when the driver ends; its files stay."""
+    _at_exit()
+    _TABLES.append((spark, table))
+    return table
+
+
+@cache
+def _at_exit() -> None:
+    atexit.register(_sweep)
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop file system and path object, so that any storage the cluster knows will do."""
     jvm = spark.sparkContext._jvm
@@ -88,6 +100,11 @@ def release(df: DataFrame) -> None:
 
 
 def _sweep() -> None:
+    for spark, table in _TABLES:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        except Exception:
+            break
     for spark, path in _MADE:
         try:
             remove(spark, path)
