@@ -87,6 +87,20 @@ def test_features_of_nothing(spark, tmp_path):
         EntityFeatures("a", "b", "c", "d", [], (0,))
 
 
+def test_hundreds_of_types(spark):
+    kinds = list(range(300))
+    f = EntityFeatures("customer_id", "t_dat", "sales_channel_id", "price", kinds, (7, 30))
+    data = [(f"c{i % 5}", D(2023, 1, 1 + i % 10), i % 310, Decimal(i)) for i in range(2000)]
+    got = {r["customer_id"]: r for r in f.features(f.counters(events(spark, data)), DAY).collect()}
+    for c in ("c0", "c3"):
+        mine = [x for x in data if x[0] == c]
+        assert got[c]["n_all"] == len(mine) and got[c]["total_all_7d"] == float(sum(x[3] for x in mine if x[1] > D(2023, 1, 3)))
+        for k in (0, 3, 13, 299):
+            own = [x for x in mine if x[2] == k]
+            assert (got[c][f"n_type{k}"], got[c][f"total_type{k}"]) == (len(own), float(sum(x[3] for x in own)))
+            assert got[c][f"days_since_last_type{k}"] == (min((DAY - x[1]).days for x in own) if own else None)
+
+
 def test_a_hot_entity_with_many_events_is_a_few_rows(spark, tmp_path):
     data = [("hot", D(2023, 1, 1 + i % 9), i % 2 + 1, Decimal(1)) for i in range(2000)]
     f = features()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,35 +44,32 @@ class EntityFeatures:
         aggs = [F.count(F.lit(1)).alias("n"), F.count("value").alias("v"), F.sum("value").alias("s")]
         return rows.where(F.col("entity").isNotNull()).groupBy(*self.KEYS).agg(*aggs)
 
-    def _cells(self, as_of: dt.date) -> list[tuple[str, Column]]:
-        """Suffix and condition of each combination of type and period."""
-        out = []
-        for k in [None, *self.kinds]:
-            for p in [None, *self.periods]:
-                cond = F.lit(True)
-                if k is not None:
-                    cond = cond & (F.col("kind") == F.lit(k))
-                if p is not None:
-                    cond = cond & (F.col("day") > F.lit(as_of - dt.timedelta(days=p)))
-                out.append(("_".join(["all" if k is None else f"type{k}"] + ([f"{p}d"] if p else [])), cond))
-        return out
-
     def features(self, counters: DataFrame, as_of: dt.date) -> DataFrame:
-        """One full row per entity from its counters, as of a day."""
-        rows, cells = counters.where(F.col("day").isNull() | (F.col("day") <= F.lit(as_of))), self._cells(as_of)
-        aggs = [F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0)).alias(f"{c}_{name}") for name, cond in cells for c in ("n", "v", "s")]
-        for k in [None, *self.kinds]:
-            d = F.col("day") if k is None else F.when(F.col("kind") == F.lit(k), F.col("day"))
-            aggs += [F.min(d).alias(f"first_{'all' if k is None else f'type{k}'}"), F.max(d).alias(f"last_{'all' if k is None else f'type{k}'}")]
-        one = rows.groupBy("entity").agg(*aggs)
-        out = [F.col("entity").alias(self.entity)]
-        for name, _ in cells:
-            total = F.col(f"s_{name}").cast("double")
-            out += [F.col(f"n_{name}"), total.alias(f"total_{name}"), F.when(F.col(f"v_{name}") > 0, ratio(f"s_{name}", f"v_{name}")).alias(f"mean_{name}")]
-        for k in [None, *self.kinds]:
-            name = "all" if k is None else f"type{k}"
-            out += [F.datediff(F.lit(as_of), f"first_{name}").alias(f"days_since_first_{name}"), F.datediff(F.lit(as_of), f"last_{name}").alias(f"days_since_last_{name}")]
-        return one.select(*out)
+        """One full row per entity from its counters, as of a day.
+
+        The periods are summed per entity and type first, so the work per row does not grow with the number of types; an
+        entity's types then come together in a map, from which the columns of ``kinds`` are taken. All of it stays in
+        the partition of the entity.
+        """
+        rows, spans = counters.where(F.col("day").isNull() | (F.col("day") <= F.lit(as_of))), [None, *self.periods]
+        inside = lambda p: F.lit(True) if p is None else F.col("day") > F.lit(as_of - dt.timedelta(days=p))
+        sums = [f"{c}{p or ''}" for p in spans for c in ("n", "v", "s")]
+        per = rows.groupBy("entity", "kind").agg(
+            *[F.sum(F.when(inside(p), F.col(c))).alias(f"{c}{p or ''}") for p in spans for c in ("n", "v", "s")], F.min("day").alias("first"), F.max("day").alias("last")
+        )
+        own = F.when(F.col("kind").isin(self.kinds), F.struct("kind", F.struct(*sums, "first", "last").alias("cell"))) if self.kinds else F.lit(None)
+        one = per.groupBy("entity").agg(
+            *[F.sum(c).alias(c) for c in sums], F.min("first").alias("first"), F.max("last").alias("last"), *([F.map_from_entries(F.collect_list(own)).alias("kinds")] if self.kinds else [])
+        )
+        named = [("all", lambda c: F.col(c)), *((f"type{k}", lambda c, k=k: F.col("kinds")[k].getField(c)) for k in self.kinds)]
+        out, days = [F.col("entity").alias(self.entity)], []
+        for name, get in named:
+            for p in spans:
+                cell, n, v, total = f"{name}_{p}d" if p else name, *(get(f"{c}{p or ''}") for c in ("n", "v", "s"))
+                total = F.coalesce(total.cast("double"), F.lit(0.0))
+                out += [F.coalesce(n, F.lit(0)).alias(f"n_{cell}"), total.alias(f"total_{cell}"), F.when(v > 0, ratio(total, v)).alias(f"mean_{cell}")]
+            days += [F.datediff(F.lit(as_of), get(x)).alias(f"days_since_{x}_{name}") for x in ("first", "last")]
+        return one.select(*out, *days)
 
     def run(self, spark: SparkSession, stream: DataFrame, path: str, checkpoint: str, as_of: dt.date) -> DataFrame:
         """Drain what the stream has now and return the feature rows as of a day. The same path and checkpoint go on."""
