@@ -124,9 +124,9 @@ def test_behavioral_features(spark):
     import math
 
     r = got["c1", "1"]
-    assert (r["customer_n"], r["customer_articles"], r["article_n_1d"], r["article_n_7d"], r["article_days_since"]) == tuple(map(pytest.approx, (math.log1p(3), math.log1p(2), math.log1p(1), math.log1p(2), 1.0)))
+    assert (r["customer_transaction_count_log"], r["customer_unique_article_count_log"], r["article_1d_purchase_count_log"], r["article_7d_purchase_count_log"], r["article_days_since_last_purchase"]) == tuple(map(pytest.approx, (math.log1p(3), math.log1p(2), math.log1p(1), math.log1p(2), 1.0)))
     lone = got["c9", "3"]
-    assert (lone["customer_n"], lone["customer_days_since"], lone["pair_days_since"], lone["customer_tenure"]) == (0.0, 999.0, 999.0, pytest.approx(math.log1p(999)))
+    assert (lone["customer_transaction_count_log"], lone["customer_days_since_last_purchase"], lone["user_article_days_since_last_purchase"], lone["customer_tenure_days_log"]) == (0.0, 999.0, 999.0, pytest.approx(math.log1p(999)))
 
 
 def slate(spark, rows):
@@ -155,7 +155,7 @@ def test_tuning_equals_ranking_each_trial(spark):
     truth = want(spark, c="13", d="3")
     f = features.with_labels(features.pair_features(rows), truth)
     tried = tuning.trials({"garment_group_popularity_presence": (0.0, 9.0), "source_count": (0.0, 0.05)})
-    got = {r["trial"]: r["map"] for r in tuning.evaluate_trials(f, truth, tried, 2, chunk=3).collect()}
+    got = {r["trial"]: r["map"] for r in tuning.evaluate_trials(f, truth, tried, 2).collect()}
     for i, t in enumerate(tried):
         ranked = features.deterministic_rank(f, 2, features.Weights(t))
         assert got[i] == pytest.approx(metrics.summary(metrics.per_customer(ranked, truth, 2)).first()["map"])
