@@ -49,9 +49,11 @@ class LayeredTable:
 
     Layers are folders below ``path``; the caller keeps their list (name and rows, oldest first) in a manifest. Adding
     rows writes one more layer and reads nothing. All layers are scanned bucket by bucket, so an aggregate or a join by ``by``
-    moves no held row. ``fold`` makes few layers of many where that is due.
+    moves no held row. ``fold`` makes one layer of several (``FAN`` at least) where that is due.
     """
 
+    FAN = 4
+
     def __init__(self, spark: SparkSession, path: str, schema: str | T.StructType, by: list[str], buckets: int):
         self.spark, self.path, self.by, self.buckets = spark, path.rstrip("/"), by, buckets
         self.schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -82,7 +84,8 @@ class LayeredTable:
     def due(layers: list) -> int:
         """From which place on the layers should be folded into one: each layer is to hold over twice what lies above it.
 
-        So there are at most about log2 of the rows, and a row is written again about as often.
+        With ``FAN`` layers in between there are at most about FAN times log2 of the rows, and a row is written again about
+        log2 times.
         """
         i, above = len(layers) - 1, layers[-1][1] if layers else 0
         while i > 0 and layers[i - 1][1] <= 2 * above:
@@ -93,7 +96,7 @@ class LayeredTable:
     def fold(self, layers: list, folded) -> list:
         """The list with its upper layers folded by ``folded`` (a function from rows with ``layer`` to rows), if that is due."""
         i = self.due(layers)
-        if i >= len(layers) - 1:
+        if len(layers) - i < self.FAN:
             return layers
         return [*layers[:i], self.write(folded(self.read(layers[i:])), placed=True)]
 
