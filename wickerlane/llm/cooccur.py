@@ -15,7 +15,7 @@ class PairTable:
     All tables are bucketed by a hash of their key and grow by layers (see ``LayeredTable``): a batch writes its own rows
     and moves none that are held. ``items`` (item, n) and ``pairs`` (item_a < item_b, n) hold signed deltas, whose sums are
     the counts. ``members`` holds one row per basket (blocks of ``block_items`` for larger ones), of which the newest layer
-    counts. Layers are folded when they have grown to half of the one below. A manifest names the layers in use and is
+    counts. Layers are folded when several have grown to half of the one below. A manifest names the layers in use and is
     replaced last, so a job that dies half way leaves the former state valid.
 
     ``apply`` takes rows that were added (``sign`` 1) or withdrawn (-1). Only touched baskets are compared, old against
