@@ -204,10 +204,11 @@ class NeighbourGraph:
 
     # -- building ------------------------------------------------------------------------------------------
     def _leaves(self) -> DataFrame:
-        tabled = self.nodes.select("grp", "id", "raw", F.posexplode("signs").alias("tab", "sign"))
+        tabled = self.nodes.select("grp", "id", F.posexplode("signs").alias("tab", "sign"))
         sizes = tabled.groupBy("grp", "tab", "sign").agg(F.count(F.lit(1)).alias("n"))
         chunked = tabled.join(sizes, ["grp", "tab", "sign"]).withColumn("chunk", F.pmod(F.xxhash64("id", "tab"), F.ceil(F.col("n") / self.leaf)))
-        keyed = chunked.select(F.xxhash64("grp", "tab", "sign", "chunk").alias("key"), "id", "raw")
+        # The vectors join last, so that they move once a table.
+        keyed = chunked.select("id", F.xxhash64("grp", "tab", "sign", "chunk").alias("key")).join(self.nodes.select("id", "raw"), "id")
         return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_leaf_edges(max(2, self.k // 2)), EDGE)
 
     def _best(self, edges: DataFrame) -> DataFrame:
