@@ -91,8 +91,9 @@ def exact_search(queries: DataFrame, items: DataFrame, k: int, metric: str = "co
     if k < 1 or metric not in METRICS:
         raise ValueError(f"k must be positive and metric one of {METRICS}")
     packed, n, held = _blocks(items, "item", block, "i")
-    asked, _, _ = _blocks(queries, "query", block // 4, "q")
-    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    asked, m, _ = _blocks(queries, "query", block // 4, "q")
+    # A task per query block: few bytes, but much to compute, so they must not be put together.
+    asked = asked.repartition(m, "q").withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
     pairs = asked.join(F.broadcast(packed), "i") if held <= sent_whole else asked.join(packed, "i").repartition("i", "q")
     pairs = pairs.select("q_rows", "i_rows")
     kinds = {**dict(queries.dtypes), **dict(items.dtypes)}
