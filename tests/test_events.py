@@ -205,6 +205,15 @@ def test_trailing_totals_of_given_entities_and_of_nothing(spark):
         trailing_totals(df, "e", "d", "v", ())
 
 
+def test_trailing_totals_never_broadcast_the_days_of_few_entities(spark):
+    df = spark.createDataFrame([(str(i), D(2023, 1, 1 + i % 9), 1.0) for i in range(200)], "e string, d date, v double").repartition(3)
+    want = df.select("e").where("e < '3'")
+    out = trailing_totals(df, "e", "d", "v", entities=want, span=(D(2021, 1, 1), D(2023, 12, 31))).where("rows_30 >= 1 AND rows_7 = 0")
+    assert len(out.collect()) == sum(1 for i in range(200) if str(i) < "3") * 23
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and "day#" in line]
+
+
 # -- broken lines ----------------------------------------------------------------------------------------------
 C, A = "ab" * 32, "0123456789"
 GOOD = f"2023-05-06,{C},{A},0.5,1"

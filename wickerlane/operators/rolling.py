@@ -61,7 +61,8 @@ def trailing_totals(
     grid = (daily.select("entity").distinct() if wanted is None else wanted.repartition("entity")).select(
         "entity", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("day")
     )
-    full = grid.join(totals, ["entity", "day"], "left")
+    # The estimate of the grid does not know of the days, so it would be taken for small and broadcast.
+    full = grid.join(totals.hint("merge"), ["entity", "day"], "left")
     out = [F.col("entity").alias(entity), F.col("day").alias(day)]
     for p in periods:
         out += [
