@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from wickerlane.functions import text
 from wickerlane.operators import behavioral, candidates, features, fusion, history, metrics, popularity, submission, temporal, training, tuning, validate, vectors
 from wickerlane.operators.reports import Run, champion, config_hash, merge_runs, report_text
 
@@ -57,6 +58,30 @@ def test_co_visitation(spark):
     assert got == {"a": ["2", "1", "3"]}  # article 9 lies after the cutoff
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_candidates_are_not_exchanged_after_they_are_made(spark):
+    rows = candidates.as_source(people(spark, "a", "b").withColumns({"article_id": F.lit("1"), "rank": F.lit(1)}), "repeat")
+    assert plan_of(features.deterministic_rank(features.pair_features(rows), 3)).count("Exchange") == 1
+    met = spark.createDataFrame([("1", "2", 3, 1), ("1", "3", 3, 2), ("2", "3", 1, 1)], "article_id string, other_id string, n bigint, rank int")
+    seen = spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("b", "2", 1)], "customer_id string, article_id string, position int")
+    got = history.co_visitation_scores(seen, met, 2)
+    assert "hashpartitioning(customer_id" not in plan_of(got) and lists(got) == {"a": ["3", "2"], "b": ["3"]}
+
+
+def test_submission_text_is_filled_up_and_ids_come_back(spark):
+    tx = log(spark, [("a", 1, 1), ("b", 3, 2), ("b", 3, 3), ("a", 2, 6), ("a", 1, 7)])
+    own, who = predictions(spark, a=["9", "3"]), people(spark, "a", "c")
+    want = {r["customer_id"]: r["prediction"] for r in submission.as_text(submission.backfilled(own, tx, D(8), who, 4, 3), who).collect()}
+    assert {r["customer_id"]: r["prediction"] for r in submission.backfilled_text(own, tx, D(8), who, 4, 3).collect()} == want
+    ids = people(spark, "ab" * 32, "AB" * 32, "a" * 32, "61" * 32, "", "é", None)
+    packed = ids.select("customer_id", text.packed_customer("customer_id").alias("p"))
+    assert all(r[0] == r[1] for r in packed.select("customer_id", text.unpacked_customer("p")).collect())
+    assert packed.select("p").distinct().count() == 7
+
+
 def test_attribute_affinity(spark):
     tx = log(spark, [("a", 1, 10), ("b", 2, 11), ("a", 3, 12), ("b", 4, 16)])
     kinds = spark.createDataFrame([("1", "Trousers"), ("2", "Trousers"), ("4", "Trousers"), ("3", "Shirts")], "article_id string, value string")

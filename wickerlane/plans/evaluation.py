@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickerlane.functions.text import settled
+from wickerlane.functions.text import packed_customer, settled, unpacked_customer
 from wickerlane.operators import diagnostics as dg
 from wickerlane.operators import features as ft
 from wickerlane.operators import submission, tuning
@@ -187,18 +187,24 @@ def J7_rolling_learned(spark: S, d: str) -> D:
 
 
 # -- submissions of the other rankers --------------------------------------------------------------------------
+def _packed(df: D) -> D:
+    return df.withColumn("customer_id", packed_customer("customer_id"))
+
+
 def _final_features(spark: S, d: str) -> D:
+    """Of all customers, their ids packed until ``_submitted`` gives them back."""
     from wickerlane.operators import candidates as c
     from wickerlane.plans.fixtures import attribute, segments
 
     t, who = tx(spark, d), reports._everyone(spark, d)
-    rows = c.every_source(t, submission.final_cutoff(t), who, segments(spark, d), attribute(spark, d, "garment_group_name"), attribute(spark, d, "product_code"), K, DAYS)
+    rows = c.every_source(_packed(t), submission.final_cutoff(t), _packed(who), _packed(segments(spark, d)), attribute(spark, d, "garment_group_name"), attribute(spark, d, "product_code"), K, DAYS)
     return ft.pair_features(rows)
 
 
 def _submitted(spark: S, d: str, ranked: D) -> D:
     t, who = tx(spark, d), reports._everyone(spark, d)
-    return submission.as_text(submission.backfilled(ranked.select("customer_id", "article_id", "pos"), t, submission.final_cutoff(t), who, K), who)
+    out = submission.backfilled_text(ranked.select("customer_id", "article_id", "pos"), t, submission.final_cutoff(t), _packed(who), K)
+    return out.withColumn("customer_id", unpacked_customer("customer_id"))
 
 
 _FILLED = """SELECT customer_id, article_id, row_number() OVER (PARTITION BY customer_id ORDER BY p, rank, article_id) AS pos FROM (SELECT * FROM (
