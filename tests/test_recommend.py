@@ -71,6 +71,45 @@ def test_rows_of_candidates_are_not_exchanged_after_they_are_made(spark):
     assert "hashpartitioning(customer_id" not in plan_of(got) and lists(got) == {"a": ["3", "2"], "b": ["3"]}
 
 
+def test_neighbours_travel_as_one_row_an_article_and_numbers_give_ids_back(spark):
+    met = spark.createDataFrame([("1", "0000000020", 3, 1), ("1", "0000000003", 3, 2), ("2", "0000000003", 1, 1)], "article_id string, other_id string, n bigint, rank int")
+    seen = spark.createDataFrame([("a", "1", 1), ("a", "2", 2), ("b", "2", 1)], "customer_id string, article_id string, position int")
+    assert history.ten_digits(met) and not history.ten_digits(met.withColumn("other_id", F.lit("123456789a"))) and not history.ten_digits(met.withColumn("other_id", F.lit("12")))
+    assert {r["article_id"]: r["others"] for r in history.neighbour_lists(met).collect()} == {"1": ["0000000020", "0000000003"], "2": ["0000000003"]}
+    rows = [sorted(map(tuple, history.co_visitation_scores(seen, met, 2, digits=x).collect())) for x in (True, False)]
+    assert rows[0] == rows[1] == [("a", "0000000003", 3.5, 1), ("a", "0000000020", 3.0, 2), ("b", "0000000003", 1.0, 1)]
+
+
+def test_lists_that_all_targets_get_are_not_exchanged(spark):
+    schema = "customer_id string, article_id string, source string, source_rank int, source_score double"
+    own = spark.createDataFrame([("a", "1", "repeat", 1, 1.0), ("a", "7", "repeat", 2, 0.5)], schema)
+    common = spark.createDataFrame([("", str(i), "recent_popularity", i, 1.0 / i) for i in range(1, 6)], schema).drop("customer_id")
+    by_segment = spark.createDataFrame([("", "7", "age_segment_popularity", 1, 0.9)], schema).drop("customer_id").withColumn("segment", F.lit("x"))
+    segments = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y"), ("b", None), ("z", "x")], "customer_id string, segment string")
+    parts = candidates.Parts([own], people(spark, "a", "b", "c"), [common], segments, by_segment)
+    wanted, got = features.pair_features(parts.rows()), features.pair_features(parts.by_customer(), placed=True)
+    assert got.count() == wanted.count() == 16 and got.exceptAll(wanted).isEmpty()
+    plan = plan_of(features.rank_by(got, 3, "max_source_score desc")).split("Generate inline")
+    assert "Exchange" not in plan[0] and "Exchange" in plan[1]
+
+
+def test_linear_submission_removes_tables_that_nothing_reads_any_more(spark):
+    from wickerlane.plans import registry
+    from wickerlane.workspace import children, shared_root
+
+    kept = lambda: {p.rsplit("/", 1)[1] for p in children(spark, f"{shared_root(spark)}/wickerlane")}
+    before = kept()
+    assert registry.QUERIES["J23_linear_submission"](spark, "/root/testdata/sf0.001").count() == 150
+    names = [x.rsplit("-", 1)[0] for x in kept() - before]
+    assert names.count("purchase-state") == 1 and names.count("co-visitation") == 1 and not {"neighbours", "recent-values", "value-lists"} & set(names)
+
+
+def test_values_that_meet_short_lists_keep_their_partitions(spark):
+    lists_ = spark.createDataFrame([("v", "1", 1.0, 1)], "value string, article_id string, score double, rank int")
+    mine = spark.createDataFrame([(c, "v", 1) for c in "abcdefgh"], "customer_id string, value string, position int")
+    assert history.value_scores(mine, lists_).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_submission_text_is_filled_up_and_ids_come_back(spark):
     tx = log(spark, [("a", 1, 1), ("b", 3, 2), ("b", 3, 3), ("a", 2, 6), ("a", 1, 7)])
     own, who = predictions(spark, a=["9", "3"]), people(spark, "a", "c")

@@ -18,7 +18,7 @@ from wickerlane.plans.fixtures import CUT, DAYS, K, MORE, SPLIT, all_candidates,
 from wickerlane.plans.ranking import labelled, r6
 from wickerlane.plans.training import _linear_rows
 from wickerlane.sources.tables import table
-from wickerlane.workspace import materialize
+from wickerlane.workspace import materialize, release
 
 D, S = DataFrame, SparkSession
 
@@ -191,14 +191,17 @@ def _packed(df: D) -> D:
     return df.withColumn("customer_id", packed_customer("customer_id"))
 
 
-def _final_features(spark: S, d: str) -> D:
-    """Of all customers, their ids packed until ``_submitted`` gives them back."""
+def _packed_features(spark: S, d: str, cutoff, who: D) -> D:
     from wickerlane.operators import candidates as c
     from wickerlane.plans.fixtures import attribute, segments
 
-    t, who = tx(spark, d), reports._everyone(spark, d)
-    rows = c.every_source(_packed(t), submission.final_cutoff(t), _packed(who), _packed(segments(spark, d)), attribute(spark, d, "garment_group_name"), attribute(spark, d, "product_code"), K, DAYS)
-    return ft.pair_features(rows)
+    parts = c.source_parts(_packed(tx(spark, d)), cutoff, _packed(who), _packed(segments(spark, d)), attribute(spark, d, "garment_group_name"), attribute(spark, d, "product_code"), K, DAYS)
+    return ft.pair_features(parts.by_customer(), placed=True)
+
+
+def _final_features(spark: S, d: str) -> D:
+    """Of all customers, their ids packed until ``_submitted`` gives them back."""
+    return _packed_features(spark, d, submission.final_cutoff(tx(spark, d)), reports._everyone(spark, d))
 
 
 def _submitted(spark: S, d: str, ranked: D) -> D:
@@ -220,7 +223,9 @@ def J23_deterministic_submission(spark: S, d: str) -> D:
 @query()
 def J23_linear_submission(spark: S, d: str) -> D:
     """Fitted on the evaluation window, applied to the day after the log."""
-    train = materialize(labelled(spark, d).select("customer_id", "article_id", "label", *ft.linear_vector()), "linear-rows")
+    known = ft.with_labels(_packed_features(spark, d, CUT, targets(spark, d)), _packed(found(spark, d)))
+    train = materialize(known.select("label", *ft.linear_vector()), "linear-rows")
+    release(known)
     rows = _final_features(spark, d).select("customer_id", "article_id", *ft.linear_vector())
     return _submitted(spark, d, ft.rank_by(rows.withColumn("score", tr.linear_score(tr.fit_linear(train))), K, "score desc"))
 
